@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, mixing, quality
+from heddle.llm import chat, decontaminate, mixing, quality, warc
 from heddle.llm.shared import stored, table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", F.round("position", 6).alias("position"))
 
@@ -26,6 +34,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP2_SQL = r"""
+WITH norm AS (SELECT doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+dw AS (SELECT id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM norm),
+iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(13, len(w)) AS m, array_to_string(list_slice(w, s, s + least(13, len(w)) - 1), ' ') AS g
+  FROM iw, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS u(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT m FROM win),
+dwin AS (SELECT id, s, m, array_to_string(list_slice(w, s, s + m - 1), ' ') AS g FROM dw, sizes, unnest(range(1, len(w) - m + 2)) AS u(s) WHERE len(w) >= m),
+hit AS (SELECT DISTINCT id, s, m, item FROM dwin JOIN win USING (m, g)),
+pos AS (SELECT id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + m)) AS u(p) GROUP BY id),
+its AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY id)
+SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN pos USING (id) LEFT JOIN its USING (id)
+"""
+
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT *, sha1(h) AS sha, min(page_id) OVER (PARTITION BY sha1(h)) AS first FROM p),
+e AS (SELECT *, list_transform(range(0, 32), lambda k: CAST(('0x' || substr(sha || '00', 1 + CAST(floor(5 * k / 4) AS BIGINT), 3)) AS BIGINT)) AS digits FROM d)
+SELECT page_id, url, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((digits[k + 1] >> (12 - 5 - (5 * k) % 4)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM e
+"""
+
 OP7_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, list(md5(role) || md5(text) ORDER BY turn, role, text) AS turns,
@@ -64,11 +99,13 @@ FROM v WHERE epoch * tokens + before + inside < want
 """
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op7_chat_format": op7_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
-_ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op7_chat_format": OP7_SQL}
+_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_mix_sources": OP3_SQL, "op7_chat_format": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
