@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, decontaminate, mixing, quality, warc
+from heddle.llm import chat, decontaminate, mixing, quality, substrings, suffixes, warc
 from heddle.llm.shared import stored, table
 
 
@@ -23,6 +23,14 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", F.round("position", 6).alias("position"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(table(spark, sf_dir, "conversations"))
 
@@ -61,6 +69,17 @@ SELECT page_id, url, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
 FROM e
 """
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT id, s, md5(array_to_string(list_slice(w, s, s + 34), ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS u(s) WHERE len(w) >= 35),
+r AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+g AS (SELECT DISTINCT id, p FROM x JOIN r USING (h), unnest(range(s, s + 35)) AS u(p)),
+gl AS (SELECT id, list(p) AS gone, count(*) AS n FROM g GROUP BY id),
+k AS (SELECT d.id, string_agg(w[i], ' ' ORDER BY i) AS kept FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.id = d.id AND g.p = i) GROUP BY d.id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gl USING (id) LEFT JOIN k USING (id)
+"""
+
 OP7_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, list(md5(role) || md5(text) ORDER BY turn, role, text) AS turns,
@@ -102,10 +121,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op4_substring_dedup": op4_substring_dedup,
     "op7_chat_format": op7_chat_format,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_mix_sources": OP3_SQL, "op7_chat_format": OP7_SQL}
+_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_chat_format": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
