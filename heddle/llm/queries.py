@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, decontaminate, mixing, quality, substrings, suffixes, warc
+from heddle.llm import chat, decontaminate, mixing, quality, simhash, substrings, suffixes, warc
 from heddle.llm.shared import stored, table
 
 
@@ -31,6 +31,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(table(spark, sf_dir, "conversations"))
 
@@ -122,6 +126,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_simhash": op6_simhash,
     "op7_chat_format": op7_chat_format,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
