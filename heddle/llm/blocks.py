@@ -147,13 +147,17 @@ def aligned(key: np.ndarray, buckets: int, replies: dict[int, bytes], dtype) ->
     return got
 
 
-def exchange(entries: DataFrame, reducer: Callable[[pa.Table], list[bytes]], what: str) -> DataFrame:
-    """REPLIES, stored: reducer gets the rows of a bucket and returns a reply for each."""
+def exchange(entries: DataFrame, reducer: Callable[[pa.Table], list[bytes]], what: str, totals: Callable[[pa.Table], bytes] | None = None) -> DataFrame:
+    """REPLIES, stored: reducer gets the rows of a bucket and returns a reply for each; totals gives one more for the bucket, of block -1."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         replies = reducer(table)
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "reply": pa.array(replies, pa.binary())})
+        block, bucket = table["block"].combine_chunks(), table["bucket"].combine_chunks()
+        if totals:
+            replies = [*replies, totals(table)]
+            block, bucket = pa.concat_arrays([block, pa.array([-1], pa.int64())]), pa.concat_arrays([bucket, bucket[:1]])
+        return pa.table({"block": block, "bucket": bucket, "reply": pa.array(replies, pa.binary())})
 
     return stored(entries.groupBy("bucket").applyInArrow(run, REPLIES), what)
 
