@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, decontaminate, lm, mixing, quality, simhash, substrings, suffixes, warc
+from heddle.llm import chat, decontaminate, html_text, lm, mixing, quality, simhash, substrings, suffixes, warc
 from heddle.llm.shared import stored, table
 
 
@@ -35,6 +35,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -130,6 +134,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_html_text": op5_html_text,
     "op6_simhash": op6_simhash,
     "op7_chat_format": op7_chat_format,
     "op8_lm_score": op8_lm_score,
