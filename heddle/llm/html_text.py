@@ -181,7 +181,7 @@ class Crf:
         return "\n\n".join(b.text for b, y in zip(blocks, self.decode(features(blocks)), strict=True) if y)
 
 
-def train(pages: Iterable[tuple[list[list[str]], list[int]]], rounds: int = 150, rate: float = 0.3, l2: float = 0.02) -> Crf:
+def train(pages: Iterable[tuple[list[list[str]], list[int]]], rounds: int = 300, rate: float = 0.5, l2: float = 0.01) -> Crf:
     """Maximum conditional likelihood with an L2 prior, by AdaGrad over forward and backward sums of all pages at once."""
     pages = [p for p in pages if p[1]]
     index: dict[str, int] = {}
@@ -206,24 +206,27 @@ def train(pages: Iterable[tuple[list[list[str]], list[int]]], rounds: int = 150,
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:, :-1][pair], y[:, 1:][pair]), 1)
     first = np.bincount(y[:, 0], minlength=2)
-    lse = lambda v, axis: np.logaddexp.reduce(v, axis=axis)
+    live = mask.T[:, :, None]
     for _ in range(rounds):
-        e = np.zeros((count, longest, 2))
-        e[:, :, 1] = np.bincount(cell, w[feat], count * longest).reshape(count, longest)
-        fwd = np.zeros((count, longest, 2))
-        fwd[:, 0] = start + e[:, 0]
+        e = np.ones((longest, count, 2))
+        e[:, :, 1] = np.exp(np.bincount(cell, w[feat], count * longest)).reshape(count, longest).T
+        step = np.exp(trans)
+        # scaled forward and backward sums; a page that has ended keeps its last forward row
+        fwd, scale = np.empty((longest, count, 2)), np.ones((longest, count, 1))
+        fwd[0] = np.exp(start) * e[0]
+        fwd[0] /= fwd[0].sum(1, keepdims=True)
         for t in range(1, longest):
-            new = lse(fwd[:, t - 1, :, None] + trans, 1) + e[:, t]
-            fwd[:, t] = np.where(mask[:, t, None], new, fwd[:, t - 1])
-        z = lse(fwd[:, -1], 1)
-        bwd = np.zeros((count, longest, 2))
+            new = (fwd[t - 1] @ step) * e[t]
+            scale[t] = np.where(live[t], new.sum(1, keepdims=True), 1)
+            fwd[t] = np.where(live[t], new / scale[t], fwd[t - 1])
+        bwd = np.ones((longest, count, 2))
         for t in range(longest - 2, -1, -1):
-            new = lse(trans + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
-            bwd[:, t] = np.where(mask[:, t + 1, None], new, 0)
-        main = np.exp(fwd[:, :, 1] + bwd[:, :, 1] - z[:, None]) * mask
-        both = np.exp(fwd[:, :-1, :, None] + trans + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
-        p0 = np.exp(fwd[:, 0] + bwd[:, 0] - z[:, None]).sum(0)
-        grads = (np.bincount(feat, (y * mask - main).reshape(-1)[cell], len(index)) - l2 * w, seen - both.sum((0, 1)) - l2 * trans, first - p0 - l2 * start)
+            bwd[t] = np.where(live[t + 1], (e[t + 1] * bwd[t + 1] / scale[t + 1]) @ step.T, 1)
+        main = (fwd * bwd)[:, :, 1].T * mask
+        ahead = np.where(live[1:], e[1:] * bwd[1:] / scale[1:], 0)
+        both = np.einsum("tpi,tpj->ij", fwd[:-1], ahead) * step
+        p0 = (fwd[0] * bwd[0]).sum(0)
+        grads = (np.bincount(feat, (y * mask - main).reshape(-1)[cell], len(index)) - l2 * w, seen - both - l2 * trans, first - p0 - l2 * start)
         for v, g, s in zip((w, trans, start), grads, sums, strict=True):
             s += g * g
             v += rate * g / np.sqrt(s)
@@ -262,6 +265,11 @@ def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[tuple[str,
             return " ".join(words).capitalize()
 
         def put(open_: str, text: str, label: int, link: bool = False):
+            if not label and rng.random() < 0.15:
+                text += rng.choice([" cookies", " privacy policy", " all rights reserved", " subscribe", " newsletter", " sign in", " advertisement", " share", " comments", " ©", " | "])
+                text = text.strip()
+            elif label and rng.random() < 0.01:
+                text += " share, comment"
             name = open_.split()[0]
             shown = html.escape(text, quote=False)
             if link:
