@@ -91,29 +91,29 @@ def fetch(file: str, offset: int, length: int) -> pa.Table:
         return pa.ipc.open_stream(f.read_at(length, offset)).read_all()
 
 
-def with_replies(index: DataFrame, *replies: DataFrame) -> DataFrame:
-    """index with a column replies<i> of (bucket, reply) for each reply table. A block's replies are as large as its own keys."""
+def kernel(index: DataFrame, run: Callable[..., Iterator[pa.RecordBatch]], schema, *replies: DataFrame) -> DataFrame:
+    """run(block, table, [{bucket: bytes} of each reply table]) for each block.
+
+    A block's replies are as large as its own keys. They and the index are dealt by block,
+    once, into so many parts that each has few blocks, whatever their size in bytes.
+    """
+    parts, n_replies = max(1, min(index.count(), 1 << 16)), len(replies)
+    index = index.repartition(parts, "block")
     for i, r in enumerate(replies):
-        own = r.groupBy(F.col("block").alias("__b")).agg(F.collect_list(F.struct("bucket", "reply")).alias(f"replies{i}"))
+        own = r.repartition(parts, "block").groupBy(F.col("block").alias("__b")).agg(F.collect_list(F.struct("bucket", "reply")).alias(f"replies{i}"))
         index = index.join(own, F.col("block") == F.col("__b"), "left").drop("__b")
-    return index
-
-
-def kernel(index: DataFrame, run: Callable[..., Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """run(block, table, [replies0, ...]) for each block; each replies is {bucket: bytes}."""
 
     def each(batches):
         for batch in batches:
             names = batch.schema.names
-            extra = [n for n in names if n.startswith("replies")]
             for i in range(batch.num_rows):
                 row = {n: batch.column(names.index(n))[i] for n in names}
                 table = fetch(row["file"].as_py(), row["offset"].as_py(), row["length"].as_py())
-                replies = [{x["bucket"].as_py(): x["reply"].as_py() for x in (row[n] if row[n].is_valid else [])} for n in extra]
-                yield from run(row["block"].as_py(), table, replies)
+                cells = [row[f"replies{k}"] for k in range(n_replies)]
+                got = [{x["bucket"].as_py(): x["reply"].as_py() for x in (c if c.is_valid else [])} for c in cells]
+                yield from run(row["block"].as_py(), table, got)
 
-    parts = max(1, min(index.count(), 1 << 16))
-    return index.repartition(parts, "block").mapInArrow(each, schema)
+    return index.mapInArrow(each, schema)
 
 
 def buckets_for(index: DataFrame, entries_per_byte: float) -> int:
@@ -137,14 +137,13 @@ def entry_batch(block: int, buckets: int, key: np.ndarray, **values: np.ndarray)
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def aligned(key: np.ndarray, buckets: int, replies: dict[int, bytes], dtype) -> np.ndarray:
-    """The replies to entry_batch(key), in its order."""
+def aligned(key: np.ndarray, buckets: int, replies: dict[int, bytes]) -> np.ndarray:
+    """The replies to entry_batch(key), in its order; a bucket's are numbers of 8, 32 or 64 bits, by their length."""
     if not len(key):
-        return np.zeros(0, dtype)
-    got = np.concatenate([np.frombuffer(replies[b], dtype) for b in np.unique(bucket_of(key, buckets)).tolist()])
-    if len(got) != len(key):
-        raise ValueError("replies don't fit the keys sent")
-    return got
+        return np.zeros(0, np.uint8)
+    own, sizes = np.unique(bucket_of(key, buckets), return_counts=True)
+    kinds = {1: np.uint8, 4: np.uint32, 8: np.uint64}
+    return np.concatenate([np.frombuffer(replies[b], kinds[len(replies[b]) // n]) for b, n in zip(own.tolist(), sizes.tolist(), strict=True)])
 
 
 def exchange(entries: DataFrame, reducer: Callable[[pa.Table], list[bytes]], what: str, totals: Callable[[pa.Table], bytes] | None = None) -> DataFrame:

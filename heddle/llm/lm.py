@@ -28,6 +28,7 @@ from heddle.llm import blocks as B
 U64 = np.uint64
 KAPPA = 2000.0
 FOLDS, HELD = 7, 2
+BLOCK_BYTES = 6 << 20
 #: Codes of the end token and of the start, as a history.
 END, START = U64(0x0123456789ABCDE1), U64(0xFEDCBA9876543217)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -75,11 +76,11 @@ class Grams:
         kind[start] = 2
         self.order = np.argsort(keys, kind="stable")
         self.keys, self.kind = keys[self.order], kind[self.order]
-        self.n = np.concatenate([word_n, pair_n])[self.order].astype(np.uint64)
+        self.n = np.concatenate([word_n, pair_n])[self.order].astype(np.uint32)
 
     def corpus_counts(self, buckets: int, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         got = np.empty(len(self.keys), np.uint64)
-        got[self.order] = B.aligned(self.keys, buckets, replies, np.uint64)
+        got[self.order] = B.aligned(self.keys, buckets, replies)
         return got[: len(self.words)].astype(np.float64), got[len(self.words) :].astype(np.float64)
 
 
@@ -100,16 +101,16 @@ def automaton_scores(g: Grams, word_n: np.ndarray, pair_n: np.ndarray, tokens: f
 
 
 def sum_counts(table: pa.Table) -> list[bytes]:
-    """A bucket's replies: the sums, as numbers of 64 bits."""
+    """A bucket's replies: the sums, as numbers of 32 bits, or of 64 where one needs them."""
     key, lengths = B.arrays(table, "key", np.uint64)
     kind, _ = B.arrays(table, "key2", np.uint8)
-    n, _ = B.arrays(table, "n", np.uint64)
+    n, _ = B.arrays(table, "n", np.uint32)
     order = np.lexsort((kind, key))
     k, kk = key[order], kind[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (kk[1:] != kk[:-1])
-    total = np.add.reduceat(n[order], np.flatnonzero(new))
-    out = np.empty(len(k), np.uint64)
+    total = np.add.reduceat(n[order], np.flatnonzero(new), dtype=np.uint64)
+    out = np.empty(len(k), np.uint32 if total.max() < 1 << 32 else np.uint64)
     out[order] = total[np.cumsum(new) - 1]
     return B.split(out, lengths)
 
@@ -118,9 +119,9 @@ def word_totals(table: pa.Table) -> bytes:
     """A bucket's training tokens and types of words, as two big-endian numbers."""
     key, _ = B.arrays(table, "key", np.uint64)
     kind, _ = B.arrays(table, "key2", np.uint8)
-    n, _ = B.arrays(table, "n", np.uint64)
+    n, _ = B.arrays(table, "n", np.uint32)
     own = (kind == 1) & (n > 0)
-    return np.array([n[own].sum(), len(np.unique(key[own]))], ">u8").tobytes()
+    return np.array([n[own].sum(dtype=np.uint64), len(np.unique(key[own]))], ">u8").tobytes()
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", kappa: float = KAPPA) -> DataFrame:
@@ -131,7 +132,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", kappa: float
     training document N = V = 0 and every score is 0. Other columns are left behind.
     """
     docs = docs.select(key, text)
-    index = B.pack(docs, text)
+    index = B.pack(docs, text, BLOCK_BYTES)
     buckets = B.buckets_for(index, 0.14)
 
     def send(block, table, replies):
@@ -160,4 +161,4 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", kappa: float
         }
         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return B.kernel(B.with_replies(index, counts.filter("block >= 0")), finish, schema)
+    return B.kernel(index, finish, schema, counts.filter("block >= 0"))

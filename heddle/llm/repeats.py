@@ -173,7 +173,7 @@ class Plan:
 
     def _two(self, table: pa.Table, replies):
         sym, anc, keys, of, _ = self._one(table)
-        again = B.aligned(keys, self.buckets[0], replies[0], np.uint8)[of] > 0 if len(keys) else np.zeros(0, bool)
+        again = B.aligned(keys, self.buckets[0], replies[0])[of] > 0 if len(keys) else np.zeros(0, bool)
         anc = Anchors(anc.key[again], anc.ctx[again], anc.lo[again], anc.hi[again])
         pos, ids = self._pos(sym, table, anc.lo)
         return sym, anc, pos, ids, group(anc.key, anc.ctx, pos, np.ones(len(pos), np.int64))
@@ -181,7 +181,7 @@ class Plan:
     def _three(self, table: pa.Table, replies):
         """sym, whole ranges found (lo, hi), and the windows still to compare with their groups."""
         sym, anc, pos, ids, g = self._two(table, replies)
-        bits = B.aligned(g.key, self.buckets[1], replies[1], np.uint8)[g.of] if len(g.key) else np.zeros(0, np.uint8)
+        bits = B.aligned(g.key, self.buckets[1], replies[1])[g.of] if len(g.key) else np.zeros(0, np.uint8)
         dup, mixed, rep = bits & 1 > 0, bits & 2 > 0, bits & 4 > 0
         least = pos == g.pos[g.of]
         if self.mode == "any":
@@ -228,7 +228,7 @@ class Plan:
     def covered(self, table: pa.Table, replies) -> tuple[Symbols, np.ndarray]:
         """The block's symbols and which of them a repeated window covers."""
         sym, (lo, hi), starts, pos, _, g = self._three(table, replies)
-        dup = B.aligned(g.key, self.buckets[2], replies[2], np.uint8)[g.of] & 1 > 0 if len(g.key) else np.zeros(0, bool)
+        dup = B.aligned(g.key, self.buckets[2], replies[2])[g.of] & 1 > 0 if len(g.key) else np.zeros(0, bool)
         if self.mode == "earlier":
             dup |= pos > g.pos[g.of]
         edge = np.zeros(len(sym.codes) + 1, np.int32)
@@ -288,10 +288,10 @@ def find(docs: DataFrame, plan: Plan, finish, schema) -> DataFrame:
     index = B.pack(docs, plan.text)
     plan.buckets = [B.buckets_for(index, d) for d in (plan.density, plan.density, plan.density)]
     one = B.exchange(B.kernel(index, plan.send_one, B.ENTRIES), plan.count, "anchors")
-    two = B.exchange(B.kernel(B.with_replies(index, one), plan.send_two, B.ENTRIES), plan.compare(np.uint64), "contexts")
-    three = B.exchange(B.kernel(B.with_replies(index, one, two), plan.send_three, B.ENTRIES), plan.compare(np.uint32), "windows")
+    two = B.exchange(B.kernel(index, plan.send_two, B.ENTRIES, one), plan.compare(np.uint64), "contexts")
+    three = B.exchange(B.kernel(index, plan.send_three, B.ENTRIES, one, two), plan.compare(np.uint32), "windows")
 
     def last(block, table, replies):
         yield finish(table, *plan.covered(table, replies))
 
-    return B.kernel(B.with_replies(index, one, two, three), last, schema)
+    return B.kernel(index, last, schema, one, two, three)
