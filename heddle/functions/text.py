@@ -8,6 +8,7 @@ from encodings import idna
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # fixed values: legal suffixes, longest first within each language
 ENGLISH_SUFFIXES = ["company limited", "incorporated", "company ltd", "corporation", "co limited", "limited", "co ltd", "corp", "ltd", "llc", "inc", "co"]
@@ -33,17 +34,17 @@ COUNTRIES = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(values: pd.Series) -> pd.Series:
     return values.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(values: pd.Series) -> pd.Series:
     """Letters without their combining marks, case-folded: how the search index sees text."""
     plain = lambda v: "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).casefold()
@@ -84,7 +85,7 @@ def country_code(c: Column) -> Column:
     return F.when(clean.rlike(r"^\p{L}{2}$"), F.upper(clean)).otherwise(F.try_element_at(names, clean))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _to_ascii_host(hosts: pd.Series) -> pd.Series:
     def one(host):
         try:
@@ -113,7 +114,7 @@ def address(c: Column, ascii_only: bool = False) -> Column:
 def masked_address(c: Column, keep: int = 3, ascii_only: bool = False) -> Column:
     """The last segments after ***; without enough commas the last three words after ***, numbers masked, or *** alone."""
     full = address(c, ascii_only)
-    parts = F.filter(F.transform(F.split(full, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(full, ","), lambda p: F.trim(p)), lambda p: p != "")
     words = F.split(whitespace(F.regexp_replace(full, r"\b\d+[A-Za-z0-9/-]*\b", "***")), " ")
     tail = lambda a, n: F.slice(a, -n, n)
     line = F.when(F.size(words) <= 4, "***").otherwise(F.concat_ws(" ", F.lit("***"), tail(words, 3)))
@@ -135,7 +136,7 @@ def bigram_dice(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.size(ga) == 0) | (F.size(gb) == 0), 0.0).otherwise(2.0 * common / either)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; after blocking only."""
     from difflib import SequenceMatcher

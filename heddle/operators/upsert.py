@@ -19,7 +19,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: dict[str, st
     policy = policy or {}
     at = F.col(order) if order else F.lit(0)
     both = old.withColumn("__turn", F.struct(F.lit(0).alias("side"), F.lit(None).cast(new.schema[order].dataType if order else "int").alias("at"))).unionByName(
-        new.withColumn("__turn", F.struct(F.lit(1).alias("side"), at.alias("at")))
+        new.select(*old.columns, F.struct(F.lit(1).alias("side"), at.alias("at")).alias("__turn"))
     )
     out = []
     for c in old.columns:
