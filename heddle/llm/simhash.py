@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.blocks import mix
 from heddle.llm.shared import release, stored
 
 SHINGLE, BITS, SEED = 3, 2, 42
@@ -29,37 +30,64 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U64 = np.uint64
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Unsigned SimHash of the word shingles; zero without words."""
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; of the whole sequence where it is shorter, none without words."""
     words = (text or b"").translate(_LOWER).split()
-    if not words:
-        return 0
     norm = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(norm, SEED)
+        return np.array([xxhash.xxh64_intdigest(norm, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
     digest = xxhash.xxh64_intdigest
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(norm[a:b], SEED) for a, b in spans), np.uint64, len(words) - shingle + 1)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Unsigned; a bit is one if it is in over half the hashes, so zero without any."""
     ones = np.zeros(64, np.int64)
-    n = len(words) - shingle + 1
-    spans = list(zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True))
-    for at in range(0, n, 1 << 16):
-        h = np.array([digest(norm[a:b], SEED) for a, b in spans[at : at + (1 << 16)]], dtype=">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes())
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes())
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    return simhash(shingles(text, shingle))
+
+
+#: Sub-fingerprints: of 2 ** level classes of the shingles by their hash, the first CLASSES; PER_CLASS shingles in one at the coarser level, half as many at the finer.
+CLASSES, PER_CLASS = 16, 3
+
 
+def subfingerprints(hashes: np.ndarray) -> np.ndarray:
+    """XORs of small classes of the distinct shingles, at two sizes: documents of similarity 0.8 have one in common with a probability of over 0.99 if they have 40 shingles or more."""
+    own = np.unique(hashes)
+    out = []
+    level = max(0, int(np.log2(len(own) / PER_CLASS))) if len(own) else 0
+    for lv in (level, level + 1) if len(own) else ():
+        kind = own >> U64(64 - lv) if lv else np.zeros(len(own), np.uint64)
+        kind = kind[kind < CLASSES]
+        if len(kind):
+            first = np.flatnonzero(np.diff(kind, prepend=U64(CLASSES)))
+            out.append(np.bitwise_xor.reduceat(mix(own[: len(kind)]), first) ^ mix(kind[first] + U64(lv << 8)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, subs: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), and subs, empty unless asked for."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            fps = [fingerprint(t.as_py(), shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fps, parts = [], []
+            for t in batch.column(1).cast(pa.large_binary()):
+                h = shingles(t.as_py(), shingle)
+                fps.append(simhash(h))
+                parts.append(subfingerprints(h).view(np.int64) if subs else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "fp", "subs"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, fp long, subs array<long>")
 
 
 @dataclass
@@ -211,16 +239,63 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("a", "fp")
 
 
-def near_dedup(docs: DataFrame, radius: int = BITS, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id", leaf: int = LEAF) -> DataFrame:
+def similar_links(docs: DataFrame, text: str, key: str, fps: DataFrame, points: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(fp, root) for distinct fingerprints whose texts have a Jaccard similarity of at least similarity.
+
+    Candidates share a sub-fingerprint. Each sub-fingerprint's leader is, of those that
+    share it, the one that shares most of its own, as the original of edited copies does;
+    the others are compared with it, whole text with whole text, so a group of n gives n - 1
+    pairs, not all. Only texts that are in a pair are moved.
+    """
+    spark = docs.sparkSession
+    rows = fps.select("fp", F.explode("subs").alias("sub")).distinct()
+    often = rows.groupBy("sub").agg(F.count("*").alias("n")).filter("n > 1").select("sub")
+    shared = stored(rows.join(often, "sub", "left_semi"), "simhash-shared")
+    degree = shared.groupBy("fp").agg(F.count("*").alias("degree"))
+    lead = shared.join(degree, "fp").groupBy("sub").agg(F.max_by("fp", F.struct("degree", "fp")).alias("leader"))
+    pairs = stored(shared.join(lead, "sub").filter("fp <> leader").select("fp", "leader").distinct(), "simhash-pairs")
+    nodes = pairs.select("fp").union(pairs.select(F.col("leader").alias("fp"))).distinct()
+    wanted = points.join(nodes, "fp").select("fp", F.col("least").alias("__least"))
+    texts = stored(docs.select(F.col(key).alias("__key"), F.col(text).alias("t")).join(wanted, F.col("__key").eqNullSafe(F.col("__least"))).select("fp", "t").dropDuplicates(["fp"]), "simhash-texts")
+    release(spark)
+    a, b = texts.withColumnRenamed("t", "a"), texts.select(F.col("fp").alias("leader"), F.col("t").alias("b"))
+    both = pairs.join(a, "fp").join(b, "leader").select("fp", "leader", "a", "b")
+
+    def check(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fp, leader = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            one, two = (batch.column(i).cast(pa.large_binary()) for i in (2, 3))
+            keep = np.zeros(len(fp), bool)
+            for i in range(len(fp)):
+                if leader[i] not in held:
+                    held = {leader[i]: np.unique(shingles(two[i].as_py(), shingle))}  # rows come sorted by leader
+                x, y = np.unique(shingles(one[i].as_py(), shingle)), held[leader[i]]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = common >= similarity * (len(x) + len(y) - common)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(leader[keep])], names=["fp", "root"])
+
+    return both.mapInArrow(check, "fp long, root long")
+
+
+def near_dedup(docs: DataFrame, radius: int = BITS, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id", leaf: int = LEAF, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links of at most radius bits), one row for each row of docs.
 
     Null and empty texts have fingerprint zero and are linked like any other. A null doc_id
     is never the least; a component of null ids has component_id null. Other columns are
     left behind. An empty table gives no rows.
+
+    With similarity, texts whose sets of shingles have at least that Jaccard similarity are
+    linked as well (similar_links): their fingerprints differ by ten bits or so, more than
+    a vantage point can tell from chance (32 by 4). Texts of one fingerprint then count as
+    one, that of the least doc_id.
     """
-    fps = stored(fingerprints(docs, text, key, shingle), "fingerprints")
+    fps = stored(fingerprints(docs, text, key, shingle, similarity is not None), "fingerprints")
     points = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-points")
-    edges = stored(links(points, radius, leaf), "simhash-links")
+    edges = links(points, radius, leaf)
+    if similarity is not None:
+        edges = edges.union(stored(similar_links(docs, text, key, fps, points, shingle, similarity), "simhash-similar"))
+    edges = stored(edges, "simhash-links")
     labels = components(edges)
     rooted = points.join(labels.withColumnRenamed("fp", "__fp"), F.col("fp") == F.col("__fp"), "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -82,3 +82,29 @@ def test_through_spark(spark):
     got = H.near_dedup(df, leaf=16).collect()
     assert sorted((tuple(r) for r in got), key=str) == want
     assert H.near_dedup(df.limit(0)).count() == 0
+
+
+def test_similar_texts(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 200, 800]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(6)):
+            w = list(base)
+            for _ in range(rng.choice([1, len(w) // 80, len(w) // 50, len(w) // 6])):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(3)
+    sets = [set(H.shingles(t.encode(), 5).tolist()) for t in texts]
+    like = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.component_id for r in H.near_dedup(df, shingle=5, similarity=0.8).collect()}
+    assert sum(got[i] == got[j] for i, j in like) >= 0.97 * len(like) and len(like) > 40
+    root = list(range(len(texts)))
+    for _ in range(9):
+        for i, j in like:
+            root[i] = root[j] = min(root[i], root[j])
+    wrong = sum(got[i] == got[j] and root[i] != root[j] for i in range(len(texts)) for j in range(i))
+    assert wrong <= 2  # fingerprints within two bits
