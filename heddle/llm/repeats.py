@@ -30,6 +30,8 @@ from heddle.llm import blocks as B
 
 U64 = np.uint64
 SEGMENT = 1 << 18
+#: A kernel holds some arrays of 8 bytes for each symbol of a block.
+BLOCK_BYTES = 3 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -68,7 +70,7 @@ def anchors(sym: Symbols, length: int, k: int) -> Anchors:
         edge = np.zeros(n + 1, np.int32)
         np.add.at(edge, sym.off[:-1][fits], 1)
         np.add.at(edge, (sym.off[1:] - length + 1)[fits], -1)
-        valid = np.cumsum(edge[:-1]) > 0
+        valid = np.cumsum(edge[:-1], dtype=np.int32) > 0
         mask = U64((1 << 20) - 1)
         up, down = B.powers(SEGMENT + length + 1)
         for a in range(0, n - length + 1, SEGMENT):
@@ -234,7 +236,7 @@ class Plan:
         edge = np.zeros(len(sym.codes) + 1, np.int32)
         np.add.at(edge, np.append(lo, starts[dup]), 1)
         np.add.at(edge, np.append(hi, starts[dup]) + self.length, -1)
-        return sym, np.cumsum(edge[:-1]) > 0
+        return sym, np.cumsum(edge[:-1], dtype=np.int32) > 0
 
     # reducers
 
@@ -285,7 +287,7 @@ class Plan:
 
 def find(docs: DataFrame, plan: Plan, finish, schema) -> DataFrame:
     """finish(table, symbols, covered) -> RecordBatch for each block of docs, in rows of schema."""
-    index = B.pack(docs, plan.text)
+    index = B.pack(docs, plan.text, BLOCK_BYTES)
     plan.buckets = [B.buckets_for(index, d) for d in (plan.density, plan.density, plan.density)]
     one = B.exchange(B.kernel(index, plan.send_one, B.ENTRIES), plan.count, "anchors")
     two = B.exchange(B.kernel(index, plan.send_two, B.ENTRIES, one), plan.compare(np.uint64), "contexts")
