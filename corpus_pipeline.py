@@ -23,10 +23,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or fingerprints within two bits) the document with the least doc_id (of repeated rows, one)."""
-    keyed = stored(docs.withColumn("__key", F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("row"))), "near")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
     groups = simhash.near_dedup(keyed, shingle=5, key="__key", similarity=0.8)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("__row"))
-    return keyed.join(first, keyed["__key.row"] == F.col("__row"), "left_semi").drop("__key")
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first")).distinct()
+    return keyed.join(first, F.col("__key") == F.col("__first"), "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
