@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.shared import scratch, stored
+from heddle.llm.shared import release, scratch, stored
 from heddle.llm.warc import open_fs
 
 INDEX = "block long, file string, offset long, length long, bytes long"
@@ -158,7 +158,9 @@ def exchange(entries: DataFrame, reducer: Callable[[pa.Table], list[bytes]], wha
             block, bucket = pa.concat_arrays([block, pa.array([-1], pa.int64())]), pa.concat_arrays([bucket, bucket[:1]])
         return pa.table({"block": block, "bucket": bucket, "reply": pa.array(replies, pa.binary())})
 
-    return stored(entries.groupBy("bucket").applyInArrow(run, REPLIES), what)
+    out = stored(entries.groupBy("bucket").applyInArrow(run, REPLIES), what)
+    release(entries.sparkSession)  # what was shuffled is as large as all keys
+    return out
 
 
 def arrays(table: pa.Table, name: str, dtype) -> tuple[np.ndarray, np.ndarray]:
