@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.blocks import mix
-from heddle.llm.shared import release, stored
+from heddle.llm.shared import discard, release, scratch, stored
 
 SHINGLE, BITS, SEED = 3, 2, 42
 #: Points a leaf should have; most points of the sample the tree is fitted on; points compared whole inside a leaf.
@@ -58,6 +58,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 #: Sub-fingerprints: of 2 ** level classes of the shingles by their hash, the first CLASSES; PER_CLASS shingles in one at the coarser level, half as many at the finer.
 CLASSES, PER_CLASS = 16, 3
+#: Counters of a sketch; most members of a sub-fingerprint's block; rounds in which leaders are compared before all remaining candidates are.
+BINS, BLOCK, ROUNDS = 256, 1024, 2
 
 
 def subfingerprints(hashes: np.ndarray) -> np.ndarray:
@@ -74,20 +76,43 @@ def subfingerprints(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(hashes: np.ndarray) -> tuple[int, bytes]:
+    """Number of distinct shingles, and how many fall into each of BINS bins by their hash; without the latter where a count needs over a byte."""
+    own = np.unique(hashes)
+    counts = np.bincount((own % U64(BINS)).astype(np.int64), minlength=BINS)
+    return len(own), counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """One row of counters for each sketch, and whether it has any."""
+    parts = [s if s else b"" for s in column.to_pylist()]
+    known = np.array([len(s) == BINS for s in parts], bool)
+    return np.frombuffer(b"".join(s if k else bytes(BINS) for s, k in zip(parts, known, strict=True)), np.uint8).reshape(-1, BINS), known
+
+
+def reach(most: np.ndarray, both: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with at most most shingles in common, of both in all, can be similar; exact if most is what they have in common."""
+    return most >= similarity * (both - most)
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, subs: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long), and subs, empty unless asked for."""
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), and subs, size and sketch (of the set of shingles), empty unless asked for."""
 
     def run(batches):
         for batch in batches:
-            fps, parts = [], []
+            fps, parts, sizes, bins = [], [], [], []
             for t in batch.column(1).cast(pa.large_binary()):
                 h = shingles(t.as_py(), shingle)
                 fps.append(simhash(h))
                 parts.append(subfingerprints(h).view(np.int64) if subs else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "fp", "subs"])
+                size, counts = sketch(h) if subs else (None, None)
+                sizes.append(size)
+                bins.append(counts)
+            own = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(parts, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own], names=["doc_id", "fp", "subs", "size", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, fp long, subs array<long>")
+    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, fp long, subs array<long>, size long, sketch binary")
 
 
 @dataclass
@@ -240,23 +265,109 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, text: str, key: str, fps: DataFrame, points: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(fp, root) for distinct fingerprints whose texts have a Jaccard similarity of at least similarity.
-
-    Candidates share a sub-fingerprint. Each sub-fingerprint's leader is, of those that
-    share it, the one that shares most of its own, as the original of edited copies does;
-    the others are compared with it, whole text with whole text, so a group of n gives n - 1
-    pairs, not all. Only texts that are in a pair are moved.
+    """(fp, root) that connect the distinct fingerprints as the candidates of at least similarity (Jaccard, whole texts) do.
+
+    Candidates share a sub-fingerprint, and all are settled: a pair is compared, or its
+    bound by the sketches is below similarity, or other pairs have connected it. First each
+    sub-fingerprint's leader (the member that shares most of its own, as the original of
+    edited copies does; then another one) is compared with the members that aren't
+    connected to it, so that a group of copies is mostly one component after n - 1 pairs.
+    Then the members of each sub-fingerprint that still has several components meet in
+    blocks by their sketches, and what can be similar across components is compared. Only
+    texts in a pair that the bound leaves are moved.
     """
     spark = docs.sparkSession
     rows = fps.select("fp", F.explode("subs").alias("sub")).distinct()
-    often = rows.groupBy("sub").agg(F.count("*").alias("n")).filter("n > 1").select("sub")
-    shared = stored(rows.join(often, "sub", "left_semi"), "simhash-shared")
+    often = rows.groupBy("sub").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(rows.join(often, "sub"), "simhash-shared")
     degree = shared.groupBy("fp").agg(F.count("*").alias("degree"))
-    lead = shared.join(degree, "fp").groupBy("sub").agg(F.max_by("fp", F.struct("degree", "fp")).alias("leader"))
-    pairs = stored(shared.join(lead, "sub").filter("fp <> leader").select("fp", "leader").distinct(), "simhash-pairs")
+    nodes = fps.groupBy("fp").agg(F.min_by(F.struct("size", "sketch"), "doc_id").alias("s"))
+    nodes = stored(nodes.join(degree, "fp").select("fp", "degree", "s.size", "s.sketch"), "simhash-nodes")
+    release(spark)
+    edges = done = None
+    left = shared.withColumn("label", F.col("fp"))
+    for k in range(ROUNDS):
+        order = F.struct("degree", "fp") if not k else F.struct(F.xxhash64("fp", "sub", F.lit(k)), "fp")
+        lead = left.join(nodes.select("fp", "degree"), "fp").groupBy("sub").agg(F.max_by(F.struct("fp", "label"), order).alias("lead"))
+        pairs = left.join(lead, "sub").filter("label <> lead.label").select(F.greatest("fp", "lead.fp").alias("fp"), F.least("fp", "lead.fp").alias("leader")).distinct()
+        pairs = stored(_bounded(pairs, nodes, done, similarity), "simhash-pairs")
+        edges, done = _add(edges, _alike(pairs, docs, text, key, points, shingle, similarity)), _add(done, pairs)
+        left = _unsettled(shared, edges)
+        release(spark)
+    # a sub-fingerprint of two members has been settled by its leader
+    pairs = stored(_bounded(_blocks(left.filter("n > 2"), nodes, similarity), None, done, similarity), "simhash-pairs")
+    return _add(edges, _alike(pairs, docs, text, key, points, shingle, similarity))
+
+
+def _add(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.union(b)
+
+
+def _unsettled(shared: DataFrame, edges: DataFrame) -> DataFrame:
+    """shared with each fingerprint's component (label), where a sub-fingerprint has several."""
+    labels = components(edges).withColumnsRenamed({"fp": "__fp"})
+    rows = stored(shared.join(labels, F.col("fp") == F.col("__fp"), "left").select("fp", "sub", "n", F.coalesce("label", "fp").alias("label")), "simhash-members")
+    several = rows.groupBy("sub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sub")
+    return rows.join(several, "sub", "left_semi")
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame | None, done: DataFrame | None, similarity: float) -> DataFrame:
+    """pairs without those that are done and, given nodes, those whose sketches show that they aren't similar."""
+    if done is not None:
+        pairs = pairs.join(done, ["fp", "leader"], "left_anti")
+    if nodes is None:
+        return pairs
+    a = nodes.select("fp", F.col("size").alias("n"), F.col("sketch").alias("s"))
+    b = nodes.select(F.col("fp").alias("leader"), F.col("size").alias("m"), F.col("sketch").alias("t"))
+
+    def bound(batches):
+        for batch in batches:
+            n, m = (np.array(batch.column(i).to_pylist(), np.float64) for i in (2, 4))  # null, of a null doc_id: nan
+            (x, kx), (y, ky) = sketches(batch.column(3)), sketches(batch.column(5))
+            most = np.where(kx & ky, np.minimum(x, y).sum(axis=1, dtype=np.int64), np.minimum(n, m))
+            keep = reach(most, n + m, similarity) | np.isnan(n + m)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["fp", "leader"])
+
+    return pairs.join(a, "fp").join(b, "leader").select("fp", "leader", "n", "s", "m", "t").mapInArrow(bound, "fp long, leader long")
+
+
+def _blocks(left: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (fp, leader) of different components that share a sub-fingerprint and can be similar by their sketches.
+
+    The members of a sub-fingerprint are dealt into blocks of about BLOCK, and each two blocks meet once.
+    """
+    k = F.ceil(F.col("n") / BLOCK)
+    rows = left.join(nodes, "fp").withColumn("block", F.pmod(F.xxhash64("fp", "sub"), k)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
+    rows = rows.select("sub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "label", "size", "sketch")
+
+    def meet(table: pa.Table) -> pa.Table:
+        block, fp, label = (table[c].to_numpy() for c in ("block", "fp", "label"))
+        size = np.array(table["size"].to_pylist(), np.float64)
+        counts, known = sketches(table["sketch"])
+        cross = table["i"][0].as_py() != table["j"][0].as_py()
+        one, two = [], []
+        for x in range(len(fp) - 1):
+            y = x + 1 + np.flatnonzero((label[x + 1 :] != label[x]) & ((block[x + 1 :] != block[x]) if cross else True))
+            y = y[reach(np.minimum(size[x], size[y]), size[x] + size[y], similarity) | np.isnan(size[x] + size[y])]
+            if known[x] and len(y):
+                most = np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64)
+                y = y[~known[y] | reach(most, size[x] + size[y], similarity)]
+            one.append(np.full(len(y), fp[x]))
+            two.append(fp[y])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *p]) for p in (one, two))
+        return pa.table({"fp": np.maximum(a, b), "leader": np.minimum(a, b)})
+
+    return rows.groupBy("sub", "i", "j").applyInArrow(meet, "fp long, leader long").distinct()
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, text: str, key: str, points: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(fp, root) of the pairs whose whole texts are similar, stored."""
+    spark = docs.sparkSession
     nodes = pairs.select("fp").union(pairs.select(F.col("leader").alias("fp"))).distinct()
     wanted = points.join(nodes, "fp").select("fp", F.col("least").alias("__least"))
-    texts = stored(docs.select(F.col(key).alias("__key"), F.col(text).alias("t")).join(wanted, F.col("__key").eqNullSafe(F.col("__least"))).select("fp", "t").dropDuplicates(["fp"]), "simhash-texts")
+    path = scratch(spark, "simhash-texts")
+    docs.select(F.col(key).alias("__key"), F.col(text).alias("t")).join(wanted, F.col("__key").eqNullSafe(F.col("__least"))).select("fp", "t").dropDuplicates(["fp"]).write.parquet(path)
+    texts = spark.read.parquet(path)
     release(spark)
     a, b = texts.withColumnRenamed("t", "a"), texts.select(F.col("fp").alias("leader"), F.col("t").alias("b"))
     both = pairs.join(a, "fp").join(b, "leader").select("fp", "leader", "a", "b")
@@ -269,13 +380,15 @@ def similar_links(docs: DataFrame, text: str, key: str, fps: DataFrame, points:
             keep = np.zeros(len(fp), bool)
             for i in range(len(fp)):
                 if leader[i] not in held:
-                    held = {leader[i]: np.unique(shingles(two[i].as_py(), shingle))}  # rows come sorted by leader
+                    held = {leader[i]: np.unique(shingles(two[i].as_py(), shingle))}  # rows mostly come sorted by leader
                 x, y = np.unique(shingles(one[i].as_py(), shingle)), held[leader[i]]
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = common >= similarity * (len(x) + len(y) - common)
+                keep[i] = reach(common, len(x) + len(y), similarity)
             yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(leader[keep])], names=["fp", "root"])
 
-    return both.mapInArrow(check, "fp long, root long")
+    alike = stored(both.mapInArrow(check, "fp long, root long"), "simhash-alike")
+    discard(spark, path)
+    return alike
 
 
 def near_dedup(docs: DataFrame, radius: int = BITS, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id", leaf: int = LEAF, similarity: float | None = None) -> DataFrame:
@@ -294,7 +407,7 @@ def near_dedup(docs: DataFrame, radius: int = BITS, shingle: int = SHINGLE, text
     points = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-points")
     edges = links(points, radius, leaf)
     if similarity is not None:
-        edges = edges.union(stored(similar_links(docs, text, key, fps, points, shingle, similarity), "simhash-similar"))
+        edges = edges.union(similar_links(docs, text, key, fps, points, shingle, similarity))
     edges = stored(edges, "simhash-links")
     labels = components(edges)
     rooted = points.join(labels.withColumnRenamed("fp", "__fp"), F.col("fp") == F.col("__fp"), "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))

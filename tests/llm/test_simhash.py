@@ -108,3 +108,34 @@ def test_similar_texts(spark):
             root[i] = root[j] = min(root[i], root[j])
     wrong = sum(got[i] == got[j] and root[i] != root[j] for i in range(len(texts)) for j in range(i))
     assert wrong <= 2  # fingerprints within two bits
+
+
+def test_similar_texts_edited_independently(spark):
+    """Groups of copies near the limit, some without their original: all candidates are linked as brute force links them."""
+    rng = random.Random(5)
+    texts = []
+    for g in range(4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(base)] * (g % 2)
+        for _ in range(60):
+            w = list(base)
+            for _ in range(5):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    hashes = [H.shingles(t.encode(), 5) for t in texts]
+    sets, subs = [set(h.tolist()) for h in hashes], [set(H.subfingerprints(h).tolist()) for h in hashes]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if subs[i] & subs[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in H.near_dedup(df, radius=0, shingle=5, similarity=0.8).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
