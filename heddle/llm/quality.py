@@ -94,25 +94,23 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), summed exactly term by term from the log of the first.
+    """P(X <= k) for X ~ Binomial(n, p), summed exactly term by term from the first, at every n.
 
-    0.0 once the first term underflows and k is at most n * p / 2 (the sum is then below
-    1e-300 times the number of terms); 1.0 where it underflows and k is larger: never
-    smaller than the truth by more than that, so a test on it keeps its level.
+    Terms are relative to the first, (1 - p) ** n, whose log is kept beside them; where they
+    grow large they and their sum are scaled down and the log grows by as much.
     """
     import math
 
-    first = n * math.log1p(-p)
-    odds = p / (1 - p)
-    start = F.struct(F.exp(first).alias("term"), F.exp(first).alias("total"))
+    odds, large = p / (1 - p), 1e200
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"), (n * math.log1p(-p)).alias("log"))
 
     def step(acc: Column, j: Column) -> Column:
         term = acc["term"] * (n - j + 1) / j * odds
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+        down = F.when(term > large, 1 / large).otherwise(1.0)
+        return F.struct((term * down).alias("term"), ((acc["total"] + term) * down).alias("total"), (acc["log"] - F.log(down)).alias("log"))
 
-    total = F.aggregate(F.sequence(F.lit(1).cast("long"), k), start, step, lambda a: a["total"])
-    exact = F.when(k <= 0, F.exp(first)).otherwise(total)
-    return F.when(k >= n, F.lit(1.0)).when(first < -690, F.when(k <= n * p / 2, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(exact)
+    exact = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, step, lambda a: F.exp(a["log"] + F.log(a["total"])))
+    return F.when(k >= n, F.lit(1.0)).otherwise(exact)
 
 
 def thresholds(labelled: DataFrame, stratum: str, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
@@ -129,7 +127,8 @@ def thresholds(labelled: DataFrame, stratum: str, alpha: float = 0.01, delta: fl
     by = by.join(F.broadcast(n_strata))  # one row
     chosen = []
     for rule, cuts in RULES.items():
-        ok = [binomial_cdf(F.col(f"{rule}_{i}"), F.col("n"), alpha) <= F.lit(delta) / tests for i in range(len(cuts))]
+        # from the mean on the probability is over a half and certifies nothing, so no more terms are summed
+        ok = [binomial_cdf(F.least(F.col(f"{rule}_{i}"), F.ceil(F.col("n") * alpha)), F.col("n"), alpha) <= F.lit(delta) / tests for i in range(len(cuts))]
         # fixed sequence: the cutoff before the first failure
         best = F.lit(cuts[-1])
         for i in reversed(range(len(cuts))):

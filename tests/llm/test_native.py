@@ -55,6 +55,22 @@ def test_binomial_cdf(spark):
             assert abs(r.c - true) < 1e-9
 
 
+def test_binomial_cdf_of_many(spark):
+    from math import exp, fsum, lgamma, log, log1p
+
+    rows = [(k, n) for n, ks in ((68_654, (615, 616)), (68_656, (615, 616)), (100_000, (0, 500, 914, 915, 1000)), (1_000_000, (5000, 9728, 9729, 10_100))) for k in ks]
+    for r in spark.createDataFrame(rows, "k long, n long").select("k", "n", quality.binomial_cdf(F.col("k"), F.col("n"), 0.01).alias("c")).collect():
+        true = fsum(exp(lgamma(r.n + 1) - lgamma(j + 1) - lgamma(r.n - j + 1) + j * log(0.01) + (r.n - j) * log1p(-0.01)) for j in range(r.k + 1))
+        assert abs(r.c - true) <= 1e-6 * true
+
+
+def test_cutoffs_of_many_labels(spark):
+    # 929 is the most that an exact test of four rules at 0.05 certifies
+    docs = spark.range(100_000).select(F.lit("en").alias("lang"), *[F.when(F.col("id") < n, 1.0).otherwise(0.0).alias(rule) for rule, n in zip(quality.RULES, (900, 929, 930, 5000), strict=True)])
+    cuts = quality.thresholds(docs, "lang").first().cuts
+    assert cuts == {"symbol_ratio": 0.1, "upper_ratio": 0.4, "dup_line_ratio": None, "repeat_ratio": None}
+
+
 def test_quality_keeps_good_and_drops_junk(spark):
     good = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(900)]
     junk = [" ".join(f"w{i}x{j}$$$" for j in range(60)) for i in range(40)]
