@@ -41,3 +41,20 @@ def test_frontier(spark):
     links = spark.createDataFrame([("s", "a"), ("s", "b"), ("a", "s"), ("a", "c"), ("c", "d"), ("d", "e")], "source string, target string")
     assert [(r.url, r.depth) for r in M.frontier(seeds, links).orderBy("depth", "url").collect()] == [("s", 0), ("a", 1), ("b", 1), ("c", 2), ("d", 3)]
     assert M.frontier(seeds, links, budget=2).count() == 2
+
+
+def test_frontier_of_all_parts(spark, tmp_path):
+    from heddle.plans.registry import queries
+
+    n = 600
+    spark.range(1, n + 1).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for seed in range(1, n + 1):
+        depth, edge = {seed: 0}, {seed}
+        for level in (1, 2, 3):
+            edge = {(u * k + 11 * k) % n + 1 for u in edge for k in (2, 3, 5, 7)} - depth.keys()
+            depth |= dict.fromkeys(edge, level)
+        want |= {(seed, u, depth[u]) for u in sorted(depth, key=lambda u: (depth[u], u))[:25]}
+    got = [tuple(r) for r in queries()["crawl_frontier_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert max(sum(s == seed for s, _, _ in want) for seed in range(1, n + 1)) == 25
