@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from heddle.llm import decontaminate as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -48,17 +50,63 @@ def test_against_brute_force(spark):
     docs, items = cases()
     d = spark.createDataFrame([(i, t, 5) for i, t in docs], "doc_id long, text string, n_hit int")
     b = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (D.ITEM_BYTES, 60):  # one block, many blocks
-        got = {r[0]: tuple(r)[1:] for r in D.decontaminate(d, b, keep=["doc_id"], item_bytes=limit).collect()}
+    for limit in (D.PASS_BYTES, 100 * D.WORD_BYTES):  # one pass, several passes
+        assert (len(list(D.passes(b, limit))) > 2) == (limit < D.PASS_BYTES)
+        got = {r[0]: tuple(r)[1:] for r in D.decontaminate(d, b, keep=["doc_id"], pass_bytes=limit).collect()}
         assert got == brute(docs, items)
 
 
-def test_long_windows_skip(spark):
-    group = D.Patterns(13)
-    group.add(tuple(b"w%d" % i for i in range(13)), "i")
-    hits, names = [], set()
-    group.search([b"z"] * 40 + [b"w%d" % i for i in range(13)] + [b"z"] * 40, hits, names)
-    assert hits == [(40, 53)] and names == {"i"} and D.BLOCK == 3
+def occurrences(items, texts):
+    return D.Pass([(n, D.words_of(t)) for n, t in items]).search([D.words_of(t) for t in texts])
+
+
+def test_long_windows_skip():
+    item = b" ".join(b"w%d" % i for i in range(13))
+    found = D.Pass([("i", D.words_of(item))])
+    text = b"z " * 40 + item + b" z" * 400
+    assert found.search([D.words_of(text)]) == [([(40, 53)], {"i"})]
+    group = found.groups[0]
+    looked = []
+    real = D.Words.grams
+    try:
+        D.Words.grams = lambda self, at, n: (looked.append(len(at)) if n == D.BLOCK else None) or real(self, at, n)
+        group.candidates(D.Words([D.words_of(text)]))
+    finally:
+        D.Words.grams = real
+    assert sum(looked) < 453 / 11 + 14  # shifts of up to eleven words
+
+
+def test_lanes_and_long_items():
+    """A text longer than a lane; an item longer than a pass, whose windows are cut between passes."""
+    rng = random.Random(3)
+    word = lambda: b"%d" % rng.randrange(10**6)
+    item = [word() for _ in range(500)]
+    text = [word() for _ in range(3 * D.LANE)]
+    text[D.LANE - 5 : D.LANE + 35] = item[100:140]
+    assert sorted(occurrences([("x", b" ".join(item))], [b" ".join(text)])[0][0]) == [(D.LANE - 5 + i, D.LANE + 8 + i) for i in range(28)]
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def toLocalIterator(self):
+            return iter([{"item_id": "x", "text": b" ".join(item).decode()}, {"item_id": "y", "text": "a b"}])
+
+    parts = list(D.passes(Frame(), 64 * D.WORD_BYTES))
+    windows = [tuple(w[i : i + 13]) for p in parts for n, w in p if n == "x" for i in range(len(w) - 12)]
+    assert windows == [tuple(item[i : i + 13]) for i in range(488)] and parts[-1][-1] == ("y", [b"a", b"b"])
+
+
+def test_compiled_size_is_bounded():
+    rng = random.Random(4)
+    items = [(str(i), [b"w%d" % rng.randrange(10**7) for _ in range(200)]) for i in range(200)]
+    assert D.Pass(items).nbytes() <= D.WORD_BYTES * 200 * 200
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    monkeypatch.setattr(D.B, "word_hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    found = occurrences([("i", b"a b c d")], [b"x a b c d y e f g h"])
+    assert found == [([(1, 5)], {"i"})]
 
 
 def test_empty_tables(spark):
