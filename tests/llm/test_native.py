@@ -55,13 +55,57 @@ def test_binomial_cdf(spark):
             assert abs(r.c - true) < 1e-9
 
 
-def test_binomial_cdf_of_many(spark):
-    from math import exp, fsum, lgamma, log, log1p
+def exact_cdf(k, n, p):
+    """Summed from the first term on, with 40 digits."""
+    from decimal import Decimal, localcontext
+
+    with localcontext() as c:
+        c.prec = 40
+        q = Decimal(p)
+        term = total = (1 - q) ** n
+        odds = q / (1 - q)
+        for j in range(min(k, n)):
+            term = term * (n - j) / (j + 1) * odds
+            total += term
+        return float(total)
 
-    rows = [(k, n) for n, ks in ((68_654, (615, 616)), (68_656, (615, 616)), (100_000, (0, 500, 914, 915, 1000)), (1_000_000, (5000, 9728, 9729, 10_100))) for k in ks]
-    for r in spark.createDataFrame(rows, "k long, n long").select("k", "n", quality.binomial_cdf(F.col("k"), F.col("n"), 0.01).alias("c")).collect():
-        true = fsum(exp(lgamma(r.n + 1) - lgamma(j + 1) - lgamma(r.n - j + 1) + j * log(0.01) + (r.n - j) * log1p(-0.01)) for j in range(r.k + 1))
-        assert abs(r.c - true) <= 1e-6 * true
+
+def test_binomial_cdf_of_many(spark):
+    rows = [(k, n) for n, ks in ((70_000, (0, 1, 19, 20, 21, 600, 650, 700)), (1_000_000, (5000, 9728, 9729, 10_000)), (100_000_000, (990_000, 998_000, 1_000_000))) for k in ks]
+    got = spark.createDataFrame(rows, "k long, n long").select("k", "n", quality.binomial_cdf(F.col("k"), F.col("n"), 0.01).alias("c")).collect()
+    for r in got:
+        true = exact_cdf(r.k, r.n, "0.01")
+        assert abs(r.c - true) <= 1e-9 * true + 1e-300, (r, true)
+
+
+def test_cutoffs_and_verdicts_against_brute_force(spark):
+    """Every cutoff by its own binomial sum, every document by the cutoffs of its stratum; labels twice, with nulls, and columns that clash."""
+    import random
+
+    rng = random.Random(2)
+    shape = lambda i: " ".join(rng.choice(["#$%", "ABC", "abc"]) if rng.random() < rng.choice([0.0, 0.0, 0.1, 0.7]) else f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(8, 40)))
+    rows = [(i, shape(i), ["en", "de", None][i % 3], 9.0, "x") for i in range(1500)]
+    rows.append(rows[3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, symbol_ratio double, kept string")
+    good = {i for i in range(1500) if i % 5 and rows[i][2] != "de" or i % 40 == 0}
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(1500)] + [(3, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    good.add(3)
+    alpha, delta = 0.1, 0.05
+    found = quality.features(docs).drop("kept")
+    of = [r.asDict() for r in found.collect()]
+    strata = {r["lang"] for r in of if r["doc_id"] in good}
+    cuts = {}
+    for lang in strata:
+        own = [r for r in of if r["lang"] == lang and r["doc_id"] in good]
+        for rule, tries in quality.RULES.items():
+            for cut in tries:
+                if exact_cdf(sum(r[rule] > cut for r in own), len(own), str(alpha)) > delta / len(quality.RULES) / len(strata):
+                    break
+                cuts[lang, rule] = cut
+    want = Counter((r["doc_id"], not r["base_failed"] and not any(r[rule] > cuts.get((r["lang"], rule), 9) for rule in quality.RULES)) for r in of)
+    got = Counter((r.doc_id, r.kept) for r in quality.quality_rules(found, labels, alpha=alpha, delta=delta).collect())
+    assert got == want
+    assert 0 < sum(kept for _, kept in want) < len(want) and len(set(cuts.values())) > 2
 
 
 def test_cutoffs_of_many_labels(spark):
@@ -120,12 +164,13 @@ def test_chat_collapse(spark):
         whole = {}
         for c in sorted(convs):
             whole.setdefault(tuple(convs[c]), c)
-        return {c: len(k) for k, c in whole.items() if not any(len(o) > len(k) and o[: len(k)] == k for o in whole)}
+        text = lambda k: "\n".join(f"<|{r}|>\n{x}\n<|end|>" for r, x in k)
+        return {c: (len(k), text(k)) for k, c in whole.items() if not any(len(o) > len(k) and o[: len(k)] == k for o in whole)}
 
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", "yo"), (5, 0, "assistant", "hi"),
             (6, 0, None, None), (7, 0, None, None), (7, 1, "user", ""), (None, 0, "user", "hi"), (8, None, "user", "a"), (8, 1, "user", "b"), (9, 0, "user", "b"), (9, 1, "user", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit("clash"))
-    got = {r.conv_id: r.n_turns for r in chat.chat_format(df).collect()}
+    got = {r.conv_id: (r.n_turns, r.rendered) for r in chat.chat_format(df).collect()}
     assert got == brute(rows)
     assert chat.chat_format(df.limit(0)).count() == 0
     text = chat.chat_format(df).filter("conv_id = 2").first()
