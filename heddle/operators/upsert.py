@@ -43,11 +43,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: dict[str, st
     return both.groupBy(*keys).agg(*out).select(*old.columns)
 
 
-def insert_only(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """old and those rows of new whose key it lacks, of several the first by order."""
+def insert_only(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column], columns: list[str] | None = None) -> DataFrame:
+    """old and those rows of new (columns) whose key it lacks, of several the first by order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     fresh = new.join(old.select(*keys), keys, "left_anti").withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
-    return old.unionByName(fresh)
+    return old.unionByName(fresh.select(*columns) if columns else fresh)
 
 
 def chunks(rows: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
@@ -56,8 +56,11 @@ def chunks(rows: DataFrame, group: str, order: list[Column], size: int) -> DataF
     return rows.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
-def classify_ingest(seen: DataFrame, batch: DataFrame, key: str, digest: str) -> DataFrame:
-    """batch with receipt: new, duplicate (same key and digest), or conflict (same key, another digest)."""
+def classify_ingest(seen: DataFrame, batch: DataFrame, key: str, digest: str, order: list[str]) -> DataFrame:
+    """batch with receipt: new (the first of its key by order, and the key wasn't seen), else duplicate (the digest that was applied) or conflict (another one)."""
     known = seen.select(F.col(key).alias("__key"), F.col(digest).alias("__digest"))
-    status = F.when(F.col("__key").isNull(), "new").when(F.col("__digest") == F.col(digest), "duplicate").otherwise("conflict")
-    return batch.join(known, F.col(key) == F.col("__key"), "left").withColumn("receipt", status).drop("__key", "__digest")
+    w = Window.partitionBy(key).orderBy(*order)
+    both = batch.withColumn("__k", F.row_number().over(w)).withColumn("__first", F.first(digest).over(w)).join(known, F.col(key) == F.col("__key"), "left")
+    applied = F.coalesce("__digest", "__first")
+    receipt = F.when(F.col("__key").isNull() & (F.col("__k") == 1), "new").when(applied == F.col(digest), "duplicate").otherwise("conflict")
+    return both.withColumn("receipt", receipt).drop("__key", "__digest", "__k", "__first")

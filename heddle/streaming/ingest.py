@@ -9,66 +9,119 @@ from pyspark.sql.streaming import StreamingQuery
 from heddle.operators.upsert import classify_ingest, insert_only, upsert
 from heddle.sources import batches as B
 
-#: Target -> keys and column policies, in the order in which they are written.
+ONCE = "once"
+#: Target -> keys and what becomes of a row that is there: column policies, or ONCE, it stays. In the order in which they are written.
 TARGETS = {
-    "sellers": (["id"], {"first_seen_at": "first"}),
-    "contacts": (["id"], {"seller_id": "first", "contact_type": "first"}),
-    "sources": (["id"], {}),
+    "sellers": (["id"], {"first_seen_at": "first", "created_at": "first"}),
+    "marketplace_accounts": (["id"], {"seller_id": "first", "first_seen_at": "first"}),
+    "seller_aliases": (["id"], {"seller_id": "first", "first_seen_at": "first"}),
+    "score_components": (["id"], ONCE),
+    "product_links": (["id"], {"seller_id": "first", "first_seen_at": "first"}),
+    "contacts": (["id"], {"seller_id": "first", "contact_type": "first", "first_seen_at": "first"}),
+    "suppressions": (["id"], {"created_at": "first"}),
+    "outreach_states": (["id"], {}),
+    "audit_events": (["id"], ONCE),
+    "sources": (["id"], {"detected_at": "keep", "first_seen_at": "first"}),
+    "crawl_runs": (["id"], {"job_type": "first", "started_at": "first"}),
+    "review_queue_items": (["id"], {"reviewed_at": "keep", "reviewed_by": "keep", "created_at": "first"}),
+    "source_registry": (["adapter_name"], {}),
+    "quota_states": (["quota_name"], {}),
+    "feature_flags": (["flag_name"], {}),
+    "field_history": (["id"], ONCE),
+    "recent_diff_metadata": (["entity_type", "entity_id"], {"id": "first"}),
 }
+#: A review that is no longer pending keeps its status.
+STICKY = {"review_queue_items": {"status": "status <> 'pending'"}}
+#: Versions of a target that are kept.
+KEEP = 3
 
 
 class Store:
-    """Snapshots of the targets under one path, a new folder for each version; a pointer file names the current one."""
+    """Snapshots of the targets under one path, a new folder for each version; a target that a micro-batch has no rows for keeps its last one."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _versions(self, name: str) -> list[int]:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        where, fs = self._fs(f"{self.path}/{name}")
         if not fs.exists(where):
             return []
         found = [s.getPath() for s in fs.listStatus(where)]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def read(self, name: str) -> DataFrame | None:
         versions = self._versions(name)
         return self.spark.read.parquet(f"{self.path}/{name}/v{versions[-1]}") if versions else None
 
     def write(self, name: str, df: DataFrame, version: int) -> None:
-        """Idempotent: a version that is there is written again whole."""
+        """Idempotent: a version that is there is written again whole. Versions before the last KEEP are removed."""
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}")
+        for old in [v for v in self._versions(name) if v < version][: -KEEP or None]:
+            where, fs = self._fs(f"{self.path}/{name}/v{old}")
+            fs.delete(where, True)
 
     def before(self, name: str, version: int) -> DataFrame | None:
         versions = [v for v in self._versions(name) if v < version]
         return self.spark.read.parquet(f"{self.path}/{name}/v{versions[-1]}") if versions else None
 
 
-def apply_batch(store: Store, batch: DataFrame, version: int) -> None:
+def apply_batch(store: Store, requests: DataFrame, version: int, secret: bytes | None = None) -> None:
     """One micro-batch into the store: receipts first known from the log of keys, then the targets in order, the key log last.
 
-    A micro-batch that is run again after a failure starts from the versions before it and
+    Requests of one key are ranked by arrival: the first that is accepted is applied and its
+    digest logged, others of the micro-batch are duplicates of it or in conflict with it.
+    With a secret, requests must be signed, in time, and bring a nonce that wasn't used. A
+    micro-batch that is run again after a failure starts from the versions before it and
     writes the same ones, so nothing is applied twice.
     """
-    accepted, rejected = B.validated(batch)
-    keyed = B.with_key(accepted)
-    log = keyed.select("idempotency_key", "body_sha256")
+    requests = requests.persist()
+    if secret is not None:
+        requests = _admitted(store, requests, secret, version)
+    accepted, rejected = B.validated(requests)
+    order = [c for c in ("arrived", "file", "body_sha256") if c in accepted.columns]
     seen = store.before("keys", version)
     if seen is None:
-        seen = log.limit(0)
-    judged = classify_ingest(seen, keyed, "idempotency_key", "body_sha256")
-    fresh = judged.filter("receipt = 'new'").dropDuplicates(["idempotency_key"])
-    store.write("receipts", judged.select("idempotency_key", "body_sha256", "receipt"), version)
-    store.write("rejects", rejected.select("crawl_run_id", "batch_number", "errors"), version)
+        seen = accepted.select("idempotency_key", "body_sha256").limit(0)
+    judged = classify_ingest(seen, accepted, "idempotency_key", "body_sha256", order).persist()
+    fresh = judged.filter("receipt = 'new'")
+    store.write("receipts", judged.select("idempotency_key", "body_sha256", "writes", "receipt"), version)
+    store.write("rejects", rejected.select("body", "errors"), version)
+    sizes = fresh.agg(*[F.coalesce(F.sum(F.size(name)), F.lit(0)).alias(name) for name in TARGETS]).first()
     for name, (keys, policy) in TARGETS.items():
-        rows = B.fan_out(fresh, name)
-        columns = [f.name for f in B.ARRAYS[name]]
+        columns = B.ARRAYS[name]
         old = store.before(name, version)
+        if not sizes[name]:
+            continue  # the last version stands
+        rows = B.fan_out(fresh, name).withColumn("__at", F.struct("__number", "__place", "__run"))
         if old is None:
             old = rows.select(*columns).limit(0)
-        store.write(name, upsert(old, rows.select(*columns, "batch_number"), keys, policy, order="batch_number").select(*columns), version)
-    store.write("keys", insert_only(seen, log, ["idempotency_key"], [F.asc("body_sha256")]), version)
+        if policy == ONCE:
+            new = insert_only(old, rows.select(*columns, "__at"), keys, [F.asc("__at")], columns)
+        else:
+            sticky = {c: F.expr(cond) for c, cond in STICKY.get(name, {}).items()}
+            new = upsert(old, rows.select(*columns, "__at"), keys, policy, order="__at", sticky=sticky).select(*columns)
+        store.write(name, new, version)
+    store.write("keys", seen.select("idempotency_key", "body_sha256").unionByName(fresh.select("idempotency_key", "body_sha256")), version)
+    judged.unpersist()
+    requests.unpersist()
+
+
+def _admitted(store: Store, requests: DataFrame, secret: bytes, version: int) -> DataFrame:
+    """The signed requests that may be looked at; the others and the nonces go into the store."""
+    judged = B.authenticated(requests, secret)
+    used = store.before("nonces", version)
+    if used is None:
+        used = requests.select("nonce").limit(0)
+    sound = judged.filter("refused IS NULL")
+    marked = replayed(sound, used)
+    store.write("refused", judged.filter("refused IS NOT NULL").select("nonce", "refused").unionByName(marked.filter("replay").select("nonce", F.lit("replayed_nonce").alias("refused"))), version)
+    admitted = marked.filter("not replay")
+    store.write("nonces", used.select("nonce").unionByName(admitted.select("nonce")), version)
+    return admitted.drop("replay", "refused")
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
@@ -81,20 +134,41 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> St
     return B.read(spark, source, stream=True).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def replayed(requests: DataFrame, used: DataFrame, nonce: str = "nonce", order: list[str] | None = None) -> DataFrame:
+    """requests with replay: the nonce was used before, or by an earlier one of them (by order)."""
+    from pyspark.sql import Window
+
+    order = order or [c for c in ("arrived", "body") if c in requests.columns]
+    w = Window.partitionBy(nonce).orderBy(*order)
+    known = used.select(F.col(nonce).alias("__used")).distinct()
+    out = requests.withColumn("__k", F.row_number().over(w)).join(known, F.col(nonce) == F.col("__used"), "left")
+    return out.withColumn("replay", F.col("__used").isNotNull() | (F.col("__k") > 1)).drop("__k", "__used")
+
+
 def first_nonces(stream: DataFrame, nonce: str, at: str, keep: str = "10 minutes") -> DataFrame:
     """The first row of each nonce within keep; replays are dropped, state is dropped as the watermark passes."""
     return stream.withWatermark(at, keep).dropDuplicatesWithinWatermark([nonce])
 
 
-def in_time(rows: DataFrame, happened: str, arrived: str, seconds: int = 300) -> DataFrame:
-    """Rows whose own time is within seconds of their arrival, before or after."""
-    return rows.filter(F.abs(F.unix_timestamp(arrived) - F.unix_timestamp(happened)) <= seconds)
+def timely(happened, arrived, seconds: int = B.TIME_WINDOW):
+    """Whether a row's own time is within seconds of its arrival, before or after."""
+    return F.abs(F.unix_timestamp(arrived) - F.unix_timestamp(happened)) <= seconds
+
+
+def in_time(rows: DataFrame, happened: str, arrived: str, seconds: int = B.TIME_WINDOW) -> DataFrame:
+    return rows.filter(timely(happened, arrived, seconds))
 
 
 def latest_states(log: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(state, F.struct(*order)).alias(state))
 
 
+def by_day(rows: DataFrame, at: str, state: str = "state") -> DataFrame:
+    """Rows and errors for each day."""
+    days = rows.groupBy(F.window(at, "1 day").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col(state) == "error").alias("errors"))
+    return days.select(F.col("w.start").alias("day"), "n", "errors")
+
+
 def daily(stream: DataFrame, at: str, late: str = "1 day") -> DataFrame:
-    """Rows and errors for each day, given out as the watermark passes it."""
-    return stream.withWatermark(at, late).groupBy(F.window(at, "1 day").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("state") == "error").alias("errors")).select(F.col("w.start").alias("day"), "n", "errors")
+    """by_day of a stream, given out as the watermark passes the day."""
+    return by_day(stream.withWatermark(at, late), at)
