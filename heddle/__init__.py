@@ -1 +1 @@
-"""heddle: a Spark-native engine for seller-intelligence records."""
+"""heddle: a Spark-native engine for records of business entities, and the operators of a training-data pipeline."""

@@ -15,22 +15,22 @@ ENGLISH_SUFFIXES = ["company limited", "incorporated", "company ltd", "corporati
 CHINESE_SUFFIXES = ["股份有限公司", "有限责任公司", "实业有限公司", "有限公司", "集团", "公司", "工厂", "厂"]
 # fixed values: names and codes of countries
 COUNTRIES = {
-    "CN": ["cn", "china", "mainland china", "peoples republic of china", "people s republic of china", "pr china", "prc"],
-    "HK": ["hk", "hong kong", "hong kong sar"],
-    "MO": ["mo", "macau", "macao"],
-    "TW": ["tw", "taiwan"],
-    "US": ["us", "usa", "united states", "united states of america"],
-    "GB": ["gb", "uk", "united kingdom"],
-    "BD": ["bd", "bangladesh"],
-    "CA": ["ca", "canada"],
-    "AU": ["au", "australia"],
-    "DE": ["de", "germany"],
-    "FR": ["fr", "france"],
-    "IN": ["in", "india"],
-    "IT": ["it", "italy"],
-    "ES": ["es", "spain"],
-    "PK": ["pk", "pakistan"],
-    "VN": ["vn", "vietnam"],
+    "cn": "CN", "china": "CN", "mainland china": "CN", "peoples republic of china": "CN", "people s republic of china": "CN", "pr china": "CN", "prc": "CN",
+    "hk": "HK", "hong kong": "HK", "hong kong sar": "HK",
+    "mo": "MO", "macau": "MO", "macao": "MO",
+    "tw": "TW", "taiwan": "TW",
+    "us": "US", "usa": "US", "united states": "US", "united states of america": "US",
+    "gb": "GB", "uk": "GB", "united kingdom": "GB",
+    "bd": "BD", "bangladesh": "BD",
+    "ca": "CA", "canada": "CA",
+    "au": "AU", "australia": "AU",
+    "de": "DE", "germany": "DE",
+    "fr": "FR", "france": "FR",
+    "in": "IN", "india": "IN",
+    "it": "IT", "italy": "IT",
+    "es": "ES", "spain": "ES",
+    "pk": "PK", "pakistan": "PK",
+    "vn": "VN", "vietnam": "VN",
 }
 
 
@@ -44,11 +44,29 @@ def casefold(values: pd.Series) -> pd.Series:
     return values.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def strip_accents(values: pd.Series) -> pd.Series:
-    """Letters without their combining marks, case-folded: how the search index sees text."""
-    plain = lambda v: "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).casefold()
-    return values.map(plain, na_action="ignore")
+def _base_letters() -> dict[str, str]:
+    """Accented Latin letters and what is left of them, by rule: one base letter and combining marks in their decomposition."""
+    out = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and all(unicodedata.combining(c) for c in parts[1:]):
+            out[chr(code)] = parts[0].lower()
+    return out
+
+
+_BASE = _base_letters()
+
+
+def without_accents(c: Column) -> Column:
+    """Lower case, Latin letters without their marks: how the search index sees text. No Python worker."""
+    plain = F.translate(c, "".join(_BASE), "".join(_BASE.values()))
+    return F.regexp_replace(F.lower(plain), r"\p{M}+", "")
+
+
+def plain_text(text: str) -> str:
+    """without_accents of a string."""
+    plain = text.translate(str.maketrans(_BASE)).lower()
+    return "".join(c for c in plain if unicodedata.category(c)[0] != "M")
 
 
 def whitespace(c: Column) -> Column:
@@ -81,7 +99,7 @@ def company_name(c: Column, ascii_only: bool = False) -> Column:
 def country_code(c: Column) -> Column:
     """Two letters pass as they are, upper-cased (so UK stays UK); other names by the table, else null."""
     clean = whitespace(F.lower(F.regexp_replace(c, "[.'’]", " ")))
-    names = F.create_map(*[F.lit(x) for code, all_ in COUNTRIES.items() for name in all_ for x in (name, code)])
+    names = F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair])
     return F.when(clean.rlike(r"^\p{L}{2}$"), F.upper(clean)).otherwise(F.try_element_at(names, clean))
 
 
@@ -107,6 +125,12 @@ def domain(c: Column, ascii_only: bool = False) -> Column:
     return F.when(ok, host if ascii_only else _to_ascii_host(host))
 
 
+def iso_time(c: Column) -> Column:
+    """An ISO time; one without an offset is UTC; null if it is none."""
+    named = F.when(c.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), c).otherwise(F.concat(c, F.lit("Z")))
+    return F.try_to_timestamp(named)
+
+
 def address(c: Column, ascii_only: bool = False) -> Column:
     return whitespace(F.replace(c if ascii_only else nfkc(c), F.lit("\n"), F.lit(", ")))
 
@@ -122,8 +146,8 @@ def masked_address(c: Column, keep: int = 3, ascii_only: bool = False) -> Column
 
 
 def tokens(c: Column) -> Column:
-    """Runs of letters and digits, lower case."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Runs of letters and digits, lower case, without accents."""
+    return F.filter(F.split(without_accents(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def bigram_dice(a: Column, b: Column) -> Column:
@@ -138,10 +162,13 @@ def bigram_dice(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; after blocking only."""
+    """Best Ratcliff-Obershelp similarity of a name of a and one of b (arrays); after blocking only."""
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    def best(xs, ys):
+        return max((SequenceMatcher(None, x, y).ratio() for x in xs if x for y in ys if y), default=0.0)
+
+    return pd.Series([best(x, y) for x, y in zip(a, b, strict=True)])
 
 
 def context_window(text: Column, needle: Column, radius: int = 90) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from heddle.functions import ids, text as T
 from heddle.operators.extraction import MANUFACTURER, TRADER, blocked, retry_after
+from heddle.operators.lineage import cut
 
 # fixed values: marketplaces by code, each at www.<code>; domains that are no company's own site; patterns of tokens
 MARKETPLACES = ["amazon.com", "amazon.co.uk", "amazon.ca", "amazon.com.au", "amazon.de", "amazon.fr", "amazon.it", "amazon.es"]
@@ -286,17 +287,23 @@ def declared_source(url: Column, domain: Column) -> Column:
     return F.coalesce(_host(url) == T.domain(domain, ascii_only=True), F.lit(False))
 
 
-def frontier(seeds: DataFrame, links: DataFrame, depth: int = 3, budget: int = 25) -> DataFrame:
-    """seed, url, depth over a link table (source, target): breadth first, each URL of a seed once, budget at most for each seed.
+def frontier(seeds: DataFrame, links: DataFrame, depth: int = 3, budget: int = 25, same_domain: bool = False) -> DataFrame:
+    """seed, url, depth over a link table (source, target): breadth first, each URL of a seed once, budget at most for each seed; with same_domain those of the seed's domain only.
 
-    depth joins of the new URLs with the links, each against what the seed has already.
+    Each level joins the new URLs with the links and is cut at once to what is left of each
+    seed's budget, first by URL, so no level is larger than the result; levels are stored.
     """
     from pyspark.sql import Window
 
-    seen = seeds.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"))
-    edge = seen
+    seen = edge = seeds.select("seed").distinct().select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"))
+    w = Window.partitionBy("seed").orderBy("url")
     for level in range(1, depth + 1):
-        edge = edge.join(links, F.col("url") == F.col("source")).select("seed", F.col("target").alias("url")).distinct().join(seen.select("seed", "url"), ["seed", "url"], "left_anti").withColumn("depth", F.lit(level))
+        new = edge.join(links, F.col("url") == F.col("source")).select("seed", F.col("target").alias("url"))
+        if same_domain:
+            new = new.filter(T.domain(F.col("url")) == T.domain(F.col("seed")))
+        new = new.distinct().join(seen.select("seed", "url"), ["seed", "url"], "left_anti").withColumn("__k", F.row_number().over(w))
+        left = seen.groupBy(F.col("seed").alias("__seed")).agg((F.lit(budget) - F.count("*")).alias("__left"))
+        new = new.join(left, F.col("seed") == F.col("__seed")).filter(F.col("__k") <= F.col("__left"))
+        edge = cut(new.select("seed", "url", F.lit(level).alias("depth")))
         seen = seen.unionByName(edge)
-    w = Window.partitionBy("seed").orderBy("depth", "url")
-    return seen.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= budget).drop("k")
+    return seen

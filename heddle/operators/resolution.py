@@ -13,13 +13,21 @@ PER_CANDIDATE = 25
 FUZZY = [(0.96, 32), (0.90, 25), (0.84, 18), (0.78, 10)]
 
 
+#: Tables whose rows point at a seller.
+CHILDREN = ["accounts", "aliases", "product_links", "score_components", "contacts", "suppressions", "outreach_states", "sources", "audit_events", "field_history"]
+#: Request -> state it leads to, and the states it may start from.
+REQUESTS = {"merge": ("merged", ["pending"]), "keep_separate": ("separate", ["pending"]), "ignore": ("ignored", ["pending"]), "rollback": ("rolled_back", ["merged"])}
+
+
 def candidates(new: DataFrame, known: DataFrame, per_candidate: int = PER_CANDIDATE) -> DataFrame:
-    """Pairs (candidate_id, existing_id) that agree on domain, name or the name's first eight characters, the first per_candidate by id of each candidate.
+    """Pairs (candidate_id, existing_id), of known rows that are active where they have a status, that agree on domain, name or the name's first eight characters, the first per_candidate by id of each candidate.
 
     new and known: id, name, domain. One equi join for each rule instead of a nested loop;
     each rule first limits to the first rows of a block, so a block that many share gives
     no more than per_candidate + 1 rows to each candidate.
     """
+    if "status" in known.columns:
+        known = known.filter("status = 'active'")
     pairs = None
     for rule in (F.col("domain"), F.col("name"), F.when(F.length("name") >= 8, F.substring("name", 1, 8))):
         w = Window.partitionBy("block").orderBy("existing_id")
@@ -52,13 +60,14 @@ def score(pairs: DataFrame, new: DataFrame, known: DataFrame, scorer: str = "dic
     A, B = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
     both = lambda c: (A(c) != "") & (B(c) != "")
     part = lambda cond, code, points: F.when(cond, F.struct(F.lit(code).alias("code"), (points if isinstance(points, Column) else F.lit(points)).cast("int").alias("points")))
-    j = j.withColumn("__sim", sequence_ratio(A("name"), B("name")) if scorer == "sequence" else bigram_dice(A("name"), B("name")))
+    none = F.array().cast("array<string>")
+    names = lambda x: F.array_union(F.array(F.col(f"{x}_name")), F.transform(F.coalesce(F.col(f"{x}_aliases"), none), _norm) if "aliases" in columns else none)
+    j = j.withColumn("__sim", sequence_ratio(names("a"), names("b")) if scorer == "sequence" else bigram_dice(A("name"), B("name")))
     exact = both("name") & (A("name") == B("name"))
     parts = [part(both("domain") & (A("domain") == B("domain")), "official_domain_match", 52), part(both("domain") & (A("domain") != B("domain")), "official_domain_conflict", -30), part(exact, "normalized_name_exact", 40)]
     taken = exact
     if scorer == "sequence" and "aliases" in columns:
-        names = lambda x: F.array_union(F.array(F.col(f"{x}_name")), F.coalesce(F.col(f"{x}_aliases"), F.array().cast("array<string>")))
-        alias = ~exact & F.arrays_overlap(names("a"), names("b"))
+        alias = ~exact & F.arrays_overlap(F.filter(names("a"), lambda n: n != ""), F.filter(names("b"), lambda n: n != ""))
         parts.append(part(alias, "alias_name_exact", 35))
         taken = taken | alias
     if scorer == "sequence" and "tokens" in columns:
@@ -114,3 +123,42 @@ def rollback(rows: DataFrame, links: DataFrame, table_name: str) -> DataFrame:
     back = links.filter(F.col("table_name") == table_name).select(F.col("row_id").alias("__row"), F.col("source_id").alias("__source"), F.col("target_id").alias("__target"))
     j = rows.join(back, (F.col("id") == F.col("__row")) & (F.col("seller_id") == F.col("__target")), "left")
     return j.withColumn("seller_id", F.coalesce("__source", "seller_id")).drop("__row", "__source", "__target")
+
+
+def auto_merge(sellers: DataFrame, children: dict[str, DataFrame], best_matches: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """(sellers, children, decisions): new sellers whose best match is certain become merged and point at it, and what points at them moves along.
+
+    best_matches: candidate_id, existing_id, score, one row for each candidate. decisions:
+    id (the candidate's), source_id, target_id, score, action of every match.
+    """
+    d = best_matches.select(F.col("candidate_id").alias("id"), F.col("candidate_id").alias("source_id"), F.col("existing_id").alias("target_id"), "score").withColumn("action", action(F.col("score")))
+    sure = d.filter("action = 'auto_merge'")
+    to = sure.select(F.col("source_id").alias("__from"), F.col("target_id").alias("merged_into"))
+    s = sellers.join(to, F.col("id") == F.col("__from"), "left").drop("__from")
+    s = s.withColumn("status", F.when(F.col("merged_into").isNotNull(), "merged").otherwise(F.col("status")))
+    return s, {name: repoint(rows, sure) for name, rows in children.items()}, d
+
+
+def decide(decisions: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions, receipts) after requests (id, request), of which the first by request counts for an id.
+
+    A request whose state is there already is a duplicate; one that the state doesn't allow
+    a conflict; an unknown id is not_found, an unknown request invalid.
+    """
+    leads = F.create_map(*[F.lit(x) for name, (to, _) in REQUESTS.items() for x in (name, to)])
+    first = requests.groupBy("id").agg(F.min("request").alias("request")).withColumnRenamed("id", "__id")
+    j = first.join(decisions.select("id", "status"), F.col("__id") == F.col("id"), "left").withColumn("to", F.try_element_at(leads, F.col("request")))
+    allowed = F.lit(False)
+    for name, (_, since) in REQUESTS.items():
+        allowed = allowed | ((F.col("request") == name) & F.col("status").isin(since))
+    receipt = F.when(F.col("to").isNull(), "invalid").when(F.col("id").isNull(), "not_found").when(F.col("status") == F.col("to"), "duplicate").when(allowed, "applied").otherwise("conflict")
+    receipts = j.select(F.col("__id").alias("id"), "request", receipt.alias("receipt"), "to")
+    done = receipts.filter("receipt = 'applied'").select(F.col("id").alias("__id"), "to")
+    after = decisions.join(done, F.col("id") == F.col("__id"), "left").withColumn("status", F.coalesce("to", "status")).drop("__id", "to")
+    return after, receipts.drop("to")
+
+
+def decision_errors(action_: Column, score_: Column, source: Column, target: Column) -> Column:
+    """array<string>: which constraints a decision breaks."""
+    rules = {"action": ~action_.isin("auto_merge", "review_queue", "no_merge"), "score": ~score_.between(0, 100), "self": source == target}
+    return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()]), lambda e: e.isNotNull())

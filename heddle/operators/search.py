@@ -7,14 +7,33 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.text import tokens
+from heddle.functions.text import plain_text, tokens
+from heddle.operators.relational import distinct_text
 
 MAX_TERMS = 8
 
 
 def parse(text: str) -> list[str]:
-    """Up to eight terms: runs of letters and digits, lower case."""
-    return re.findall(r"[^\W_]+", text.lower())[:MAX_TERMS]
+    """Up to eight terms: runs of letters and digits, lower case, without accents."""
+    return re.findall(r"[^\W_]+", plain_text(text))[:MAX_TERMS]
+
+
+#: What a seller is found by.
+COLUMNS = ["canonical_name", "legal_name", "legal_name_local", "aliases", "brands", "official_domain", "city"]
+
+
+def seller_documents(sellers: DataFrame, aliases: DataFrame, products: DataFrame) -> DataFrame:
+    """seller_id and COLUMNS: the index's documents. aliases: seller_id, alias; products: seller_id, brand. Columns that sellers lack are null."""
+    a = distinct_text(aliases.filter("alias IS NOT NULL"), "seller_id", "alias", "aliases", " ").withColumnRenamed("seller_id", "__a")
+    b = distinct_text(products.filter("brand IS NOT NULL"), "seller_id", "brand", "brands", " ").withColumnRenamed("seller_id", "__b")
+    own = [F.col(c) if c in sellers.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS if c not in ("aliases", "brands")]
+    return sellers.select("id", *own).join(a, F.col("id") == F.col("__a"), "left").join(b, F.col("id") == F.col("__b"), "left").select(F.col("id").alias("seller_id"), *COLUMNS)
+
+
+def refresh(idx: DataFrame, documents: DataFrame, changed: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """idx with the documents of the changed keys taken out and indexed anew; a key without a document any more is gone."""
+    keys = changed.select(key).distinct()
+    return idx.join(keys, key, "left_anti").unionByName(index(documents.join(keys, key, "left_semi"), key, columns))
 
 
 def index(documents: DataFrame, key: str, columns: list[str]) -> DataFrame:

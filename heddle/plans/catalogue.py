@@ -11,7 +11,9 @@ from heddle.operators import resolution as X
 from heddle.operators import search as S
 from heddle.operators import upsert as U
 from heddle.plans.registry import query, table
+from heddle.sources import batches as B
 from heddle.sources.domain import oracle, relation
+from heddle.streaming import ingest as I
 
 # functions
 
@@ -120,9 +122,13 @@ def page_links(spark, d):
     return p.select("page_id", F.size("doc.links").cast("long").alias("n_links"), F.get("doc.links", F.lit(0)).alias("first_link"))
 
 
-@query("allowed_urls", "SELECT page_id, CAST(false AS BOOLEAN) AS plain, regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), 'about|business|company|contact|distributor|export|sales|support|wholesale') AS from_sitemap FROM pages")
+_PATHS = "CASE c_custkey % 6 WHEN 0 THEN '/About' WHEN 1 THEN '/' WHEN 2 THEN '/login/about' WHEN 3 THEN '/our-company' WHEN 4 THEN '' ELSE '/blog' END"
+
+
+@query("allowed_urls", "SELECT c_custkey AS id, c_custkey % 6 IN (0, 1, 4) AS plain, c_custkey % 6 IN (0, 1, 3, 4) AS from_sitemap FROM customer")
 def allowed_urls(spark, d):
-    return table(spark, d, "pages").select("page_id", E.allowed_url(F.col("url")).alias("plain"), E.allowed_url(F.col("url"), F.lit(True)).alias("from_sitemap"))
+    url = F.concat(F.lit("https://shop"), F.col("c_custkey").cast("string"), F.lit(".com"), F.expr(_PATHS))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), E.allowed_url(url).alias("plain"), E.allowed_url(url, F.lit(True)).alias("from_sitemap"))
 
 
 @query(
@@ -134,9 +140,45 @@ def blocked_pages(spark, d):
     return table(spark, d, "documents").select("doc_id", E.blocked(status, F.col("text")).alias("blocked"))
 
 
-@query("crawl_plan")
+_FILL = "lorem ipsum " * 20
+_K = "CAST(c_custkey AS STRING)"
+#: A shop's page, in SQL that Spark and DuckDB run: what is on it is known, and far enough apart to be out of each other's context.
+_SHOP_HTML = f"""concat('<html><head><title>Shop ', {_K}, ' | Home</title><script>x="hidden@evil.com"</script></head><body><p>{_FILL}</p><a href="mailto:Sales@shop', {_K}, '.com?subject=x">Write</a><p>{_FILL}</p>',
+    '<p>Email: info@mail', {_K}, '.com</p><!-- a@b.com --><p>{_FILL}</p><p>owner', {_K}, ' [at] shop', {_K}, ' (dot) com</p><p>{_FILL}</p><p>', CASE WHEN c_custkey % 5 = 0 THEN concat('me', {_K}, '@gmail.com') ELSE 'name@example.com' END,
+    '</p><p>{_FILL}</p><p>Telephone +1415', lpad({_K}, 7, '0'), '</p><p>{_FILL}</p><a href="tel:+44-20-7946-', lpad({_K}, 6, '0'), '">Call</a><p>{_FILL}</p><p>WhatsApp +8613', lpad({_K}, 9, '0'),
+    '</p><style>c@d.com</style><p>{_FILL}</p><p>WeChat ID: acme_', lpad({_K}, 6, '0'), '</p><p>{_FILL}</p></body></html>')"""
+_SHOP_URL = f"concat('https://www.shop', {_K}, '.com', CASE c_custkey % 3 WHEN 0 THEN '/contact-us' WHEN 1 THEN '/about' ELSE '/directory/x' END)"
+
+_MASK_PHONE = "'+' || repeat('*', length(value) - 5) || right(value, 4)"
+#: type, value, the points and rules that a contact page, a plain page and a directory give it, whether its context has a label.
+_SHOP_CONTACTS = f"""x AS (SELECT c_custkey AS page_id, c_custkey % 3 AS c, unnest([
+    {{'t': 'email', 'v': 'sales@shop' || {_K} || '.com', 'p': [85, 40, 10], 'n': [4, 3, 4], 'l': true}}, {{'t': 'email', 'v': 'info@mail' || {_K} || '.com', 'p': [85, 30, 0], 'n': [4, 2, 3], 'l': true}},
+    {{'t': 'email', 'v': 'owner' || {_K} || '@shop' || {_K} || '.com', 'p': [55, 0, 0], 'n': [2, 0, 1], 'l': false}}, {{'t': 'email', 'v': CASE WHEN c_custkey % 5 = 0 THEN 'me' || {_K} || '@gmail.com' END, 'p': [35, 0, 0], 'n': [3, 1, 2], 'l': false}},
+    {{'t': 'phone', 'v': '+1415' || lpad({_K}, 7, '0'), 'p': [85, 30, 0], 'n': [4, 2, 3], 'l': true}}, {{'t': 'phone', 'v': '+44207946' || lpad({_K}, 6, '0'), 'p': [85, 30, 0], 'n': [4, 2, 3], 'l': true}},
+    {{'t': 'phone', 'v': '+8613' || lpad({_K}, 9, '0'), 'p': [85, 30, 0], 'n': [4, 2, 3], 'l': true}}, {{'t': 'whatsapp', 'v': '+8613' || lpad({_K}, 9, '0'), 'p': [90, 35, 5], 'n': [4, 2, 3], 'l': true}},
+    {{'t': 'wechat', 'v': 'acme_' || lpad({_K}, 6, '0'), 'p': [90, 35, 5], 'n': [4, 2, 3], 'l': true}}]) AS r FROM customer),
+shop AS (SELECT page_id, r.t AS contact_type, r.v AS value, CAST(r.p[c + 1] AS INT) AS confidence, CAST(r.n[c + 1] AS INT) AS n_components, r.l AS labeled FROM x WHERE r.v IS NOT NULL)"""
+
+
+def _shops(spark, d):
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("page_id"), F.expr(_SHOP_URL).alias("url"), F.expr(_SHOP_HTML).alias("html"))
+
+
+_STATIC = ", ".join(f"'{p}'" for p in E.STATIC_PATHS)
+
+
+@query(
+    "crawl_plan",
+    f"""WITH u AS (SELECT c_custkey AS page_id, list_concat(['/x'], [{_STATIC}], ['/company/export']) AS paths FROM customer)
+    SELECT page_id, CAST(i AS BIGINT) AS position, 'https://shop' || page_id || '.com' || paths[i] AS url FROM u, unnest(range(1, 13)) AS r(i)""",
+)
 def crawl_plan(spark, d):
-    return E.crawl_plan(table(spark, d, "pages"))
+    k = F.col("c_custkey").cast("string")
+    links = F.lit('<a href="/contact">c</a><a href="/login">l</a><a href="https://other.com/about">o</a><a href="/about?x=1">a</a>')
+    loc = lambda path: F.concat(F.lit("<url><loc>https://shop"), k, F.lit(f".com{path}</loc></url>"))
+    pages = table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://www.shop"), k, F.lit(".com/x")).alias("url"), links.alias("html"), F.concat(loc("/company/export"), loc("/business")).alias("sitemap"))
+    return E.crawl_plan(pages)
 
 
 def _docs_as_pages(spark, d):
@@ -144,36 +186,80 @@ def _docs_as_pages(spark, d):
     return docs.select(F.col("doc_id").alias("page_id"), F.lit("https://www.acme.example.com/contact").alias("url"), F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("links")).alias("doc"))
 
 
+_SQL_RUN = r"""[^\s@<>()\[\]{},;:"''/?=&|\\]+"""
+_SQL_AT, _SQL_DOT = (rf"(?:\s*[\[(]\s*{w}\s*[\])]\s*|\s+{w}\s+)" for w in ("at", "dot"))
+
+
 @query(
     "emails_extracted",
-    r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(^|[^\w.+-])([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,24})', 2)) AS raw FROM documents)
-    SELECT DISTINCT doc_id AS page_id, lower(raw) AS value FROM r WHERE NOT regexp_matches(lower(raw), '\.(example|invalid|test|localhost)$')
-    AND lower(raw) NOT IN ('email@example.com','info@example.com','name@example.com','test@example.com','user@example.com','user@domain.com') AND split_part(lower(raw), '@', 1) NOT IN ('noreply','no-reply','donotreply','do-not-reply')""",
+    rf"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '(?i)[a-z0-9._%+-]+{_SQL_AT}[a-z0-9-]+(?:(?:{_SQL_DOT}|\.)[a-z0-9-]+)*{_SQL_DOT}[a-z]{{2,24}}\b') AS spelled FROM documents),
+    r AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_SQL_RUN}@{_SQL_RUN}')) AS raw FROM t
+      UNION ALL SELECT doc_id, unnest(list_transform(spelled, lambda m: regexp_replace(regexp_replace(m, '(?i){_SQL_AT}', '@', 'g'), '(?i){_SQL_DOT}', '.', 'g'))) FROM t),
+    v AS (SELECT doc_id, lower(trim(raw, '.,;:<>[](){{}}"''')) AS value FROM r)
+    SELECT DISTINCT doc_id AS page_id, value FROM v WHERE regexp_full_match(value, '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,24}}') AND NOT contains(value, '..') AND split_part(value, '@', 2)[1] <> '-' AND right(split_part(value, '@', 2), 1) <> '-'
+    AND NOT contains(value, '%') AND NOT regexp_matches(value, '\.(example|invalid|test|localhost)$')
+    AND value NOT IN ('email@example.com','info@example.com','name@example.com','test@example.com','user@example.com','user@domain.com') AND split_part(value, '@', 1) NOT IN ('noreply','no-reply','donotreply','do-not-reply')""",
 )
 def emails_extracted(spark, d):
-    return E.contacts(_docs_as_pages(spark, d), ["email"], least=0).filter(F.lower("raw") == F.col("value")).select("page_id", "value")
+    return E.contacts(_docs_as_pages(spark, d), ["email"], least=0).filter(~F.contains("value", F.lit("%"))).select("page_id", "value")
 
 
-@query("phones_extracted")
+@query(
+    "phones_extracted",
+    f"""WITH v AS (SELECT c_custkey AS page_id, '+14157' || lpad({_K}, 6, '0') AS value FROM customer)
+    SELECT page_id, value, {_MASK_PHONE} AS masked, CAST(85 AS INT) AS confidence FROM v""",
+)
 def phones_extracted(spark, d):
-    return E.contacts(_docs_as_pages(spark, d), ["phone"], region="US", least=0).select("page_id", "value", "masked", "confidence")
+    text = F.concat(F.lit("Phone (415) 7"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit(", room 12"))
+    doc = F.struct(text.alias("text"), F.array().cast("array<string>").alias("links"))
+    pages = table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.lit("https://www.acme.com/contact").alias("url"), doc.alias("doc"))
+    return E.contacts(pages, ["phone"], region="US", least=0).select("page_id", "value", "masked", "confidence")
 
 
-@query("contacts_best")
+@query(
+    "contacts_best",
+    f"""WITH {_SHOP_CONTACTS} SELECT page_id, contact_type, value, confidence, CASE WHEN confidence >= 80 THEN 'accepted' WHEN confidence >= 55 THEN 'manual_review' END AS review_status,
+    CASE contact_type WHEN 'email' THEN left(value, 2) || '***@' || split_part(value, '@', 2) WHEN 'wechat' THEN left(value, 2) || '***' || right(value, 2) ELSE {_MASK_PHONE} END AS masked FROM shop""",
+)
 def contacts_best(spark, d):
+    return E.contacts(_shops(spark, d), least=0).select("page_id", "contact_type", "value", "confidence", "review_status", "masked")
+
+
+@query("contacts_of_pages")
+def contacts_of_pages(spark, d):
     return E.contacts(table(spark, d, "pages"), least=0).select("page_id", "contact_type", "value", "confidence", "review_status")
 
 
-@query("confidence_scored")
+@query(
+    "confidence_scored",
+    f"""WITH {_SHOP_CONTACTS} SELECT page_id, contact_type, value, confidence, CASE WHEN confidence >= 80 THEN 'business_verified' WHEN labeled THEN 'business_public_manual_review' ELSE 'low_confidence_manual_review' END AS classification, n_components FROM shop""",
+)
 def confidence_scored(spark, d):
-    c = E.contacts(_docs_as_pages(spark, d), region="US", least=0)
-    return c.select("page_id", "contact_type", "value", "confidence", "classification", "review_status", F.size("components").alias("n_components"))
+    return E.contacts(_shops(spark, d), least=0).select("page_id", "contact_type", "value", "confidence", "classification", F.size("components").alias("n_components"))
 
 
-@query("evidence_snippets")
+@query(
+    "pages_enriched",
+    f"""WITH {_SHOP_CONTACTS}, n AS (SELECT page_id, count(*) AS n, max(confidence) AS best, min(contact_type || ' ' || value) AS first FROM shop WHERE confidence >= 55 GROUP BY page_id)
+    SELECT c_custkey AS page_id, 'shop' || {_K} || '.com' AS domain, 'Shop ' || {_K} || ' | Home' AS title, 'Shop ' || {_K} AS company, coalesce(n, 0) AS n_contacts, best, first AS first_contact FROM customer LEFT JOIN n ON page_id = c_custkey""",
+)
+def pages_enriched(spark, d):
+    e = E.enriched(_shops(spark, d))
+    first = F.get("contacts", F.lit(0))
+    best = F.array_max(F.transform("contacts", lambda c: c["confidence"]))
+    return e.select("page_id", "domain", "title", "company", F.size("contacts").cast("long").alias("n_contacts"), best.alias("best"), F.concat(first["contact_type"], F.lit(" "), first["value"]).alias("first_contact"))
+
+
+@query(
+    "evidence_snippets",
+    f"""SELECT c_custkey AS page_id, 'Reach us: <masked-email> or +*******' || right('000' || lpad({_K}, 7, '0'), 4) || ' today | Reach us: <masked-email> or <masked-phone> today' AS snippet FROM customer""",
+)
 def evidence_snippets(spark, d):
-    c = E.contacts(_docs_as_pages(spark, d), ["email", "phone"], region="US", least=0)
-    g = c.groupBy("page_id").agg(F.array_sort(F.collect_list("evidence")).alias("e"))
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("Reach us: Sales@SHOP"), k, F.lit(".com or +1415"), F.lpad(k, 7, "0"), F.lit(" today"))
+    doc = F.struct(text.alias("text"), F.array().cast("array<string>").alias("links"))
+    pages = table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.lit("https://www.acme.com/contact").alias("url"), doc.alias("doc"))
+    g = E.contacts(pages, ["email", "phone"], least=0).groupBy("page_id").agg(F.array_sort(F.collect_list("evidence")).alias("e"))
     return g.select("page_id", E.evidence_snippet(F.col("e"), F.lit("Untitled page")).alias("snippet"))
 
 
@@ -189,9 +275,35 @@ def business_type_scores(spark, d):
 # search
 
 
-@query("search_index", oracle("SELECT seller_id, string_agg(DISTINCT brand, ' ' ORDER BY brand) AS brands FROM products WHERE brand IS NOT NULL GROUP BY seller_id"))
+_DOCS = """docs AS (SELECT s.id AS seller_id, concat_ws(' ', s.name, s.legal_name, s.domain, s.city, (SELECT string_agg(alias, ' ') FROM aliases a WHERE a.seller_id = s.id), b.brands) AS doc
+  FROM sellers s LEFT JOIN (SELECT seller_id, string_agg(DISTINCT brand, ' ') AS brands FROM products GROUP BY seller_id) b ON b.seller_id = s.id),
+seller_tokens AS (SELECT DISTINCT seller_id, token FROM (SELECT seller_id, unnest(regexp_split_to_array(strip_accents(lower(doc)), '[^\\p{L}\\p{N}]+')) AS token FROM docs) WHERE token <> '')"""
+
+
+def seller_index(spark, d):
+    s = relation(spark, d, "sellers").withColumnsRenamed({"name": "canonical_name", "domain": "official_domain"})
+    docs = S.seller_documents(s, relation(spark, d, "aliases"), relation(spark, d, "products"))
+    return S.index(docs, "seller_id", S.COLUMNS)
+
+
+@query("search_index", oracle(f"WITH {_DOCS} SELECT seller_id, token FROM seller_tokens"))
 def search_index(spark, d):
-    return R.distinct_text(relation(spark, d, "products").filter("brand IS NOT NULL"), "seller_id", "brand", "brands", " ")
+    return seller_index(spark, d)
+
+
+@query("sellers_search_accents", oracle(f"WITH {_DOCS} SELECT seller_id FROM seller_tokens GROUP BY seller_id HAVING bool_or(starts_with(token, 'societe')) AND bool_or(starts_with(token, 'build')) AND bool_or(starts_with(token, '7'))"))
+def sellers_search_accents(spark, d):
+    return S.match(seller_index(spark, d), "seller_id", "SOCIETÉ build 7")
+
+
+@query("search_refreshed", oracle(f"WITH {_DOCS} SELECT seller_id, token FROM seller_tokens WHERE seller_id % 10 <> 0 OR seller_id IN (SELECT id FROM sellers WHERE status = 'active')"))
+def search_refreshed(spark, d):
+    """The index after every tenth seller was looked at again, and those that aren't active are gone."""
+    s = relation(spark, d, "sellers").withColumnsRenamed({"name": "canonical_name", "domain": "official_domain"})
+    args = relation(spark, d, "aliases"), relation(spark, d, "products")
+    now = S.seller_documents(s.filter("id % 10 <> 0 OR status = 'active'"), *args)
+    changed = s.filter("id % 10 = 0").select(F.col("id").alias("seller_id"))
+    return S.refresh(seller_index(spark, d), now, changed, "seller_id", S.COLUMNS)
 
 
 _TOKENS = "tok AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(name || ' ' || domain || ' ' || country), '[^a-z0-9]+')) AS t FROM identities)"
@@ -220,8 +332,14 @@ def _new(spark, d):
 
 _CAND = """cand AS (SELECT candidate_id, existing_id FROM (SELECT a.id AS candidate_id, b.id AS existing_id, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS k FROM identities a JOIN identities b
   ON a.id <> b.id AND (a.domain = b.domain OR a.name = b.name OR (length(a.name) >= 8 AND length(b.name) >= 8 AND substr(a.name, 1, 8) = substr(b.name, 1, 8)))) WHERE k <= 25)"""
-_SCORED = f"""{_CAND}, sc AS (SELECT candidate_id, existing_id, CAST(greatest(0, least(100, CASE WHEN a.domain = b.domain THEN 52 ELSE -30 END + CASE WHEN a.name = b.name THEN 40 ELSE 0 END
-  + CASE WHEN a.country = b.country THEN 6 + CASE WHEN a.city = b.city THEN 4 ELSE -8 END ELSE -18 END)) AS INT) AS score FROM cand JOIN identities a ON a.id = candidate_id JOIN identities b ON b.id = existing_id)"""
+_SCORED = f"""{_CAND}, nm AS (SELECT *, lower(trim(name)) AS n, list_transform(range(1, length(lower(trim(name)))), lambda i: substr(lower(trim(name)), i, 2)) AS g FROM identities),
+  sim AS (SELECT candidate_id, existing_id, a.n = b.n AS exact, a.domain = b.domain AS domain_same, a.country = b.country AS country_same, a.city = b.city AS city_same,
+    CASE WHEN a.n = b.n THEN 1.0 WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0.0 ELSE
+      2.0 * coalesce(list_sum(list_transform(list_intersect(a.g, b.g), lambda x: least(len(list_filter(a.g, lambda y: y = x)), len(list_filter(b.g, lambda y: y = x))))), 0) / (len(a.g) + len(b.g)) END AS dice
+    FROM cand JOIN nm a ON a.id = candidate_id JOIN nm b ON b.id = existing_id),
+  pt AS (SELECT *, CASE WHEN exact THEN 40 WHEN dice >= 0.96 THEN 32 WHEN dice >= 0.90 THEN 25 WHEN dice >= 0.84 THEN 18 WHEN dice >= 0.78 THEN 10 ELSE 0 END AS name_points FROM sim),
+  sc AS (SELECT *, CAST(greatest(0, least(100, CASE WHEN domain_same THEN 52 ELSE -30 END + name_points + CASE WHEN country_same THEN 6 + CASE WHEN city_same THEN 4 ELSE -8 END ELSE -18 END)) AS INT) AS score,
+    CAST(2 + (name_points > 0)::INT + country_same::INT AS INT) AS n_components FROM pt)"""
 
 
 @query("er_candidates", oracle(f"WITH {_CAND} SELECT * FROM cand"))
@@ -233,25 +351,30 @@ def scored(spark, d):
     return X.score(er_candidates(spark, d), _new(spark, d), _new(spark, d))
 
 
-@query("er_scored")
+@query("er_scored", oracle(f"WITH {_SCORED} SELECT candidate_id, existing_id, score, n_components FROM sc"))
 def er_scored(spark, d):
     return scored(spark, d).select("candidate_id", "existing_id", "score", F.size("components").alias("n_components"))
 
 
+@query(
+    "er_scored_hashes",
+    oracle(f"""WITH {_SCORED} SELECT candidate_id, existing_id, CAST(greatest(0, least(100, CASE WHEN domain_same THEN 52 ELSE -30 END + name_points + CASE WHEN country_same THEN 6 + CASE WHEN city_same THEN 4 ELSE -8 END ELSE -18 END
+    + CASE domain_same::INT + country_same::INT WHEN 0 THEN 0 WHEN 1 THEN 35 ELSE 40 END)) AS INT) AS score FROM sc"""),
+)
+def er_scored_hashes(spark, d):
+    """Identities with hashes of contacts: one that those of a domain share, one that those of a country share."""
+    i = _new(spark, d).withColumn("hashes", F.array(F.md5("domain"), F.md5(F.concat(F.lit("c"), "country"))))
+    return X.score(X.candidates(i, i), i, i).select("candidate_id", "existing_id", "score")
+
+
 @query("er_scored_sequence")
 def er_scored_sequence(spark, d):
     return X.score(er_candidates(spark, d), _new(spark, d), _new(spark, d), scorer="sequence").select("candidate_id", "existing_id", "score")
 
 
-def _unfuzzy(df):
-    """Scores without the names' similarity, which SQL hasn't."""
-    points = F.aggregate(F.filter("components", lambda x: x["code"] != "name_fuzzy"), F.lit(0), lambda s, x: s + x["points"])
-    return df.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), points)).cast("int"))
-
-
 @query("er_best_match", oracle(f"WITH {_SCORED} SELECT candidate_id, existing_id, score FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, existing_id) AS k FROM sc) WHERE k = 1"))
 def er_best_match(spark, d):
-    return X.best(_unfuzzy(scored(spark, d)))
+    return X.best(scored(spark, d))
 
 
 @query(
@@ -259,15 +382,48 @@ def er_best_match(spark, d):
     oracle(f"WITH {_SCORED} SELECT candidate_id, existing_id, score, CASE WHEN score >= 92 THEN 'auto_merge' WHEN score >= 70 THEN 'review_queue' ELSE 'no_merge' END AS action FROM sc"),
 )
 def er_decisions(spark, d):
-    return _unfuzzy(scored(spark, d)).select("candidate_id", "existing_id", "score", X.action(F.col("score")).alias("action"))
+    return scored(spark, d).select("candidate_id", "existing_id", "score", X.action(F.col("score")).alias("action"))
 
 
 @query("er_review_queue", oracle(f"WITH {_SCORED} SELECT candidate_id, existing_id, CASE WHEN score >= 85 THEN 1 ELSE 2 END AS priority FROM sc WHERE score >= 70 AND score < 92"))
 def er_review_queue(spark, d):
-    s = _unfuzzy(scored(spark, d)).filter(X.action(F.col("score")) == "review_queue")
+    s = scored(spark, d).filter(X.action(F.col("score")) == "review_queue")
     return s.select("candidate_id", "existing_id", X.review_priority(F.col("score")).alias("priority"))
 
 
+_BEST = "best AS (SELECT candidate_id, min(matched_id) AS existing_id, max(score) AS score FROM decisions GROUP BY candidate_id)"
+
+
+@query(
+    "er_auto_merged",
+    oracle(f"""WITH {_BEST} SELECT a.id, CASE WHEN best.score >= 92 THEN existing_id ELSE seller_id END AS seller_id, CASE WHEN best.score >= 92 THEN 'merged' ELSE s.status END AS seller_status
+    FROM accounts a LEFT JOIN best ON candidate_id = seller_id JOIN sellers s ON s.id = a.seller_id"""),
+)
+def er_auto_merged(spark, d):
+    """Accounts after the merges that scores decide, with the state of the seller that they had."""
+    best = relation(spark, d, "decisions").groupBy("candidate_id").agg(F.min("matched_id").alias("existing_id"), F.max("score").alias("score"))
+    accounts = relation(spark, d, "accounts").select("id", "seller_id")
+    sellers, children, _ = X.auto_merge(relation(spark, d, "sellers"), {"accounts": accounts}, best)
+    before = accounts.select(F.col("id").alias("a"), F.col("seller_id").alias("s"))
+    had = sellers.select(F.col("id").alias("own"), F.col("status").alias("seller_status"))
+    return children["accounts"].join(before, F.col("id") == F.col("a")).join(had, F.col("s") == F.col("own")).select("id", "seller_id", "seller_status")
+
+
+_REQUESTS = "req AS (SELECT id, CASE id % 4 WHEN 0 THEN 'merge' WHEN 1 THEN 'keep_separate' WHEN 2 THEN 'rollback' ELSE 'split' END AS request FROM decisions UNION ALL SELECT -id - 1, 'merge' FROM decisions)"
+
+
+@query(
+    "er_decision_requests",
+    oracle(f"""WITH {_REQUESTS} SELECT req.id, request, CASE WHEN request = 'split' THEN 'invalid' WHEN d.id IS NULL THEN 'not_found'
+    WHEN d.status = CASE request WHEN 'merge' THEN 'merged' WHEN 'keep_separate' THEN 'separate' ELSE 'rolled_back' END THEN 'duplicate'
+    WHEN d.status = CASE request WHEN 'rollback' THEN 'merged' ELSE 'pending' END THEN 'applied' ELSE 'conflict' END AS receipt FROM req LEFT JOIN decisions d ON d.id = req.id"""),
+)
+def er_decision_requests(spark, d):
+    x = relation(spark, d, "decisions")
+    requests = x.selectExpr("id", "CASE id % 4 WHEN 0 THEN 'merge' WHEN 1 THEN 'keep_separate' WHEN 2 THEN 'rollback' ELSE 'split' END AS request").union(x.selectExpr("-id - 1", "'merge'"))
+    return X.decide(x, requests)[1]
+
+
 _MERGES = "mg AS (SELECT candidate_id AS source_id, min(matched_id) AS target_id, min(id) AS id FROM decisions WHERE status = 'merged' GROUP BY candidate_id)"
 
 
@@ -276,14 +432,10 @@ def _merges(spark, d):
 
 
 def _children(spark, d):
-    return {"accounts": relation(spark, d, "accounts"), "contacts": relation(spark, d, "contacts")}
+    return {name: relation(spark, d, name) for name in X.CHILDREN}
 
 
-@query(
-    "er_merge_links",
-    oracle(f"""WITH {_MERGES} SELECT mg.id AS decision_id, 'accounts' AS table_name, a.id AS row_id, source_id, target_id FROM accounts a JOIN mg ON a.seller_id = source_id
-    UNION ALL SELECT mg.id, 'contacts', c.id, source_id, target_id FROM contacts c JOIN mg ON c.seller_id = source_id"""),
-)
+@query("er_merge_links", oracle(f"WITH {_MERGES} " + " UNION ALL ".join(f"SELECT mg.id AS decision_id, '{t}' AS table_name, c.id AS row_id, mg.source_id, target_id FROM {t} c JOIN mg ON c.seller_id = mg.source_id" for t in X.CHILDREN)))
 def er_merge_links(spark, d):
     return X.merge_links(_children(spark, d), _merges(spark, d))
 
@@ -350,33 +502,49 @@ _BATCH = "SELECT concat(CAST(run_id AS STRING), ':', CAST(id % 5 AS STRING)) AS
 
 @query(
     "ingest_classify",
-    oracle(f"WITH seen AS ({_SEEN}), batch AS ({_BATCH}) SELECT b.id, CASE WHEN s.k IS NULL THEN 'new' WHEN s.digest = b.digest THEN 'duplicate' ELSE 'conflict' END AS receipt FROM batch b LEFT JOIN seen s ON s.k = b.k"),
+    oracle(f"""WITH seen AS ({_SEEN}), batch AS ({_BATCH}), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS rn, first_value(digest) OVER (PARTITION BY k ORDER BY id) AS first FROM batch)
+    SELECT f.id, CASE WHEN s.k IS NULL AND rn = 1 THEN 'new' WHEN coalesce(s.digest, first) = f.digest THEN 'duplicate' ELSE 'conflict' END AS receipt FROM f LEFT JOIN seen s ON s.k = f.k"""),
 )
 def ingest_classify(spark, d):
     log = relation(spark, d, "log")
     seen, batch = (spark.sql(q.replace("FROM log", "FROM {log}"), log=log) for q in (_SEEN, _BATCH))
-    return U.classify_ingest(seen, batch, "k", "digest").select("id", "receipt")
+    return U.classify_ingest(seen, batch, "k", "digest", ["id"]).select("id", "receipt")
 
 
-@query("nonce_replay", oracle("SELECT run_id % 40 AS nonce, min(id) AS first_id, count(*) - 1 AS replays FROM log GROUP BY run_id % 40"))
+@query("nonce_replay", oracle("SELECT id, run_id % 40 < 5 OR row_number() OVER (PARTITION BY run_id % 40 ORDER BY id) > 1 AS replay FROM log"))
 def nonce_replay(spark, d):
-    return relation(spark, d, "log").groupBy((F.col("run_id") % 40).alias("nonce")).agg(F.min("id").alias("first_id"), (F.count("*") - 1).alias("replays"))
+    requests = relation(spark, d, "log").select("id", (F.col("run_id") % 40).alias("nonce"))
+    return I.replayed(requests, requests.filter("nonce < 5").select("nonce"), order=["id"]).select("id", "replay")
 
 
 @query("late_events", oracle("SELECT id, abs((id * 37) % 900 - 450) <= 300 AS accepted FROM log"))
 def late_events(spark, d):
-    log = relation(spark, d, "log").withColumn("arrived", F.expr("timestampadd(SECOND, CAST((id * 37) % 900 - 450 AS INT), happened)"))
-    gap = F.abs(F.unix_seconds(F.col("arrived").cast("timestamp")) - F.unix_seconds(F.col("happened").cast("timestamp")))
-    return log.select("id", (gap <= 300).alias("accepted"))
+    log = relation(spark, d, "log").withColumn("happened", F.col("happened").cast("timestamp"))
+    log = log.withColumn("arrived", F.expr("timestampadd(SECOND, CAST((id * 37) % 900 - 450 AS INT), happened)"))
+    return log.select("id", I.timely("happened", "arrived").alias("accepted"))
+
+
+_BODY = """concat('{"schema_version":1,"parser_version":"p","crawl_run_id":"01890000-0000-7000-8000-', lpad(CAST(c_custkey AS STRING), 12, '0'), '","batch_number":', CASE WHEN c_custkey % 7 = 3 THEN '-1' ELSE '5' END,
+    ',"generated_at":"2024","feature_flags":[{"flag_name":"', CASE WHEN c_custkey % 7 = 6 THEN '' ELSE 'f' END, '","updated_at":"u"', CASE c_custkey % 7 WHEN 1 THEN ',"x":1' WHEN 2 THEN ',"enabled":"yes"' ELSE ',"enabled":true' END, '}]}')"""
 
 
 @query(
     "batch_contract",
-    oracle("SELECT id, json_extract(props, '$.k')::BIGINT AS k, json_extract(props, '$.k')::BIGINT < 50 AS accepted FROM log"),
+    """SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN '$.feature_flags[0].x is not allowed' WHEN 2 THEN '$.feature_flags[0].enabled must be a boolean' WHEN 3 THEN '$.batch_number must be a non-negative integer'
+    WHEN 4 THEN 'body must be valid JSON' WHEN 5 THEN 'body must be a JSON object' ELSE '$.feature_flags[0].flag_name is required' END AS errors, CAST(CASE WHEN c_custkey % 7 IN (4, 5) THEN 0 ELSE 1 END AS INT) AS writes FROM customer""",
 )
 def batch_contract(spark, d):
-    log = relation(spark, d, "log").withColumn("p", F.from_json("props", "k long"))
-    return log.select("id", F.col("p.k").alias("k"), (F.col("p.k") < 50).alias("accepted"))
+    body = F.when(F.col("c_custkey") % 7 == 4, "{broken").when(F.col("c_custkey") % 7 == 5, "[1]").otherwise(F.expr(_BODY))
+    requests = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), body.alias("body"))
+    return B.checked(requests).select("id", F.array_join("errors", "; ").alias("errors"), "writes")
+
+
+@query("batch_fan_out", "SELECT c_custkey AS id, '01890000-0000-7000-8000-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') || ':5' AS idempotency_key, 'f' AS flag_name, true AS enabled FROM customer WHERE c_custkey % 7 = 0")
+def batch_fan_out(spark, d):
+    accepted, _ = B.validated(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(_BODY).alias("body")))
+    rows = B.fan_out(accepted, "feature_flags")
+    key = F.concat_ws(":", "__run", "__number")
+    return rows.filter(F.substring("__run", -12, 12).cast("long") % 7 == 0).select(F.substring("__run", -12, 12).cast("long").alias("id"), key.alias("idempotency_key"), "flag_name", "enabled")
 
 
 @query(
@@ -390,7 +558,10 @@ def csv_safe_cells(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), csv_cell(cell).alias("cell"))
 
 
-@query("hmac_signatures")
+_INNER, _OUTER = (bytes(b ^ x for b in b"test-secret".ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+
+
+@query("hmac_signatures", f"SELECT event_id, sha256(from_hex('{_OUTER}') || from_hex(sha256(from_hex('{_INNER}') || encode(event_id || '.' || sha256(props))))) AS signature FROM events")
 def hmac_signatures(spark, d):
     return table(spark, d, "events").select("event_id", ids.hmac_sha256(b"test-secret", F.concat_ws(".", F.col("event_id"), F.sha2("props", 256))).alias("signature"))
 

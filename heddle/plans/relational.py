@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heddle.operators import listing as L
 from heddle.operators import relational as R
 from heddle.plans.registry import query
 from heddle.sources.domain import oracle, relation
+from heddle.streaming.ingest import by_day
 
 AS_OF = "2024-01-15 00:00:00"
 
@@ -20,8 +22,7 @@ def _sell(spark, d):
 
 
 def visible(spark, d):
-    held = R.unexpired(relation(spark, d, "suppressions"), "expires_at", as_of())
-    return R.anti_any(relation(spark, d, "contacts").filter("status = 'active'"), held, {"seller_id": "seller_id", "hash": "hash"})
+    return L.visible_contacts(relation(spark, d, "contacts"), relation(spark, d, "suppressions"), as_of())
 
 
 VISIBLE = f"""vis AS (SELECT * FROM contacts c WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM suppressions s
@@ -261,12 +262,9 @@ def orphan_contacts(spark, d):
     return relation(spark, d, "contacts").join(s, F.col("seller_id") == F.col("sid"), "left_anti").select("id", "seller_id")
 
 
-@query(
-    "daily_indicators",
-    oracle("SELECT date_trunc('day', happened) AS day, count(*) AS n, count(*) FILTER (WHERE state = 'error') AS errors, count(DISTINCT run_id) AS runs FROM log GROUP BY 1"),
-)
+@query("daily_indicators", oracle("SELECT date_trunc('day', happened) AS day, count(*) AS n, count(*) FILTER (WHERE state = 'error') AS errors FROM log GROUP BY 1"))
 def daily_indicators(spark, d):
-    return relation(spark, d, "log").groupBy(F.window("happened", "1 day").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("state") == "error").alias("errors"), F.countDistinct("run_id").alias("runs")).select(F.col("w.start").alias("day"), "n", "errors", "runs")
+    return by_day(relation(spark, d, "log"), "happened")
 
 
 @query(
@@ -300,3 +298,106 @@ def snapshot_diff(spark, d):
 def retention_split(spark, d):
     old = F.col("happened") < as_of()
     return relation(spark, d, "log").groupBy("state").agg(F.count_if(old).alias("archive"), F.count_if(~old).alias("live"))
+
+
+# whole listings
+
+
+class Relations(dict):
+    """The relations by name, read when they are asked for."""
+
+    def __init__(self, spark, d):
+        super().__init__()
+        self.spark, self.d = spark, d
+
+    def __missing__(self, name):
+        from heddle.plans.catalogue import seller_index
+
+        self[name] = seller_index(self.spark, self.d) if name == "index" else relation(self.spark, self.d, name)
+        return self[name]
+
+
+_LOOKUPS = """LEFT JOIN (SELECT seller_id, arg_max(marketplace, (last_seen, id)) AS marketplace, arg_max(display_name, (last_seen, id)) AS display_name FROM accounts GROUP BY seller_id) a ON a.seller_id = p.id
+  LEFT JOIN (SELECT sid, arg_max(status, (created_at, id)) AS duplicate_status FROM (SELECT id, status, created_at, candidate_id AS sid FROM decisions UNION SELECT id, status, created_at, matched_id FROM decisions) GROUP BY sid) x ON x.sid = p.id
+  LEFT JOIN (SELECT seller_id, count(*) AS contact_count, string_agg(DISTINCT contact_type, ',' ORDER BY contact_type) AS contact_types FROM contacts WHERE status = 'active' GROUP BY seller_id) c ON c.seller_id = p.id"""
+_SHOWN = "p.id, p.name, p.country, p.domain, a.marketplace, a.display_name, x.duplicate_status, coalesce(c.contact_count, 0) AS contact_count, c.contact_types, p.total"
+_SHOWN_COLUMNS = ["id", "name", "country", "domain", "marketplace", "display_name", "duplicate_status", "contact_count", "contact_types", "total"]
+
+
+@query(
+    "sellers_listing",
+    oracle(f"""WITH s AS (SELECT * FROM sellers s WHERE status <> 'merged' AND domain IS NOT NULL AND id IN (SELECT seller_id FROM aliases WHERE contains(lower(alias), 'building'))
+      AND id IN (SELECT seller_id FROM accounts WHERE marketplace = '1-URGENT') AND id IN (SELECT seller_id FROM accounts WHERE contains(lower(display_name), 'shop 1'))
+      AND id IN (SELECT seller_id FROM products WHERE contains(lower(category), 'e')) AND id IN (SELECT seller_id FROM products WHERE contains(lower(brand), '#1'))),
+    n AS (SELECT seller_id, count(*) AS n FROM contacts WHERE status = 'active' GROUP BY seller_id),
+    p AS (SELECT s.*, count(*) OVER () AS total FROM s LEFT JOIN n ON n.seller_id = s.id ORDER BY n DESC NULLS LAST, s.id LIMIT 20)
+    SELECT {_SHOWN} FROM p {_LOOKUPS}"""),
+)
+def sellers_listing(spark, d):
+    f = L.Facets(query="Societe BUILD", website=True, marketplace="1-URGENT", account="SHOP 1", category="E", brand="#1", sort="most_contacts", limit=20)
+    return L.list_sellers(Relations(spark, d), f).select(*_SHOWN_COLUMNS)
+
+
+@query(
+    "sellers_listing_scored",
+    oracle(f"""WITH s AS (SELECT * FROM sellers s WHERE status = 'active' AND manufacturer_score >= 30 AND trader_score >= 15 AND updated_at >= DATE '2024-01-03' AND country IN (SELECT min(country) FROM sellers WHERE id = 4)
+      AND EXISTS (SELECT 1 FROM decisions x WHERE x.status = 'merged' AND (x.candidate_id = s.id OR x.matched_id = s.id))),
+    p AS (SELECT *, count(*) OVER () AS total FROM s ORDER BY lower(name), id LIMIT 50)
+    SELECT {_SHOWN} FROM p {_LOOKUPS}"""),
+)
+def sellers_listing_scored(spark, d):
+    rel = Relations(spark, d)
+    country = rel["sellers"].filter("id = 4").first()["country"]
+    f = L.Facets(status="active", country=country.lower(), manufacturer=30, trader=15, updated_since="2024-01-03", duplicate_status="merged", sort="seller_name")
+    return L.list_sellers(rel, f).select(*_SHOWN_COLUMNS)
+
+
+@query(
+    "sellers_listing_sourced",
+    oracle(f"""WITH s AS (SELECT * FROM sellers s WHERE status <> 'merged' AND id IN (SELECT seller_id FROM contacts WHERE contact_type = 'click' AND status = 'active')
+      AND id IN (SELECT seller_id FROM sources WHERE source_type = 'official_site') AND id IN (SELECT seller_id FROM run_sellers WHERE run_id = 7)),
+    p AS (SELECT *, count(*) OVER () AS total FROM s ORDER BY updated_at DESC, id LIMIT 10 OFFSET 3)
+    SELECT {_SHOWN} FROM p {_LOOKUPS}"""),
+)
+def sellers_listing_sourced(spark, d):
+    f = L.Facets(contact_type="click", source_type="official_site", run=7, sort="recently_updated", limit=10, offset=3)
+    return L.list_sellers(Relations(spark, d), f).select(*_SHOWN_COLUMNS)
+
+
+@query(
+    "contacts_listing",
+    oracle(f"""WITH {VISIBLE}, c AS (SELECT * FROM vis WHERE confidence >= 20 AND verified_at IS NULL AND seller_id IN (SELECT id FROM sellers WHERE contains(lower(name), 'customer')) AND source_id IN (SELECT id FROM sources WHERE source_type = 'directory')),
+    p AS (SELECT *, count(*) OVER () AS total FROM c ORDER BY last_seen DESC, id LIMIT 40)
+    SELECT p.id, p.seller_id, p.contact_type, s.name AS seller_name, s.country AS seller_country, o.source_type, p.total FROM p LEFT JOIN sellers s ON s.id = p.seller_id LEFT JOIN sources o ON o.id = p.source_id"""),
+)
+def contacts_listing(spark, d):
+    f = L.Facets(query="customer", confidence=20, verified=False, source_type="directory", limit=40)
+    return L.list_contacts(Relations(spark, d), f, as_of()).select("id", "seller_id", "contact_type", "seller_name", "seller_country", "source_type", "total")
+
+
+@query(
+    "duplicates_page",
+    oracle("""WITH p AS (SELECT *, count(*) OVER () AS total FROM decisions WHERE status = 'pending' ORDER BY score DESC, id LIMIT 30 OFFSET 10)
+    SELECT p.id, p.score, c.name AS "candidateName", m.name AS "matchedName", p.total FROM p LEFT JOIN sellers c ON c.id = candidate_id LEFT JOIN sellers m ON m.id = matched_id"""),
+)
+def duplicates_page(spark, d):
+    return L.api_shape(L.list_duplicates(Relations(spark, d), "pending", 30, 10).select("id", "score", "candidate_name", "matched_name", "total"))
+
+
+@query(
+    "runs_page",
+    oracle("""WITH r AS (SELECT run_id, arg_max(state, (happened, id)) AS state, max(happened) AS last_event_at, count(*) AS n_events, count(*) FILTER (WHERE state = 'error') AS errors FROM log GROUP BY run_id)
+    SELECT *, (SELECT count(*) FROM r WHERE state = 'view') AS total FROM r WHERE state = 'view' ORDER BY last_event_at DESC, run_id LIMIT 25"""),
+)
+def runs_page(spark, d):
+    return L.list_runs(relation(spark, d, "log"), "view", 25)
+
+
+@query(
+    "metrics_all",
+    oracle(f"""SELECT (SELECT count(*) FROM sellers) AS sellers, (SELECT count(*) FROM sellers WHERE status = 'active') AS active_sellers, (SELECT count(domain) FROM sellers) AS official_sites,
+    (SELECT count(*) FROM contacts WHERE status = 'active') AS contacts, (SELECT count(DISTINCT seller_id) FROM contacts WHERE verified_at IS NOT NULL) AS verified_sellers, (SELECT count(*) FROM decisions WHERE status = 'pending') AS pending_duplicates,
+    (SELECT count(*) FROM log WHERE state = 'error' AND happened >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND happened < TIMESTAMP '{AS_OF}') AS recent_failures, (SELECT count(DISTINCT run_id) FROM log) AS runs"""),
+)
+def metrics_all(spark, d):
+    return L.metrics(Relations(spark, d), as_of())

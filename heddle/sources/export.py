@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +26,30 @@ def csv_document(rows: DataFrame, columns: list[str], limit: int = EXPORT_ROWS)
     return "﻿" + "\r\n".join([head, *[r.line for r in lines]]) + "\r\n"
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """A CSV folder of any size, CRLF and quoted; formula-safe."""
-    safe = rows.select(*[neutral(F.col(c).cast("string")).alias(c) for c in rows.columns])
-    lines = safe.select(F.concat_ws(",", *[csv_cell(F.col(c)) for c in safe.columns]).alias("value"))
-    lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+# fixed values: columns of the exports
+SELLER_COLUMNS = ["id", "canonical_name", "legal_name", "country_code", "province", "city", "official_domain", "identity_confidence", "quality_score", "status", "last_seen_at"]
+CONTACT_COLUMNS = ["id", "seller_id", "seller_name", "contact_type", "display_value_masked", "classification", "confidence", "status", "last_seen_at"]
+
+
+def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """A CSV folder of any size: each file with BOM and header, CRLF, all cells quoted; formula-safe."""
+    columns = columns or rows.columns
+    lines = rows.select(F.concat_ws(",", *[csv_cell(F.col(c).cast("string")) for c in columns]).alias("value"))
+    head = "\ufeff" + ",".join(f'"{c}"' for c in columns)
+
+    def with_head(batches):
+        first = True
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([head] if first else [], pa.string()), batch.column(0).cast(pa.string())])], names=["value"])
+                first = False
+
+    lines.mapInArrow(with_head, "value string").write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """Rows as lines of JSON; a run's earlier output is replaced."""
+    rows.write.mode("overwrite").json(path)
 
 
 def snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:

@@ -55,6 +55,6 @@ def test_frontier_of_all_parts(spark, tmp_path):
             edge = {(u * k + 11 * k) % n + 1 for u in edge for k in (2, 3, 5, 7)} - depth.keys()
             depth |= dict.fromkeys(edge, level)
         want |= {(seed, u, depth[u]) for u in sorted(depth, key=lambda u: (depth[u], u))[:25]}
-    got = [tuple(r) for r in queries()["crawl_frontier_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in queries()["crawl_frontier"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
     assert max(sum(s == seed for s, _, _ in want) for seed in range(1, n + 1)) == 25
