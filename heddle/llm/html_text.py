@@ -46,6 +46,7 @@ def parse(page: str, known: frozenset | None = None) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     active: dict[str, int] = {}
+    opened: dict[str, int] = {}
     parts: list[str] = []
     links = link_from = size = 0
     in_link = False
@@ -59,7 +60,9 @@ def parse(page: str, known: frozenset | None = None) -> list[Block]:
         parts, links, size, link_from = [], 0, 0, 0
 
     def pop():
-        for f in stack.pop()[1]:
+        tag, feats = stack.pop()
+        opened[tag] -= 1
+        for f in feats:
             active[f] -= 1
             if not active[f]:
                 del active[f]
@@ -88,7 +91,7 @@ def parse(page: str, known: frozenset | None = None) -> list[Block]:
             continue
         flush()
         if closing:
-            if any(t == tag for t, _ in stack):
+            if opened.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -110,6 +113,7 @@ def parse(page: str, known: frozenset | None = None) -> list[Block]:
             feats += ["name:" + w.lower() for w in _NAME.findall(a[2] or a[3] or a[4] or "")]
         feats = tuple(f for f in dict.fromkeys(feats) if known is None or f in known)
         stack.append((tag, feats))
+        opened[tag] = opened.get(tag, 0) + 1
         for f in feats:
             active[f] = active.get(f, 0) + 1
     if at < n:
@@ -133,8 +137,9 @@ def text_feats(b: Block, i: int, n: int) -> list[str]:
     out.append(f"ends:{t[-1] in '.!?:”»"'}")
     if "©" in t or "|" in t or "·" in t:
         out.append("mark")
-    if _NOTICE.search(t[:400]):
-        out.append("notice")
+    notices = len(_NOTICE.findall(t))
+    if notices:  # how many there are for the words of the whole block
+        out.append(f"notice:{min(3, 16 * notices // words)}")
     return out
 
 
@@ -248,13 +253,15 @@ _COMMENTS = ["div class=comments", "section id=comments", "div class=comment-lis
 _INSIDE = ["p", "p", "p", "p", "h2", "h3", "blockquote", "ul", "pre", "table", "figure"]
 
 
-def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[tuple[str, int]]]]:
-    """(html, [(text of a leaf block, label)]) for made-up pages of many layouts."""
+def labelled_pages(count: int, seed: int = 1, unnamed: float = 0.15) -> list[tuple[str, list[tuple[str, int]]]]:
+    """(html, [(text of a leaf block, label)]) for made-up pages of many layouts; unnamed is the share whose containers have names that say nothing."""
     rng = random.Random(seed)
     out = []
     for _ in range(count):
         page: list[str] = []
         labels: list[tuple[str, int]] = []
+        named = rng.random() >= unnamed
+        cells = not named and rng.random() < 0.4  # or all is in the cells of one table
 
         def phrase(lo: int, hi: int, stop: bool) -> str:
             words = ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(lo, hi))]
@@ -280,7 +287,15 @@ def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[tuple[str,
             page.append(f"<{open_}>{shown}" + (f"</{name}>" if rng.random() < 0.93 or name not in ("p", "li") else ""))
             labels.append((" ".join(text.split()), label))
 
+        def plain(open_: str) -> str:
+            if named or open_.split()[0] in ("form", "span"):
+                return open_
+            if cells:
+                return "td"
+            return rng.choice(["div", "div class=" + rng.choice(_SYLLABLES) + rng.choice(_SYLLABLES), "div id=" + rng.choice(_SYLLABLES), "section"])
+
         def group(open_: str, fill):
+            open_ = plain(open_)
             page.append(f"<{open_}>")
             wrap = rng.random() < 0.3
             if wrap:
@@ -291,6 +306,12 @@ def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[tuple[str,
             page.append(f"</{open_.split()[0]}>")
 
         def menu():
+            if not named and rng.random() < 0.6:  # links in a row
+                links = [phrase(1, 3, False) for _ in range(rng.randrange(2, 7))]
+                mark = rng.choice([" | ", " ", " · ", "<br>"])
+                page.append("<div>" + mark.join(f"<a href=/x>{html.escape(x, quote=False)}</a>" for x in links) + "</div>")
+                labels.append((" ".join(mark.replace("<br>", " ").join(links).split()), 0))
+                return
             page.append("<ul>")
             for _ in range(rng.randrange(2, 9)):
                 put("li", phrase(1, 4, False), 0, True)
@@ -311,7 +332,7 @@ def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[tuple[str,
 
         def bare(kinds, long_: float = 0.3):
             text = phrase(3, 40 if rng.random() < long_ else 14, rng.random() < 0.7)
-            put(rng.choice(kinds), text, 0)
+            put(plain(rng.choice(kinds)), text, 0)
 
         def form():
             put("p", phrase(1, 8, rng.random() < 0.5), 0)
@@ -373,7 +394,7 @@ def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[tuple[str,
             group(rng.choice(_SIDES), short)
         if rng.random() < 0.15:
             group(rng.choice(_FORMS), form)
-        outer = rng.choice(["", "", "main", "div class=container", "div id=wrapper", "section"])
+        outer = plain(rng.choice(["", "", "main", "div class=container", "div id=wrapper", "section"]) or "div") if rng.random() < 0.67 else ""
         if outer:
             page.append(f"<{outer}>")
         opening = rng.choice(_MAIN if not outer else ["article", *_MAIN])
@@ -386,7 +407,7 @@ def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[tuple[str,
                 group(rng.choice(kinds), fill)
         if rng.random() < 0.85:
             if rng.random() < 0.6:
-                put(rng.choice(_FOOTS), rng.choice(["© ", "", ""]) + phrase(2, 30, rng.random() < 0.6), 0)
+                put(plain(rng.choice(_FOOTS)), rng.choice(["© ", "", ""]) + phrase(2, 30, rng.random() < 0.6), 0)
             else:
                 group(rng.choice(_FOOTS), short)
         if rng.random() < 0.1:
