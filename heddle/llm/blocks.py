@@ -1,18 +1,23 @@
 """Blocks of rows kept in the shared folder, and the exchange of packed keys between them.
 
 Operators that compare every position of every text would shuffle many times the input.
-Here rows are packed into blocks of some megabytes, once. A kernel reads a block, sends its
-distinct keys (64-bit hashes, with values) to buckets, one binary row for each bucket; a
-bucket's reducer sees a key once for each block that has it, and answers each block with an
-array in the order of the keys sent. So a key that fills a third of the corpus costs one
-entry for each block, and the JVM moves few, large rows.
+Here rows are packed into blocks of some megabytes, once. A kernel reads a block, merges
+its keys (64-bit hashes) into distinct ones with values, and sends them in ascending order,
+one binary row for each part of the key space. Keys are stored as gaps of as many bytes as
+the largest needs, numbers as one byte with an escape. A part's reducer sees a key once for
+each block that has it, and answers each block in the order of the keys sent. So a key that
+fills a third of the corpus costs one entry for each block, and the JVM moves few, large
+rows. There are at most PARTS parts, so a row doesn't shrink below its block's share of
+them however large the corpus; beyond that a part, which a task holds whole, grows.
 
 A block is read where it is needed through its place in the index (file, offset, length);
-a kernel that is run again reads the same bytes.
+a kernel that is run again reads the same bytes. What is stored is deleted when it has been
+read for the last time (drop_blocks, shared.drop), and shuffle files go as soon as their job is done.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,18 +28,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.shared import release, scratch, stored
+from heddle.llm.shared import discard, drop, scratch, stored
 from heddle.llm.warc import open_fs
 
 INDEX = "block long, file string, offset long, length long, bytes long"
-ENTRIES = "bucket int, block long, key binary, key2 binary, n binary, doc binary, start binary"
-REPLIES = "block long, bucket int, reply binary"
+ENTRIES = "kind int, part int, block long, count int, key binary, key2 binary, n binary, doc binary, start binary, body binary"
+REPLIES = "block long, kind int, part int, reply binary"
 BLOCK_BYTES = 8 << 20
-#: Entries that a bucket should have.
-BUCKET_ENTRIES = 1 << 19
+#: Entries that a part should have, and most parts.
+PART_ENTRIES, PARTS = 1 << 19, 1 << 16
 U64 = np.uint64
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system: a worker is kept from task to task, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write docs (all columns) as blocks of about block_bytes of text; the index, stored. A longer row has a block of its own."""
     folder = scratch(docs.sparkSession, "blocks")
@@ -60,6 +73,8 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) ->
             rows.append((int.from_bytes(os.urandom(8)) >> 1, f"{folder}/{name}", at, body.size, size))
             at += body.size
             held, size = [], 0
+            del sink, body
+            tidy()
 
         for batch in batches:
             if not batch.num_rows:
@@ -82,7 +97,15 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) ->
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 1 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=[c.split()[0] for c in INDEX.split(", ")])
 
-    return stored(docs.mapInArrow(run, INDEX), "block-index")
+    index = stored(docs.mapInArrow(run, INDEX), "block-index")
+    index.blocks_at = folder
+    return index
+
+
+def drop_blocks(index: DataFrame) -> None:
+    """Delete the blocks and their index, when nothing reads them any more."""
+    discard(index.sparkSession, index.blocks_at)
+    drop(index)
 
 
 def fetch(file: str, offset: int, length: int) -> pa.Table:
@@ -92,15 +115,15 @@ def fetch(file: str, offset: int, length: int) -> pa.Table:
 
 
 def kernel(index: DataFrame, run: Callable[..., Iterator[pa.RecordBatch]], schema, *replies: DataFrame) -> DataFrame:
-    """run(block, table, [{bucket: bytes} of each reply table]) for each block.
+    """run(block, table, [{(kind, part): bytes} of each reply table]) for each block.
 
     A block's replies are as large as its own keys. They and the index are dealt by block,
-    once, into so many parts that each has few blocks, whatever their size in bytes.
+    once, into so many tasks that each has few blocks, whatever their size in bytes.
     """
-    parts, n_replies = max(1, min(index.count(), 1 << 16)), len(replies)
-    index = index.repartition(parts, "block")
+    tasks, n_replies = max(1, min(index.count(), 1 << 16)), len(replies)
+    index = index.repartition(tasks, "block")
     for i, r in enumerate(replies):
-        own = r.repartition(parts, "block").groupBy(F.col("block").alias("__b")).agg(F.collect_list(F.struct("bucket", "reply")).alias(f"replies{i}"))
+        own = r.repartition(tasks, "block").groupBy(F.col("block").alias("__b")).agg(F.collect_list(F.struct("kind", "part", "reply")).alias(f"replies{i}"))
         index = index.join(own, F.col("block") == F.col("__b"), "left").drop("__b")
 
     def each(batches):
@@ -110,69 +133,144 @@ def kernel(index: DataFrame, run: Callable[..., Iterator[pa.RecordBatch]], schem
                 row = {n: batch.column(names.index(n))[i] for n in names}
                 table = fetch(row["file"].as_py(), row["offset"].as_py(), row["length"].as_py())
                 cells = [row[f"replies{k}"] for k in range(n_replies)]
-                got = [{x["bucket"].as_py(): x["reply"].as_py() for x in (c if c.is_valid else [])} for c in cells]
+                got = [{(x["kind"].as_py(), x["part"].as_py()): x["reply"].as_py() for x in (c if c.is_valid else [])} for c in cells]
                 yield from run(row["block"].as_py(), table, got)
+                del table, got, cells, row
+                tidy()
 
     return index.mapInArrow(each, schema)
 
 
-def buckets_for(index: DataFrame, entries_per_byte: float) -> int:
-    total = index.agg(F.sum("bytes")).first()[0] or 0
-    return max(1, int(total * entries_per_byte / BUCKET_ENTRIES) + 1)
+def total_bytes(index: DataFrame) -> int:
+    return index.agg(F.sum("bytes")).first()[0] or 0
 
 
-def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Monotone in the key, so sorted keys are sorted by bucket."""
-    return ((key >> U64(32)) * U64(buckets)) >> U64(32)
+def parts_for(total: int, entries_per_byte: float) -> int:
+    return max(1, min(PARTS, int(total * entries_per_byte / PART_ENTRIES) + 1))
 
 
-def entry_batch(block: int, buckets: int, key: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
-    """Rows of ENTRIES for keys in ascending order."""
-    bucket = bucket_of(key, buckets)
-    cut = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + U64(1))) if len(key) else np.zeros(0, int)
-    ends = np.append(cut[1:], len(key)) if len(cut) else cut
-    cols = {"bucket": pa.array(bucket[cut].astype(np.int32)), "block": pa.array(np.full(len(cut), block, np.int64))}
-    for name, v in {"key": key, "key2": None, "n": None, "doc": None, "start": None, **values}.items():
-        cols[name] = pa.array([None if v is None else v[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Monotone in the key, so sorted keys are sorted by part."""
+    return ((key >> U64(32)) * U64(parts)) >> U64(32)
 
 
-def aligned(key: np.ndarray, buckets: int, replies: dict[int, bytes]) -> np.ndarray:
-    """The replies to entry_batch(key), in its order; a bucket's are numbers of 8, 32 or 64 bits, by their length."""
+def low_key(part: int, parts: int) -> int:
+    """The least key of a part."""
+    return -(-(part << 32) // parts) << 32
+
+
+def pack_keys(key: np.ndarray, low: int) -> bytes:
+    """Ascending keys as gaps from low on, after one byte for the width of a gap."""
     if not len(key):
-        return np.zeros(0, np.uint8)
-    own, sizes = np.unique(bucket_of(key, buckets), return_counts=True)
-    kinds = {1: np.uint8, 4: np.uint32, 8: np.uint64}
-    return np.concatenate([np.frombuffer(replies[b], kinds[len(replies[b]) // n]) for b, n in zip(own.tolist(), sizes.tolist(), strict=True)])
+        return b""
+    gap = key.copy()
+    gap[1:] -= key[:-1]
+    gap[0] -= U64(low)
+    width = max(1, (int(gap.max()).bit_length() + 7) // 8)
+    return bytes([width]) + gap.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(packed: bytes, low: int) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.uint64)
+    width = packed[0]
+    own = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
+    gap = np.zeros((len(own), 8), np.uint8)
+    gap[:, :width] = own
+    gap = gap.view(np.uint64).ravel()
+    gap[0] += U64(low)
+    return np.cumsum(gap, dtype=np.uint64)
+
+
+def pack_numbers(n: np.ndarray) -> bytes:
+    """Numbers as bytes; those from 255 on as 255, and whole at the end."""
+    large = n >= 255
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[large].astype(np.uint64).tobytes()
+
+
+def unpack_numbers(packed: bytes, count: int) -> np.ndarray:
+    n = np.frombuffer(packed, np.uint8, count).astype(np.uint64)
+    if len(packed) > count:
+        n[n == 255] = np.frombuffer(packed[count:], np.uint64)
+    return n
+
+
+def cuts(key: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) for each part that ascending keys have."""
+    part = part_of(key, parts)
+    first = np.flatnonzero(np.diff(part, prepend=part[:1] + U64(1))) if len(key) else np.zeros(0, int)
+    return list(zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(key)], strict=True)) if len(first) else []
+
+
+def entry_batch(block: int, parts: int, key: np.ndarray, kind: int = 0, **values) -> pa.RecordBatch:
+    """Rows of ENTRIES for keys in ascending order. n are numbers, body a function (from, to) -> bytes, the others arrays."""
+    where = cuts(key, parts)
+    size = len(where)
+    cols = {"kind": pa.array([kind] * size, pa.int32()), "part": pa.array([p for p, _, _ in where], pa.int32()), "block": pa.array([block] * size, pa.int64()), "count": pa.array([b - a for _, a, b in where], pa.int32())}
+    cols["key"] = pa.array([pack_keys(key[a:b], low_key(p, parts)) for p, a, b in where], pa.binary())
+    for name in ("key2", "n", "doc", "start", "body"):
+        v = values.get(name)
+        put = (lambda a, b: None) if v is None else v if callable(v) else (lambda a, b, v=v: pack_numbers(v[a:b])) if name == "n" else (lambda a, b, v=v: v[a:b].tobytes())
+        cols[name] = pa.array([put(a, b) for _, a, b in where], pa.binary())
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
 
+def aligned(key: np.ndarray, parts: int, replies: dict, kind: int = 0) -> np.ndarray:
+    """The replies to entry_batch(key, kind), in its order."""
+    got = [unpack_numbers(replies[kind, p], b - a) for p, a, b in cuts(key, parts)]
+    return np.concatenate(got) if got else np.zeros(0, np.uint64)
 
-def exchange(entries: DataFrame, reducer: Callable[[pa.Table], list[bytes]], what: str, totals: Callable[[pa.Table], bytes] | None = None) -> DataFrame:
-    """REPLIES, stored: reducer gets the rows of a bucket and returns a reply for each; totals gives one more for the bucket, of block -1."""
+
+def exchange(entries: DataFrame, reducer: Callable[[pa.Table], list[bytes]], what: str, parts: int, totals: Callable[[pa.Table], bytes] | None = None) -> DataFrame:
+    """REPLIES, stored: reducer gets the rows of a kind and part and returns a reply for each; totals gives one more for them, of block -1."""
 
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         table = table.combine_chunks()
         replies = reducer(table)
-        block, bucket = table["block"].combine_chunks(), table["bucket"].combine_chunks()
+        cols = [table[c].combine_chunks() for c in ("block", "kind", "part")]
         if totals:
             replies = [*replies, totals(table)]
-            block, bucket = pa.concat_arrays([block, pa.array([-1], pa.int64())]), pa.concat_arrays([bucket, bucket[:1]])
-        return pa.table({"block": block, "bucket": bucket, "reply": pa.array(replies, pa.binary())})
+            cols = [pa.concat_arrays([c, pa.array([-1], pa.int64()) if i == 0 else c[:1]]) for i, c in enumerate(cols)]
+        return pa.table({**dict(zip(("block", "kind", "part"), cols, strict=True)), "reply": pa.array(replies, pa.binary())})
 
-    out = stored(entries.groupBy("bucket").applyInArrow(run, REPLIES), what)
-    release(entries.sparkSession)  # what was shuffled is as large as all keys
-    return out
+    # so many tasks: small parts may be a lot of work, which their bytes don't show
+    return stored(entries.repartition(parts, "kind", "part").groupBy("kind", "part").applyInArrow(run, REPLIES), what)
+
+
+def keys_of(table: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a part's rows, one row after the other, and how many each has."""
+    lengths = table["count"].to_numpy().astype(np.int64)
+    low = low_key(table["part"][0].as_py(), parts) if len(lengths) else 0
+    own = [unpack_keys(x.as_py(), low) for x in table["key"].combine_chunks()]
+    return (np.concatenate(own) if own else np.zeros(0, np.uint64)), lengths
+
+
+def numbers_of(table: pa.Table, name: str = "n") -> np.ndarray:
+    own = [unpack_numbers(x.as_py(), k) for x, k in zip(table[name].combine_chunks(), table["count"].to_pylist(), strict=True)]
+    return np.concatenate(own) if own else np.zeros(0, np.uint64)
+
+
+def array_of(table: pa.Table, name: str, dtype) -> np.ndarray:
+    own = [np.frombuffer(x.as_buffer(), dtype) for x in table[name].combine_chunks()]
+    return np.concatenate(own) if own else np.zeros(0, dtype)
 
 
-def arrays(table: pa.Table, name: str, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """A column of packed arrays, concatenated, and the lengths of its rows."""
-    col = table[name].combine_chunks()
-    parts = [np.frombuffer(x.as_buffer(), dtype) for x in col]
-    return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.array([len(p) for p in parts], np.int64)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, the number of each key's own one, and where one of each is. Faster than np.unique, whose inverse needs a stable sort."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    of = np.empty(len(own), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return own[new], of, order[new]
 
 
 def split(values: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """Replies: the numbers of each row."""
     ends = np.cumsum(lengths)
-    return [values[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
+    return [pack_numbers(values[e - n : e]) for e, n in zip(ends, lengths, strict=True)]
 
 
 # hashing

@@ -7,14 +7,27 @@ windows have equal anchors at equal offsets. In three exchanges of packed keys
 2. occurrences of a repeated anchor are told apart by their context, which is all that the
    windows of this anchor cover, to the left and to the right: in equal contexts all windows
    are equal, so a class of copies is settled at once, whatever its size,
-3. where an anchor has several contexts, the windows of one occurrence of each are compared.
+3. where an anchor has several contexts, one occurrence of each is sent with its content.
+   All extensions of an anchor are found at once by sorting: its windows, each a suffix of
+   a context cut at the window's length, are put in suffix order, ties by position, and
+   neighbours are compared symbol by symbol. A run of neighbours with a common prefix of
+   the whole length is a class of equal windows; what stands behind another member has its
+   previous smaller position there.
 
-What is left are the maximal runs of repeated windows. Contexts and windows are compared by
-96 hash bits or more (the anchor's and the context's, or the window's two hashes).
+What is left are the maximal runs of repeated windows.
+
+An anchor of over CROWD contexts isn't brought into one task: its windows are dealt singly,
+each by its own hash, once for a block.
+
+Contexts, and windows of a crowded anchor, are taken for equal if 128 bits of hash agree (for
+10 ** 12 of them the chance of any error is about 10 ** 24 / 2 ** 129, below 2e-15). All else
+is compared symbol by symbol.
 
 ``any``: a window is repeated if it occurs anywhere else. ``earlier``: only if it occurs at
 a smaller (doc_id, start); a null doc_id stands before all others, and rows with equal
 doc_id are one place, so of them neither is the earlier at equal starts.
+
+A block holds its texts whole: a text needs some ten times its size in a task's memory.
 """
 
 from __future__ import annotations
@@ -27,27 +40,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from heddle.llm import blocks as B
+from heddle.llm.shared import drop, stored
 
 U64 = np.uint64
 SEGMENT = 1 << 18
-#: A kernel holds some arrays of 8 bytes for each symbol of a block.
-BLOCK_BYTES = 3 << 20
+#: A kernel holds some arrays for the symbols of a block.
+BLOCK_BYTES = 6 << 20
+#: Contexts of an anchor that one task sorts together; windows that are sorted at once, where they are of several anchors.
+CROWD, SORTED = 1 << 14, 1 << 19
 NULL_ID = -(1 << 63)
+MIXED, FIRST, CROWDED = 2, 4, 8
 
 
-@dataclass
 class Symbols:
-    """codes: a 64-bit code for each symbol of a block; off: symbols before each text, then all; buf: the bytes, if they are the symbols."""
+    """A block's symbols. off: symbols before each text, then all."""
 
-    codes: np.ndarray
     off: np.ndarray
-    buf: np.ndarray | None = None
+
+    def codes(self, a: int, b: int) -> np.ndarray:
+        """64-bit codes of the symbols from a to b."""
+        raise NotImplementedError
+
+    def content(self, a: int, b: int) -> bytes:
+        """The symbols from a to b themselves, as read() takes them."""
+        raise NotImplementedError
+
+    @staticmethod
+    def read(body: bytes) -> np.ndarray:
+        """Numbers that are equal where the symbols are, of all contents of a part together."""
+        raise NotImplementedError
 
 
 @dataclass
 class Anchors:
+    """Ascending by place: hash of the k-gram, where it is, first and last start of its windows."""
+
     key: np.ndarray
-    ctx: np.ndarray
+    at: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
 
@@ -61,26 +90,26 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(sym: Symbols, length: int, k: int) -> Anchors:
-    """The winnowed anchors: hash of the k-gram, hash of the context, first and last start of its windows."""
-    x, n, w = sym.codes, len(sym.codes), length - k + 1
+    n, w = int(sym.off[-1]), length - k + 1
     out: list[tuple] = []
     if n >= length:
-        size = np.diff(sym.off)
-        fits = size >= length
-        edge = np.zeros(n + 1, np.int32)
-        np.add.at(edge, sym.off[:-1][fits], 1)
-        np.add.at(edge, (sym.off[1:] - length + 1)[fits], -1)
-        valid = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        begin, stop = sym.off[:-1], sym.off[1:] - length + 1  # where windows start
+        fits = stop > begin
+        begin, stop = begin[fits], stop[fits]
         mask = U64((1 << 20) - 1)
         up, down = B.powers(SEGMENT + length + 1)
         for a in range(0, n - length + 1, SEGMENT):
             b = min(a + SEGMENT, n - length + 1)
-            ok = valid[a:b]
-            if not ok.any():
+            own = slice(int(np.searchsorted(stop, a, "right")), int(np.searchsorted(begin, b)))
+            if own.start >= own.stop:
                 continue
+            edge = np.zeros(b - a + 1, np.int32)
+            np.add.at(edge, np.maximum(begin[own] - a, 0), 1)
+            np.add.at(edge, np.minimum(stop[own], b) - a, -1)
+            ok = np.cumsum(edge[:-1]) > 0
             m = b - a + length - 1
             s = np.zeros(m + 1, np.uint64)
-            np.cumsum(x[a : a + m] * up[:m], out=s[1:])
+            np.cumsum(sym.codes(a, a + m) * up[:m], out=s[1:])
             g = B.mix((s[k:] - s[:-k]) * down[: m - k + 1])
             low = sliding_min((g & ~mask) | np.arange(len(g), dtype=np.uint64), w)
             p = (low & mask).astype(np.int64)
@@ -91,16 +120,31 @@ def anchors(sym: Symbols, length: int, k: int) -> Anchors:
             own = ok[first]
             lo, hi = first[own], last[own]
             at = p[lo]
-            ctx = B.mix((s[hi + length] - s[lo]) * down[lo] + (at - lo).astype(np.uint64) * U64(B._Q2) + (hi - lo).astype(np.uint64) * U64(0x2545F4914F6CDD1D))
-            out.append((g[at], ctx, lo + a, hi + a))
+            out.append((B.mix(g[at]), at + a, lo + a, hi + a))  # the least hashes are all small; keys should be spread
     if not out:
-        return Anchors(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return Anchors(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     return Anchors(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
+def range_keys(sym: Symbols, lo: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of the symbols from lo, which ascend, to stop."""
+    out = np.empty(len(lo), np.uint64)
+    i = 0
+    while i < len(lo):
+        a = int(lo[i])
+        j = int(np.searchsorted(lo, a + SEGMENT))
+        m = int(stop[i:j].max()) - a
+        up, down = B.powers(m + 1)
+        s = np.zeros(m + 1, np.uint64)
+        np.cumsum(sym.codes(a, a + m) * up[:m], out=s[1:])
+        out[i:j] = (s[stop[i:j] - a] - s[lo[i:j] - a]) * down[lo[i:j] - a]
+        i = j
+    return out
+
+
 def window_keys(sym: Symbols, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes (64 and 32 bits) of the windows at starts, which ascend."""
-    key, key2 = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint32)
+    """Two 64-bit hashes of the windows at starts, which ascend."""
+    key, key2 = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         a = int(starts[i])
@@ -110,9 +154,8 @@ def window_keys(sym: Symbols, starts: np.ndarray, length: int) -> tuple[np.ndarr
         for q, to in ((B._Q, key), (B._Q2, key2)):
             up, down = B.powers(m + 1, q)
             s = np.zeros(m + 1, np.uint64)
-            np.cumsum(sym.codes[a : a + m] * up[:m], out=s[1:])
-            h = B.mix((s[rel + length] - s[rel]) * down[rel])
-            to[i:j] = h if to is key else (h >> U64(32)).astype(np.uint32)
+            np.cumsum(sym.codes(a, a + m) * up[:m], out=s[1:])
+            to[i:j] = B.mix((s[rel + length] - s[rel]) * down[rel])
         i = j
     return key, key2
 
@@ -126,10 +169,11 @@ class Groups:
     key2: np.ndarray
     n: np.ndarray
     pos: np.ndarray  # least position
+    at: np.ndarray  # the occurrence there
 
 
-def group(key: np.ndarray, key2: np.ndarray, pos: np.ndarray, n: np.ndarray, order: np.ndarray | None = None) -> Groups:
-    order = np.lexsort((pos, key2, key)) if order is None else order
+def group(key: np.ndarray, key2: np.ndarray, pos: np.ndarray, n: np.ndarray) -> Groups:
+    order = np.lexsort((pos, key2, key))
     k, k2 = key[order], key2[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])
@@ -137,24 +181,42 @@ def group(key: np.ndarray, key2: np.ndarray, pos: np.ndarray, n: np.ndarray, ord
     of = np.empty(len(k), np.int64)
     of[order] = np.cumsum(new) - 1
     total = np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
-    return Groups(of, k[first], k2[first], total, pos[order][first])
+    return Groups(of, k[first], k2[first], total, pos[order][first], order[first])
+
+
+def spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ... of each, size numbers."""
+    return np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()) if len(lo) else np.zeros(0, np.int64)
+
+
+def suffix_runs(symbols: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of starts, cut at length, ties as given; and whether each in that order has a common prefix of length with the one before."""
+    wide = np.ndarray((len(symbols) - length + 1,), f"S{length * symbols.itemsize}", symbols, strides=(symbols.itemsize,))
+    own = wide[starts]
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    same = np.zeros(len(own), bool)
+    same[1:] = own[1:] == own[:-1]
+    return order, same
+
 
+@dataclass
+class Open:
+    """Occurrences sent with their content, ascending by key: windows lo to lo + size - 1 each."""
 
-def suffix_order(buf: np.ndarray, starts: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
-    """The sparse suffix array of starts: their order by the bytes that follow (as far as length tells them apart), then by pos."""
-    if not len(starts):
-        return np.zeros(0, np.int64)
-    wide = np.ndarray((len(buf) - 7,), ">u8", buf.tobytes(), strides=(1,))
-    cols = [wide[starts + at].astype(np.uint64) for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]]
-    return np.lexsort((pos, *reversed(cols)))
+    key: np.ndarray
+    lo: np.ndarray
+    size: np.ndarray
+    pos: np.ndarray
+    weight: np.ndarray
 
 
 class Plan:
     """The kernels of one operator. Plans go to the executors, so they hold parameters only."""
 
-    def __init__(self, symbols: Callable[[list[bytes]], Symbols], length: int, k: int, mode: str, text: str = "text", key: str = "doc_id", density: float = 0.03):
-        self.symbols, self.length, self.k, self.mode, self.text, self.key, self.density = symbols, length, k, mode, text, key, density
-        self.buckets = [1, 1, 1]
+    def __init__(self, symbols: Callable[[list[bytes]], Symbols], length: int, k: int, mode: str, text: str = "text", key: str = "doc_id", density: float = 0.03, crowd: int = CROWD):
+        self.symbols, self.length, self.k, self.mode, self.text, self.key, self.density, self.crowd = symbols, length, k, mode, text, key, density, crowd
+        self.parts = [1, 1, 1]
 
     # each step repeats the ones before it from the block and the replies
 
@@ -164,8 +226,8 @@ class Plan:
     def _one(self, table: pa.Table):
         sym = self.symbols(B.texts_of(table, self.text))
         anc = anchors(sym, self.length, self.k)
-        keys, of, n = np.unique(anc.key, return_inverse=True, return_counts=True)
-        return sym, anc, keys, of, n
+        keys, of, _ = B.distinct(anc.key)
+        return sym, anc, keys, of, np.bincount(of, minlength=len(keys))
 
     def _pos(self, sym: Symbols, table: pa.Table, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of symbols as rank of the doc_id and start, in one number that ascends with both."""
@@ -175,125 +237,177 @@ class Plan:
 
     def _two(self, table: pa.Table, replies):
         sym, anc, keys, of, _ = self._one(table)
-        again = B.aligned(keys, self.buckets[0], replies[0])[of] > 0 if len(keys) else np.zeros(0, bool)
-        anc = Anchors(anc.key[again], anc.ctx[again], anc.lo[again], anc.hi[again])
+        again = B.aligned(keys, self.parts[0], replies[0])[of] > 0 if len(keys) else np.zeros(0, bool)
+        anc = Anchors(anc.key[again], anc.at[again], anc.lo[again], anc.hi[again])
         pos, ids = self._pos(sym, table, anc.lo)
-        return sym, anc, pos, ids, group(anc.key, anc.ctx, pos, np.ones(len(pos), np.int64))
+        ctx = B.mix(range_keys(sym, anc.lo, anc.hi + self.length) + (anc.at - anc.lo).astype(np.uint64) * U64(B._Q2) + (anc.hi - anc.lo).astype(np.uint64) * U64(0x2545F4914F6CDD1D))
+        return sym, anc, pos, ids, group(anc.key, ctx, pos, np.ones(len(pos), np.int64))
 
     def _three(self, table: pa.Table, replies):
-        """sym, whole ranges found (lo, hi), and the windows still to compare with their groups."""
+        """sym, whole ranges found (lo, hi), ids, what is open, and the single windows of crowded anchors with their groups."""
         sym, anc, pos, ids, g = self._two(table, replies)
-        bits = B.aligned(g.key, self.buckets[1], replies[1])[g.of] if len(g.key) else np.zeros(0, np.uint8)
-        dup, mixed, rep = bits & 1 > 0, bits & 2 > 0, bits & 4 > 0
-        least = pos == g.pos[g.of]
+        bits = B.aligned(g.key, self.parts[1], replies[1])[g.of] if len(g.key) else np.zeros(0, np.uint64)
+        has = lambda bit: (bits & U64(bit)) > 0
+        dup, mixed = has(1), has(MIXED)
         if self.mode == "any":
             whole = dup
             first = np.zeros(len(pos), bool)
-            first[np.unique(g.of, return_index=True)[1]] = True
-            open_ = mixed & (~dup | (rep & first))
+            first[g.at] = True
+            open_ = mixed & (~dup | (has(FIRST) & first))
         else:
-            whole = ~least | dup
+            whole = (pos != g.pos[g.of]) | dup
             open_ = mixed & ~whole
-        lo, hi = anc.lo[open_], anc.hi[open_]
-        order = np.argsort(lo)
-        lo, hi, settled = lo[order], hi[order], whole[open_][order]
-        size = hi - lo + 1
-        starts = np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()) if len(lo) else np.zeros(0, np.int64)
+        size, weight = anc.hi - anc.lo + 1, np.where(whole, 2, 1)
+        own = np.flatnonzero(open_ & ~has(CROWDED))
+        own = own[np.argsort(anc.key[own], kind="stable")]
+        near = Open(anc.key[own], anc.lo[own], size[own], pos[own], weight[own])
+
+        own = np.flatnonzero(open_ & has(CROWDED))
+        own = own[np.argsort(anc.lo[own])]
+        starts = spread(anc.lo[own], size[own])
         key, key2 = window_keys(sym, starts, self.length)
         wpos, _ = self._pos(sym, table, starts)
-        n = np.where(np.repeat(settled, size), 2, 1).astype(np.int64)
-        if self.mode == "earlier" and sym.buf is not None:
-            # the block's own earlier matches by suffix order; equal runs are then put in the order of their keys
-            order = suffix_order(sym.buf, starts, wpos, self.length)
-            order = order[np.lexsort((key2[order], key[order]))]
-        else:
-            order = None
-        return sym, (anc.lo[whole], anc.hi[whole]), starts, wpos, ids, group(key, key2, wpos, n, order)
-
-    def _send(self, block: int, buckets: int, g: Groups, ids: np.ndarray) -> pa.RecordBatch:
-        if self.mode == "any":
-            return B.entry_batch(block, buckets, g.key, key2=g.key2, n=np.minimum(g.n, 2).astype(np.uint8))
-        return B.entry_batch(block, buckets, g.key, key2=g.key2, doc=ids[g.pos >> 32], start=(g.pos & 0xFFFFFFFF).astype(np.uint32))
+        w = group(key, key2, wpos, np.repeat(weight[own], size[own]))
+        return sym, (anc.lo[whole], anc.hi[whole]), ids, near, starts, wpos, w
 
     def send_one(self, block, table, replies):
         _, _, keys, _, n = self._one(table)
-        yield B.entry_batch(block, self.buckets[0], keys, n=np.minimum(n, 2).astype(np.uint8))
+        yield B.entry_batch(block, self.parts[0], keys, n=np.minimum(n, 2))
+
+    def _place(self, g: Groups, ids: np.ndarray) -> dict[str, np.ndarray]:
+        return {"n": np.minimum(g.n, 2)} if self.mode == "any" else {"doc": ids[g.pos >> 32], "start": (g.pos & 0xFFFFFFFF).astype(np.uint32)}
 
     def send_two(self, block, table, replies):
         _, _, _, ids, g = self._two(table, replies)
-        yield self._send(block, self.buckets[1], g, ids)
+        yield B.entry_batch(block, self.parts[1], g.key, key2=g.key2, **self._place(g, ids))
 
     def send_three(self, block, table, replies):
-        *_, ids, g = self._three(table, replies)
-        yield self._send(block, self.buckets[2], g, ids)
+        sym, _, ids, near, *_, w = self._three(table, replies)
+        stop = near.lo + near.size + self.length - 1
+        body = lambda a, b: b"".join(sym.content(x, y) for x, y in zip(near.lo[a:b].tolist(), stop[a:b].tolist(), strict=True))
+        place = {"key2": near.weight.astype(np.uint8)} if self.mode == "any" else {"doc": ids[near.pos >> 32], "start": (near.pos & 0xFFFFFFFF).astype(np.uint32)}
+        yield B.entry_batch(block, self.parts[2], near.key, n=near.size, body=body, **place)
+        yield B.entry_batch(block, self.parts[2], w.key, 1, key2=w.key2, **self._place(w, ids))
+
+    def _windows(self, o: Open, replies: dict) -> np.ndarray:
+        """Whether the windows of o are repeated."""
+        got = [np.unpackbits(np.frombuffer(replies[0, p], np.uint8), count=int(o.size[a:b].sum())) for p, a, b in B.cuts(o.key, self.parts[2])]
+        return np.concatenate(got).astype(bool) if got else np.zeros(0, bool)
 
     def covered(self, table: pa.Table, replies) -> tuple[Symbols, np.ndarray]:
         """The block's symbols and which of them a repeated window covers."""
-        sym, (lo, hi), starts, pos, _, g = self._three(table, replies)
-        dup = B.aligned(g.key, self.buckets[2], replies[2])[g.of] & 1 > 0 if len(g.key) else np.zeros(0, bool)
-        if self.mode == "earlier":
-            dup |= pos > g.pos[g.of]
-        edge = np.zeros(len(sym.codes) + 1, np.int32)
-        np.add.at(edge, np.append(lo, starts[dup]), 1)
-        np.add.at(edge, np.append(hi, starts[dup]) + self.length, -1)
+        sym, (lo, hi), _, near, starts, wpos, w = self._three(table, replies)
+        found = spread(near.lo, near.size)[self._windows(near, replies[2])]
+        if len(starts):
+            dup = (B.aligned(w.key, self.parts[2], replies[2], 1) & U64(1) > 0)[w.of]
+            if self.mode == "earlier":
+                dup |= wpos > w.pos[w.of]
+            found = np.append(found, starts[dup])
+        edge = np.zeros(int(sym.off[-1]) + 1, np.int32)
+        np.add.at(edge, np.append(lo, found), 1)
+        np.add.at(edge, np.append(hi, found) + self.length, -1)
         return sym, np.cumsum(edge[:-1], dtype=np.int32) > 0
 
     # reducers
 
-    @staticmethod
-    def count(table: pa.Table) -> list[bytes]:
-        key, lengths = B.arrays(table, "key", np.uint64)
-        n, _ = B.arrays(table, "n", np.uint8)
-        _, of = np.unique(key, return_inverse=True)
-        total = np.bincount(of, n)
+    def count(self, table: pa.Table) -> list[bytes]:
+        key, lengths = B.keys_of(table, self.parts[0])
+        _, of, _ = B.distinct(key)
+        total = np.bincount(of, B.numbers_of(table))
         return B.split((total[of] >= 2).astype(np.uint8), lengths)
 
-    def compare(self, width: type) -> Callable[[pa.Table], list[bytes]]:
-        mode = self.mode
+    def _places(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return B.array_of(table, "doc", np.int64), B.array_of(table, "start", np.uint32)
 
-        def run(table: pa.Table) -> list[bytes]:
-            key, lengths = B.arrays(table, "key", np.uint64)
-            key2, _ = B.arrays(table, "key2", width)
-            if mode == "any":
-                n, _ = B.arrays(table, "n", np.uint8)
-                order = np.lexsort((key2, key))
-            else:
-                doc, _ = B.arrays(table, "doc", np.int64)
-                start, _ = B.arrays(table, "start", np.uint32)
-                order = np.lexsort((start, doc, key2, key))
-            k, k2 = key[order], key2[order]
-            newk = np.ones(len(k), bool)
-            newk[1:] = k[1:] != k[:-1]
-            new = newk.copy()
-            new[1:] |= k2[1:] != k2[:-1]
-            first = np.flatnonzero(new)
-            of = np.cumsum(new) - 1
-            of_key = np.cumsum(newk) - 1
-            contexts = np.bincount(of_key[first])
-            bits = np.where(contexts[of_key] > 1, 2, 0).astype(np.uint8)
-            if mode == "any":
-                total = np.add.reduceat(n[order].astype(np.int64), first)
-                bits |= (total[of] >= 2).astype(np.uint8)
-                bits[first] |= 4
-            else:
-                d, s = doc[order], start[order]
-                bits |= ((d != d[first][of]) | (s != s[first][of])).astype(np.uint8)
-            out = np.empty(len(k), np.uint8)
-            out[order] = bits
-            return B.split(out, lengths)
+    def contexts(self, table: pa.Table) -> list[bytes]:
+        return self._classes(table, self.parts[1])
 
-        return run
+    def _classes(self, table: pa.Table, parts: int) -> list[bytes]:
+        """For each entry whether its class (key, key2) occurs elsewhere, or earlier; whether its key has other classes; whether it stands for its class."""
+        key, lengths = B.keys_of(table, parts)
+        key2 = B.array_of(table, "key2", np.uint64)
+        if self.mode == "any":
+            order = np.lexsort((key2, key))
+        else:
+            doc, start = self._places(table)
+            order = np.lexsort((start, doc, key2, key))
+        k, k2 = key[order], key2[order]
+        newk = np.ones(len(k), bool)
+        newk[1:] = k[1:] != k[:-1]
+        new = newk.copy()
+        new[1:] |= k2[1:] != k2[:-1]
+        first = np.flatnonzero(new)
+        of, of_key = np.cumsum(new) - 1, np.cumsum(newk) - 1
+        several = np.bincount(of_key[first])[of_key]
+        bits = np.where(several > 1, MIXED, 0) | np.where(several > self.crowd, CROWDED, 0)
+        if self.mode == "any":
+            total = np.add.reduceat(B.numbers_of(table)[order].astype(np.int64), first)
+            bits |= total[of] >= 2
+            bits[first] |= FIRST
+        else:
+            d, s = doc[order], start[order]
+            bits |= (d != d[first][of]) | (s != s[first][of])
+        out = np.empty(len(k), np.uint8)
+        out[order] = bits
+        return B.split(out, lengths)
+
+    def extensions(self, table: pa.Table) -> list[bytes]:
+        if table["kind"][0].as_py():
+            return self._classes(table, self.parts[2])
+        key, lengths = B.keys_of(table, self.parts[2])
+        size = B.numbers_of(table).astype(np.int64)
+        symbols = self.symbols.read(b"".join(table["body"].to_pylist()))
+        begin = np.append(0, np.cumsum(size + self.length - 1)[:-1])
+        bit_at = np.append(0, np.cumsum(size))
+        if self.mode == "any":
+            weight = B.array_of(table, "key2", np.uint8).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+        else:
+            doc, start = self._places(table)
+            order = np.argsort(key, kind="stable")
+        found = np.zeros(int(bit_at[-1]), bool)
+        edges = np.append(np.flatnonzero(np.diff(key[order], prepend=key[order][:1] + U64(1))), len(order))
+        ends = np.append(0, np.cumsum(size[order]))
+        at = 0
+        while at < len(edges) - 1:
+            # the anchors that are sorted together: some, or one that has more windows than that
+            to = max(at + 1, int(np.searchsorted(ends[edges], ends[edges[at]] + SORTED, "right")) - 1)
+            own = order[edges[at] : edges[to]]
+            of = np.repeat(own, size[own])
+            shift = spread(np.zeros(len(own), np.int64), size[own])
+            if self.mode == "earlier":
+                place = doc[of], start[of].astype(np.int64) + shift
+                by = np.lexsort(place[::-1])
+                of, shift, place = of[by], shift[by], (place[0][by], place[1][by])
+            sa, same = suffix_runs(symbols, begin[of] + shift, self.length)
+            first = np.flatnonzero(~same)
+            run = np.cumsum(~same) - 1
+            if self.mode == "any":
+                hit = np.add.reduceat(weight[of][sa], first)[run] >= 2
+            else:
+                # a run stands in the order of positions: what isn't its least has its previous smaller position in it
+                d, s = place[0][sa], place[1][sa]
+                hit = (d != d[first][run]) | (s != s[first][run])
+            found[(bit_at[of] + shift)[sa]] = hit
+            at = to
+        ends = bit_at[np.append(0, np.cumsum(lengths))]
+        return [np.packbits(found[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def find(docs: DataFrame, plan: Plan, finish, schema) -> DataFrame:
-    """finish(table, symbols, covered) -> RecordBatch for each block of docs, in rows of schema."""
+def find(docs: DataFrame, plan: Plan, finish, schema, what: str) -> DataFrame:
+    """finish(table, symbols, covered) -> RecordBatch for each block of docs, in rows of schema; stored."""
     index = B.pack(docs, plan.text, BLOCK_BYTES)
-    plan.buckets = [B.buckets_for(index, d) for d in (plan.density, plan.density, plan.density)]
-    one = B.exchange(B.kernel(index, plan.send_one, B.ENTRIES), plan.count, "anchors")
-    two = B.exchange(B.kernel(index, plan.send_two, B.ENTRIES, one), plan.compare(np.uint64), "contexts")
-    three = B.exchange(B.kernel(index, plan.send_three, B.ENTRIES, one, two), plan.compare(np.uint32), "windows")
+    parts = B.parts_for(B.total_bytes(index), plan.density)
+    plan.parts = [parts, parts, min(B.PARTS, 4 * parts)]  # the last one's entries carry content
+    one = B.exchange(B.kernel(index, plan.send_one, B.ENTRIES), plan.count, "anchors", parts)
+    two = B.exchange(B.kernel(index, plan.send_two, B.ENTRIES, one), plan.contexts, "contexts", parts)
+    three = B.exchange(B.kernel(index, plan.send_three, B.ENTRIES, one, two), plan.extensions, "extensions", plan.parts[2])
 
     def last(block, table, replies):
         yield finish(table, *plan.covered(table, replies))
 
-    return B.kernel(index, last, schema, one, two, three)
+    out = stored(B.kernel(index, last, schema, one, two, three), what)
+    for replies in (one, two, three):
+        drop(replies)
+    B.drop_blocks(index)
+    return out

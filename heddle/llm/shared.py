@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import os
 import tempfile
 import uuid
 
@@ -17,10 +17,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, as in a local session, one of our own."""
+    """The cluster's shared folder (spark.checkpoint.dir).
+
+    Where it is unset a local session, whose executor sees the driver's disk, gets a folder
+    of its own; on a cluster that is an error, since other machines couldn't read it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="heddle-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = os.path.join(tempfile.gettempdir(), f"heddle-shared-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -30,12 +36,26 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/heddle/{what}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting to remove the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again: what follows doesn't recompute it, whoever is lost."""
+    """df, written to the shared folder as Parquet and read again: what follows doesn't recompute it, whoever is lost.
+
+    The shuffle files of the writing job are removed with it, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -45,10 +65,9 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs whose results are stored."""
-    gc.collect()
-    spark._jvm.System.gc()
+def drop(df: DataFrame) -> None:
+    """Delete a table that stored() wrote, when nothing reads it any more."""
+    discard(df.sparkSession, df.stored_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

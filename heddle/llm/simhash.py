@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.blocks import mix
-from heddle.llm.shared import discard, release, scratch, stored
+from heddle.llm.shared import discard, drop, scratch, stored
 
 SHINGLE, BITS, SEED = 3, 2, 42
-#: Points a leaf should have; most points of the sample the tree is fitted on; points compared whole inside a leaf.
-LEAF, SAMPLE, SMALL = 4096, 1 << 20, 512
+#: Points a leaf should have, at least and at most (more points, fewer levels and fewer points on both sides); most points of the sample the tree is fitted on; points compared whole inside a leaf.
+LEAF, LEAF_MOST, SAMPLE, SMALL = 4096, 1 << 16, 1 << 20, 512
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U64 = np.uint64
 
@@ -58,16 +58,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 #: Sub-fingerprints: of 2 ** level classes of the shingles by their hash, the first CLASSES; PER_CLASS shingles in one at the coarser level, half as many at the finer.
 CLASSES, PER_CLASS = 16, 3
+#: Below so many shingles a coarser and a finer level are taken as well.
+FEW = 16
 #: Counters of a sketch; most members of a sub-fingerprint's block; rounds in which leaders are compared before all remaining candidates are.
 BINS, BLOCK, ROUNDS = 256, 1024, 2
 
 
 def subfingerprints(hashes: np.ndarray) -> np.ndarray:
-    """XORs of small classes of the distinct shingles, at two sizes: documents of similarity 0.8 have one in common with a probability of over 0.99 if they have 40 shingles or more."""
+    """XORs of small classes of the distinct shingles, at two sizes: documents of similarity 0.8 have one in common with a probability of over 0.99 (measured by length of text in the tests)."""
     own = np.unique(hashes)
     out = []
     level = max(0, int(np.log2(len(own) / PER_CLASS))) if len(own) else 0
-    for lv in (level, level + 1) if len(own) else ():
+    few = len(own) < FEW  # in which one edit changes many of them
+    for lv in range(max(0, level - few), level + 2 + few) if len(own) else ():
         kind = own >> U64(64 - lv) if lv else np.zeros(len(own), np.uint64)
         kind = kind[kind < CLASSES]
         if len(kind):
@@ -222,10 +225,20 @@ def stars(points: np.ndarray, radius: int, small: int = SMALL) -> tuple[np.ndarr
     return points[own], points[label[own]]
 
 
-def links(points: DataFrame, radius: int = BITS, leaf: int = LEAF) -> DataFrame:
-    """Stars (fp, root) that connect the distinct fingerprints fp as their pairs within radius do."""
+def leaf_size(n: int) -> int:
+    """A leaf for each of some hundred tasks, within bounds."""
+    return max(LEAF, min(LEAF_MOST, n // 256))
+
+
+def links(points: DataFrame, radius: int = BITS, leaf: int | None = None) -> DataFrame:
+    """Stars (fp, root) that connect the distinct fingerprints fp as their pairs within radius do.
+
+    A leaf that the tree can't part further, of many times the wanted size, is dealt into
+    blocks; each two of its blocks meet in a task of their own, so no task is larger.
+    """
     spark = points.sparkSession
     n = points.count()
+    leaf = leaf or leaf_size(n)
     wanted = max(1, n // leaf)
     size = min(n, SAMPLE, 16 * wanted)
     sample = [r[0] for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()] if wanted > 1 else []
@@ -242,29 +255,35 @@ def links(points: DataFrame, radius: int = BITS, leaf: int = LEAF) -> DataFrame:
         own, root = stars(np.unique(table["fp"].to_numpy()).view(np.uint64), radius)
         return pa.table({"fp": own.view(np.int64), "root": root.view(np.int64)})
 
-    return points.select("fp").mapInArrow(route, "leaf long, fp long").groupBy("leaf").applyInArrow(connect, "fp long, root long")
+    routed = points.select("fp").mapInArrow(route, "leaf long, fp long")
+    sizes = routed.groupBy(F.col("leaf").alias("__leaf")).agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*") / F.lit(8 * leaf)).cast("long")).alias("k"))
+    rows = routed.join(sizes, F.col("leaf") == F.col("__leaf")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("k")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    rows = rows.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
+    return rows.groupBy("leaf", "i", "j").applyInArrow(connect, "fp long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(fp, root) edges -> (fp, label), the least fp (as a signed long) of its component, for every fp that has an edge."""
-    spark = edges.sparkSession
+    """(fp, root) edges -> (fp, label), the least fp (as a signed long) of its component, for every fp that has an edge; stored."""
     pairs = edges.select(F.col("fp").alias("a"), F.col("root").alias("b"))
     both = stored(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "simhash-edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "simhash-labels")
+    held = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "simhash-labels")
     while True:
+        labels = held.select("a", "label")
         heard = both.join(labels.withColumnsRenamed({"a": "n", "label": "heard"}), F.col("b") == F.col("n")).groupBy("a").agg(F.min("heard").alias("heard"))
         step = labels.join(heard, "a").select("a", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jump = labels.withColumnsRenamed({"a": "n", "label": "far"})
-        step = step.join(jump, F.col("label") == F.col("n")).select("a", "old", F.least("label", "far").alias("label"))
-        step = stored(step, "simhash-labels")
-        changed = step.filter("label != old").limit(1).count()
-        labels = step.select("a", "label")
-        release(spark)
-        if not changed:
-            return labels.withColumnRenamed("a", "fp")
+        step = stored(step.join(jump, F.col("label") == F.col("n")).select("a", "old", F.least("label", "far").alias("label")), "simhash-labels")
+        drop(held)
+        held = step
+        if not step.filter("label != old").limit(1).count():
+            drop(both)
+            out = step.select(F.col("a").alias("fp"), "label")
+            out.stored_at = step.stored_at
+            return out
 
 
-def similar_links(docs: DataFrame, text: str, key: str, fps: DataFrame, points: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def similar_links(docs: DataFrame, text: str, key: str, fps: DataFrame, points: DataFrame, shingle: int, similarity: float, temporary: list[DataFrame]) -> DataFrame:
     """(fp, root) that connect the distinct fingerprints as the candidates of at least similarity (Jaccard, whole texts) do.
 
     Candidates share a sub-fingerprint, and all are settled: a pair is compared, or its
@@ -274,39 +293,42 @@ def similar_links(docs: DataFrame, text: str, key: str, fps: DataFrame, points:
     connected to it, so that a group of copies is mostly one component after n - 1 pairs.
     Then the members of each sub-fingerprint that still has several components meet in
     blocks by their sketches, and what can be similar across components is compared. Only
-    texts in a pair that the bound leaves are moved.
+    texts in a pair that the bound leaves are moved. What is stored on the way is put into temporary.
     """
     spark = docs.sparkSession
     rows = fps.select("fp", F.explode("subs").alias("sub")).distinct()
     often = rows.groupBy("sub").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stored(rows.join(often, "sub"), "simhash-shared")
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        temporary.append(stored(df, what))
+        return temporary[-1]
+
+    shared = keep(rows.join(often, "sub"), "simhash-shared")
     degree = shared.groupBy("fp").agg(F.count("*").alias("degree"))
     nodes = fps.groupBy("fp").agg(F.min_by(F.struct("size", "sketch"), "doc_id").alias("s"))
-    nodes = stored(nodes.join(degree, "fp").select("fp", "degree", "s.size", "s.sketch"), "simhash-nodes")
-    release(spark)
+    nodes = keep(nodes.join(degree, "fp").select("fp", "degree", "s.size", "s.sketch"), "simhash-nodes")
     edges = done = None
     left = shared.withColumn("label", F.col("fp"))
     for k in range(ROUNDS):
         order = F.struct("degree", "fp") if not k else F.struct(F.xxhash64("fp", "sub", F.lit(k)), "fp")
         lead = left.join(nodes.select("fp", "degree"), "fp").groupBy("sub").agg(F.max_by(F.struct("fp", "label"), order).alias("lead"))
         pairs = left.join(lead, "sub").filter("label <> lead.label").select(F.greatest("fp", "lead.fp").alias("fp"), F.least("fp", "lead.fp").alias("leader")).distinct()
-        pairs = stored(_bounded(pairs, nodes, done, similarity), "simhash-pairs")
-        edges, done = _add(edges, _alike(pairs, docs, text, key, points, shingle, similarity)), _add(done, pairs)
-        left = _unsettled(shared, edges)
-        release(spark)
+        pairs = keep(_bounded(pairs, nodes, done, similarity), "simhash-pairs")
+        edges, done = _add(edges, _alike(pairs, docs, text, key, points, shingle, similarity, keep)), _add(done, pairs)
+        left = _unsettled(shared, edges, keep)
     # a sub-fingerprint of two members has been settled by its leader
-    pairs = stored(_bounded(_blocks(left.filter("n > 2"), nodes, similarity), None, done, similarity), "simhash-pairs")
-    return _add(edges, _alike(pairs, docs, text, key, points, shingle, similarity))
+    pairs = keep(_bounded(_blocks(left.filter("n > 2"), nodes, similarity), None, done, similarity), "simhash-pairs")
+    return _add(edges, _alike(pairs, docs, text, key, points, shingle, similarity, keep))
 
 
 def _add(a: DataFrame | None, b: DataFrame) -> DataFrame:
     return b if a is None else a.union(b)
 
 
-def _unsettled(shared: DataFrame, edges: DataFrame) -> DataFrame:
+def _unsettled(shared: DataFrame, edges: DataFrame, keep) -> DataFrame:
     """shared with each fingerprint's component (label), where a sub-fingerprint has several."""
-    labels = components(edges).withColumnsRenamed({"fp": "__fp"})
-    rows = stored(shared.join(labels, F.col("fp") == F.col("__fp"), "left").select("fp", "sub", "n", F.coalesce("label", "fp").alias("label")), "simhash-members")
+    found = components(edges)
+    rows = keep(shared.join(found.withColumnsRenamed({"fp": "__fp"}), F.col("fp") == F.col("__fp"), "left").select("fp", "sub", "n", F.coalesce("label", "fp").alias("label")), "simhash-members")
+    drop(found)
     several = rows.groupBy("sub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sub")
     return rows.join(several, "sub", "left_semi")
 
@@ -360,7 +382,7 @@ def _blocks(left: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return rows.groupBy("sub", "i", "j").applyInArrow(meet, "fp long, leader long").distinct()
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, text: str, key: str, points: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, docs: DataFrame, text: str, key: str, points: DataFrame, shingle: int, similarity: float, keep) -> DataFrame:
     """(fp, root) of the pairs whose whole texts are similar, stored."""
     spark = docs.sparkSession
     nodes = pairs.select("fp").union(pairs.select(F.col("leader").alias("fp"))).distinct()
@@ -368,7 +390,6 @@ def _alike(pairs: DataFrame, docs: DataFrame, text: str, key: str, points: DataF
     path = scratch(spark, "simhash-texts")
     docs.select(F.col(key).alias("__key"), F.col(text).alias("t")).join(wanted, F.col("__key").eqNullSafe(F.col("__least"))).select("fp", "t").dropDuplicates(["fp"]).write.parquet(path)
     texts = spark.read.parquet(path)
-    release(spark)
     a, b = texts.withColumnRenamed("t", "a"), texts.select(F.col("fp").alias("leader"), F.col("t").alias("b"))
     both = pairs.join(a, "fp").join(b, "leader").select("fp", "leader", "a", "b")
 
@@ -386,12 +407,12 @@ def _alike(pairs: DataFrame, docs: DataFrame, text: str, key: str, points: DataF
                 keep[i] = reach(common, len(x) + len(y), similarity)
             yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(leader[keep])], names=["fp", "root"])
 
-    alike = stored(both.mapInArrow(check, "fp long, root long"), "simhash-alike")
+    alike = keep(both.mapInArrow(check, "fp long, root long"), "simhash-alike")
     discard(spark, path)
     return alike
 
 
-def near_dedup(docs: DataFrame, radius: int = BITS, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id", leaf: int = LEAF, similarity: float | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, radius: int = BITS, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id", leaf: int | None = None, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links of at most radius bits), one row for each row of docs.
 
     Null and empty texts have fingerprint zero and are linked like any other. A null doc_id
@@ -405,13 +426,18 @@ def near_dedup(docs: DataFrame, radius: int = BITS, shingle: int = SHINGLE, text
     """
     fps = stored(fingerprints(docs, text, key, shingle, similarity is not None), "fingerprints")
     points = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-points")
-    edges = links(points, radius, leaf)
+    edges, temporary = links(points, radius, leaf), []
     if similarity is not None:
-        edges = edges.union(similar_links(docs, text, key, fps, points, shingle, similarity))
+        edges = edges.union(similar_links(docs, text, key, fps, points, shingle, similarity, temporary))
     edges = stored(edges, "simhash-links")
+    for df in temporary:
+        drop(df)
     labels = components(edges)
     rooted = points.join(labels.withColumnRenamed("fp", "__fp"), F.col("fp") == F.col("__fp"), "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.select(F.col("fp").alias("__fp"), "root").join(ids, "root").select("__fp", "component_id")
     out = fps.join(by_fp, F.col("fp") == F.col("__fp"))  # AQE splits the fingerprint of a large group
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = stored(out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"), "simhash-components")
+    for df in (fps, points, edges, labels):
+        drop(df)
+    return out

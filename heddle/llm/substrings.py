@@ -1,8 +1,11 @@
 """Substring dedup (operator 4): seed and extend over words.
 
 Every word inside a window of 35 words whose word sequence also starts anywhere else goes.
-The method is in heddle.llm.repeats: documents meet on winnowed anchors, anchors are extended
-both ways to their context, and the maximal runs of repeated windows are what is removed.
+Documents meet on winnowed anchors of eight words. The occurrences of an anchor are extended
+both ways: for every number of words to the left of it the windows that start there are
+sorted by their words, so that those which agree as far as the length, to the right as
+well, stand side by side, for all pairs of occurrences at once (heddle.llm.repeats). The
+maximal runs of windows found so are the maximal repeats, and they are what is removed.
 """
 
 from __future__ import annotations
@@ -23,9 +26,18 @@ RESULT = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256"
 
 class WordSymbols(R.Symbols):
     def __init__(self, texts: list[bytes]):
-        text, self.starts, self.ends, off = B.tokens(texts)
-        super().__init__(B.word_hashes(text, self.starts, self.ends), off)
-        self.text = text
+        self.text, self.starts, self.ends, self.off = B.tokens(texts)
+        self.hashes = B.word_hashes(self.text, self.starts, self.ends)
+
+    def codes(self, a: int, b: int) -> np.ndarray:
+        return self.hashes[a:b]
+
+    def content(self, a: int, b: int) -> bytes:
+        return b" ".join([*self.text[self.starts[a] : self.ends[b - 1]].tobytes().split(), b""])
+
+    @staticmethod
+    def read(body: bytes) -> np.ndarray:
+        return pa.array(body.split(b" ")[:-1], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.uint32)
 
 
 def kept_texts(sym: WordSymbols, keep: np.ndarray) -> list[bytes]:
@@ -67,4 +79,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, tex
         cols["kept_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in left], pa.string())
         return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return R.find(docs, plan, finish, schema)
+    return R.find(docs, plan, finish, schema, "substring-dedup")

@@ -1,13 +1,14 @@
 """Suffix-array dedup (operator 9) over the bytes of all texts.
 
 A byte goes if a string of 100 bytes covers it that also starts earlier. That is so where
-the longest previous factor (LPF) of a position reaches 100: in suffix order its previous
-or next smaller position shares 100 bytes with it. The suffix array is sparse and made in
-parts: heddle.llm.repeats leaves positions that may have an earlier match (their anchor
-repeats in another context), each block sorts the suffixes at its own ones, a position that
-is not the least of its run of shared 100-byte prefixes has its previous smaller position
-in that run, and the least of each run is compared with the other blocks'. Copies in equal
-contexts need no sorting, their least position is kept at once.
+the longest previous factor (LPF) of a position reaches 100: its previous or next smaller
+position in suffix order shares 100 bytes with it. Whether it does is all that is asked, so
+the suffix array is sparse and cut at 100 bytes, with equal suffixes put by position: such
+a suffix has its previous smaller position right before it, in the same run of common
+prefixes, unless it is the run's least. heddle.llm.repeats brings positions together that
+can share 100 bytes (the same anchor in another context), sorts them and compares
+neighbours byte by byte. Copies in equal contexts need no sorting, their least position is
+kept at once.
 """
 
 from __future__ import annotations
@@ -28,8 +29,18 @@ RESULT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.
 
 class ByteSymbols(R.Symbols):
     def __init__(self, texts: list[bytes]):
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        super().__init__(B.byte_codes(buf), np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64)), buf)
+        self.buf = np.frombuffer(b"".join(texts), np.uint8)
+        self.off = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
+
+    def codes(self, a: int, b: int) -> np.ndarray:
+        return B.byte_codes(self.buf[a:b])
+
+    def content(self, a: int, b: int) -> bytes:
+        return self.buf[a:b].tobytes()
+
+    @staticmethod
+    def read(body: bytes) -> np.ndarray:
+        return np.frombuffer(body, np.uint8)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, replace: bool = False) -> DataFrame:
@@ -64,4 +75,4 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text:
         cols["kept_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in left], pa.string())
         return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return R.find(docs, plan, finish, schema)
+    return R.find(docs, plan, finish, schema, "suffix-dedup")

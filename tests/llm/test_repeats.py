@@ -17,15 +17,15 @@ from heddle.llm import suffixes as X
 def in_memory(plan, rows, per_block):
     """Symbols and coverage of each row, by the plan's kernels and reducers without Spark."""
     tables = [pa.table({"doc_id": pa.array([r[0] for r in rows[i : i + per_block]], pa.int64()), "text": pa.array([r[1] for r in rows[i : i + per_block]], pa.string())}) for i in range(0, len(rows), per_block)]
-    plan.buckets = [3, 4, 5]
+    plan.parts = [3, 4, 5]
     replies = [[] for _ in tables]
-    for send, reducer in ((plan.send_one, plan.count), (plan.send_two, plan.compare(np.uint64)), (plan.send_three, plan.compare(np.uint32))):
+    for send, reducer in ((plan.send_one, plan.count), (plan.send_two, plan.contexts), (plan.send_three, plan.extensions)):
         sent = pa.Table.from_batches([b for i, t in enumerate(tables) for b in send(i, t, replies[i])])
         new = [{} for _ in tables]
-        for bucket in set(sent["bucket"].to_pylist()):
-            part = sent.filter(pa.compute.equal(sent["bucket"], bucket))
+        for kind, number in set(zip(sent["kind"].to_pylist(), sent["part"].to_pylist(), strict=True)):
+            part = sent.filter(pa.compute.and_(pa.compute.equal(sent["kind"], kind), pa.compute.equal(sent["part"], number))).combine_chunks()
             for block, reply in zip(part["block"].to_pylist(), reducer(part), strict=True):
-                new[block][bucket] = reply
+                new[block][kind, number] = reply
         for mine, n in zip(replies, new, strict=True):
             mine.append(n)
     out = []
@@ -84,23 +84,25 @@ def corpus(seed, n=60):
     return [*rows, rows[7], (rows[9][0], rows[9][1])]
 
 
+@pytest.mark.parametrize("crowd", [0, 2, R.CROWD])
 @pytest.mark.parametrize("seed", range(6))
 @pytest.mark.parametrize("per_block", [1, 7, 1000])
-def test_words_in_memory(seed, per_block):
+def test_words_in_memory(seed, per_block, crowd):
     rows = corpus(seed)
     seqs = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     for length, k in ((35, 8), (6, 2)):
-        got = in_memory(R.Plan(S.WordSymbols, length, k, "any"), rows, per_block)
+        got = in_memory(R.Plan(S.WordSymbols, length, k, "any", crowd=crowd), rows, per_block)
         assert [list(g) for _, g in got] == brute_any(seqs, length)
 
 
+@pytest.mark.parametrize("crowd", [0, 2, R.CROWD])
 @pytest.mark.parametrize("seed", range(6))
 @pytest.mark.parametrize("per_block", [1, 7, 1000])
-def test_bytes_in_memory(seed, per_block):
+def test_bytes_in_memory(seed, per_block, crowd):
     rows = corpus(seed)
     seqs = [(t or "").encode() for _, t in rows]
     for length, k in ((100, 28), (13, 5)):
-        got = in_memory(R.Plan(X.ByteSymbols, length, k, "earlier"), rows, per_block)
+        got = in_memory(R.Plan(X.ByteSymbols, length, k, "earlier", crowd=crowd), rows, per_block)
         assert [list(g) for _, g in got] == brute_earlier([d for d, _ in rows], seqs, length)
 
 
@@ -112,6 +114,36 @@ def test_segments(monkeypatch):
     assert [list(g) for _, g in got] == brute_earlier([d for d, _ in rows], seqs, 100)
 
 
+def test_the_suffix_order_decides(monkeypatch):
+    rows = corpus(5)
+    seqs = [(t or "").encode() for _, t in rows]
+    want = brute_earlier([d for d, _ in rows], seqs, 100)
+    plan = lambda: R.Plan(X.ByteSymbols, 100, 28, "earlier")
+    assert [list(g) for _, g in in_memory(plan(), rows, 9)] == want
+
+    def shuffled(symbols, starts, length):
+        order = np.random.default_rng(1).permutation(len(starts))
+        own = [symbols[i : i + length].tobytes() for i in starts[order]]
+        return order, np.array([False] + [a == b for a, b in zip(own, own[1:], strict=False)])
+
+    monkeypatch.setattr(R, "suffix_runs", shuffled)
+    assert [list(g) for _, g in in_memory(plan(), rows, 9)] != want
+
+
+def test_equal_hashes_of_different_symbols(monkeypatch):
+    """Where all anchors have one key, contents still tell the windows apart."""
+    rows = corpus(6, 30)
+    seqs = [(t or "").encode() for _, t in rows]
+    real = R.anchors
+
+    def one_key(sym, length, k):
+        a = real(sym, length, k)
+        return R.Anchors(a.key & np.uint64(1 << 63), a.at, a.lo, a.hi)
+
+    monkeypatch.setattr(R, "anchors", one_key)
+    assert [list(g) for _, g in in_memory(R.Plan(X.ByteSymbols, 100, 28, "earlier"), rows, 9)] == brute_earlier([d for d, _ in rows], seqs, 100)
+
+
 def sha(b):
     return hashlib.sha256(b).hexdigest()
 

@@ -139,3 +139,44 @@ def test_similar_texts_edited_independently(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in H.near_dedup(df, radius=0, shingle=5, similarity=0.8).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_dense_leaves_are_split(spark):
+    """Points of one small ball, which no vantage point parts well: blocks of a leaf meet in pairs, and no link is lost."""
+    rng = np.random.default_rng(3)
+    fps = {0}
+    while len(fps) < 1500:
+        fps.add(sum(1 << int(b) for b in set(rng.integers(0, 14, rng.integers(0, 7)).tolist())) << 20)
+    points = np.array(sorted(fps), np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
+    for radius in (0, 1):
+        found = [(r.fp, r.root) for r in H.links(df, radius, leaf=8).collect()]
+        number = {int(x): i for i, x in enumerate(points.view(np.int64))}
+        a, b = (np.array([number[p[k]] for p in found], np.int64) for k in (0, 1))
+        label = H.least_labels(len(points), a, b) if len(a) else np.arange(len(points))
+        near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
+        x, y = np.nonzero(near)
+        assert np.array_equal(label, H.least_labels(len(points), x, y))
+
+
+def test_leaf_size_is_bounded():
+    assert [H.leaf_size(n) for n in (0, 10**6, 4 * 10**6, 10**9)] == [H.LEAF, H.LEAF, 15625, H.LEAF_MOST]
+
+
+def test_candidates_by_length_of_text():
+    """Of made-up pairs of similarity 0.8 or more, whatever their length, nearly all share a sub-fingerprint."""
+    rng = random.Random(1)
+    for n in (8, 10, 12, 16, 20, 30, 50, 100, 400):
+        hit = total = 0
+        while total < 300:
+            one = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            two = list(one)
+            for _ in range(rng.randrange(1, max(2, n // 25 + 2))):
+                i = rng.choice([0, len(two) - 1, rng.randrange(len(two))])
+                two[i : i + rng.randrange(2)] = [f"e{rng.randrange(10**6)}"] * rng.randrange(2)
+            a, b = (np.unique(H.shingles(" ".join(x).encode(), 5)) for x in (one, two))
+            common = len(np.intersect1d(a, b))
+            if len(a) + len(b) > 2 * common and common >= 0.8 * (len(a) + len(b) - common):
+                total += 1
+                hit += bool(np.intersect1d(H.subfingerprints(a), H.subfingerprints(b)).size)
+        assert hit / total > 0.99, (n, hit / total)
