@@ -22,6 +22,7 @@ FAN = 32
 ROUNDS = 4
 BLOCK_TOKENS = 1 << 20
 #: Most sources whose totals are broadcast; beyond that they are joined by shuffling, and AQE splits the hot ones.
+MOST_EPOCHS = 1_000_000
 BROADCAST_SOURCES = 50_000
 
 
@@ -117,7 +118,8 @@ def permute(docs: DataFrame, sources: DataFrame, key: list[str], seed: int, bloc
 def mix(docs: DataFrame, budget: int | None = None, max_epochs: float | None = 4.0, min_entropy: float | None = None, seed: int = 17, key: str = "doc_id") -> DataFrame:
     """One row for each time that a document is taken: doc_id, source, n_tokens, epoch, position.
 
-    Tokens are words. budget None: as many as the documents have. Documents without words
+    With min_entropy alone a tiny source may be asked for more than MOST_EPOCHS epochs; that
+    is an error, before anything is taken. Tokens are words. budget None: as many as the documents have. Documents without words
     (null, empty) are never taken. A null source is a source. Repeated rows are taken
     each. All other columns of docs are left behind, so names can't clash.
     """
@@ -130,4 +132,7 @@ def mix(docs: DataFrame, budget: int | None = None, max_epochs: float | None = 4
     share = F.pow(F.col("tokens").cast("double"), F.lit(a))
     z = sources.filter(F.col("tokens") > 0).agg(F.sum(share)).first()[0] or 1.0
     weighted = sources.withColumn("want", F.floor(share / F.lit(z) * F.lit(float(budget))).cast("long"))
+    most = weighted.filter(F.col("tokens") > 0).agg(F.max(F.col("want") / F.col("tokens"))).first()[0] or 0
+    if most > MOST_EPOCHS:
+        raise ValueError(f"a source would be taken {most:.0f} times; the most is {MOST_EPOCHS}: ask for less entropy or name max_epochs")
     return permute(slim, weighted, ["doc_id", "n_tokens"], seed)

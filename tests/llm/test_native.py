@@ -175,3 +175,16 @@ def test_chat_collapse(spark):
     assert chat.chat_format(df.limit(0)).count() == 0
     text = chat.chat_format(df).filter("conv_id = 2").first()
     assert text.rendered == "<|user|>\nhi\n<|end|>\n<|assistant|>\nyo\n<|end|>" and text.n_copies == 2
+
+
+def test_mix_odd_rows(spark):
+    """Repeated rows, columns that clash, and more epochs than there may be."""
+    import pytest
+
+    rows = [(1, "a b", "x", 9.0, 1)] * 3 + [(2, "c d e", "y", 9.0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, position double, epoch int")
+    got = Counter(r.doc_id for r in mixing.mix(docs, max_epochs=1.0).collect())
+    assert got == {1: 3, 2: 1}
+    lopsided = spark.createDataFrame([(0, "w", "tiny")] + [(i, "w " * 20_000, "big") for i in range(1, 121)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="taken"):
+        mixing.mix(lopsided, max_epochs=None, min_entropy=0.69)
