@@ -287,6 +287,51 @@ def declared_source(url: Column, domain: Column) -> Column:
     return F.coalesce(_host(url) == T.domain(domain, ascii_only=True), F.lit(False))
 
 
+def url_policy(url: Column, robots: Column, terms: Column) -> Column:
+    """Why a source must not be fetched, or null: its URL, then robots, then terms."""
+    rest = F.regexp_extract(url, r"^(?i:https?)://([^/?#]*)", 1)
+    host = F.lower(F.regexp_replace(F.regexp_replace(rest, r"^.*@", ""), r":\d*$", ""))
+    return (
+        F.when(~F.coalesce(url.rlike(r"(?i)^https?:"), F.lit(False)), "scheme")
+        .when(F.contains(rest, F.lit("@")), "credentials")
+        .when(host == "", "host")
+        .when(host.rlike(r"^\[?(localhost|127[.][0-9.]+|0[.]0[.]0[.]0|::1?)\]?$"), "private")
+        .when(F.lower(robots) == "deny", "robots")
+        .when(F.lower(terms) == "restricted", "terms")
+    )
+
+
+def source_policy(sources: DataFrame, allowed: DataFrame) -> DataFrame:
+    """sources (run_id, source_url, canonical_url, source_domain) with errors: URLs that must not be sources, a domain that isn't the URL's, or a host that is not on its run's list.
+
+    allowed: run_id, domain; a null run_id holds for all runs. A run without any list may
+    use any host. The list meets the sources by run and host in one equi join.
+    """
+    every = allowed.filter("run_id IS NULL").select(F.col("domain").alias("__any")).distinct()
+    own = allowed.filter("run_id IS NOT NULL").select(F.col("run_id").alias("__run"), F.col("domain").alias("__domain")).distinct()
+    runs = own.select(F.col("__run").alias("__listed")).distinct()
+    open_ = allowed.filter("run_id IS NULL").limit(1).count() == 0
+    url, canon = F.col("source_url"), F.col("canonical_url")
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    s = sources.withColumn("__host", host)
+    s = s.join(own, (F.col("run_id") == F.col("__run")) & (F.col("__host") == F.col("__domain")), "left")
+    s = s.join(every, F.col("__host") == F.col("__any"), "left").join(runs, F.col("run_id") == F.col("__listed"), "left")
+    bound = F.lit(True) if not open_ else F.col("__listed").isNotNull()
+    listed = F.col("__domain").isNotNull() | F.col("__any").isNotNull()
+    http = lambda u: F.coalesce(u.rlike(r"(?i)^https?://"), F.lit(False))
+    secret = lambda u: F.coalesce(u.rlike(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*@"), F.lit(False))
+    rules = {
+        "source_url": ~http(url),
+        "canonical_url": ~http(canon),
+        "credentials": secret(url) | secret(canon),
+        "private": F.col("__host").rlike(r"^(localhost|127[.][0-9.]+|0[.]0[.]0[.]0)$"),
+        "domain": ~F.coalesce(F.lower("source_domain") == F.col("__host"), F.lit(False)),
+        "allow_list": bound & ~listed,
+    }
+    errors = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]), lambda e: e.isNotNull())
+    return s.withColumn("errors", errors).drop("__host", "__run", "__domain", "__any", "__listed")
+
+
 def frontier(seeds: DataFrame, links: DataFrame, depth: int = 3, budget: int = 25, same_domain: bool = False) -> DataFrame:
     """seed, url, depth over a link table (source, target): breadth first, each URL of a seed once, budget at most for each seed; with same_domain those of the seed's domain only.
 

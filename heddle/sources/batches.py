@@ -185,9 +185,13 @@ def fan_out(accepted: DataFrame, array: str) -> DataFrame:
     return accepted.select(F.col("crawl_run_id").alias("__run"), F.col("batch_number").alias("__number"), *more, F.posexplode(array).alias("__place", "r")).select("__run", "__number", "__place", *more, "r.*")
 
 
+def stable_json(columns: list[str]) -> Column:
+    """The columns as one JSON object, keys in order, nulls left out, nothing between."""
+    return F.to_json(F.struct(*sorted(columns)))
+
+
 def to_json_line(batches: DataFrame) -> DataFrame:
-    """body: each row as JSON, keys in order, nulls left out, nothing between."""
-    return batches.select(F.to_json(F.struct(*sorted(batches.columns))).alias("body"))
+    return batches.select(stable_json(batches.columns).alias("body"))
 
 
 def write(batches: DataFrame, path: str, compression: str = "gzip") -> None:
@@ -200,7 +204,10 @@ SPOOL = "file_name string, body_base64 string, body_sha256 string, attempts int"
 
 def read_spool(spark: SparkSession, path: str) -> DataFrame:
     """Spool records with ok: whether the body is the one that was put away."""
-    rows = spark.read.schema(SPOOL).json(path)
+    return sound(spark.read.schema(SPOOL).json(path))
+
+
+def sound(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ok", F.coalesce(F.sha2(F.unbase64("body_base64"), 256) == F.col("body_sha256"), F.lit(False)))
 
 
