@@ -32,6 +32,8 @@ BLOCK = 3
 PASS_BYTES, WORD_BYTES = 96 << 20, 80
 #: Ends of windows that are looked at one after the other; longer texts are searched in several lanes.
 LANE = 4096
+#: Words of texts that are searched side by side.
+TOGETHER = 1 << 18
 #: A-Z become a-z, other ASCII that is neither digit nor letter becomes a space; bytes of other characters stay.
 _TABLE = bytes(c if c > 0x7F or chr(c).isalnum() else 0x20 for c in range(256)).lower()
 
@@ -157,15 +159,20 @@ class Pass:
         return sum(g.nbytes() for g in self.groups) + w.buf.nbytes + w.starts.nbytes + w.ends.nbytes + w.hash.nbytes
 
     def search(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
-        """Hits (from, to) and names of items of each text."""
-        text = Words(texts)
+        """Hits (from, to) and names of items of each text; so many texts at once as have TOGETHER words, one at least."""
         out: list[tuple[list, set]] = [([], set()) for _ in texts]
-        for g in self.groups:
-            for at, item in g.search(self.words, text):
-                i = int(np.searchsorted(text.off, at, "right")) - 1
-                a = at - int(text.off[i])
-                out[i][0].append((a, a + g.length))
-                out[i][1].add(self.names[item])
+        ends = np.cumsum([len(t) for t in texts])
+        first = 0
+        while first < len(texts):
+            stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TOGETHER, "right")))
+            text = Words(texts[first:stop])
+            for g in self.groups:
+                for at, item in g.search(self.words, text):
+                    i = int(np.searchsorted(text.off, at, "right")) - 1
+                    a = at - int(text.off[i])
+                    out[first + i][0].append((a, a + g.length))
+                    out[first + i][1].add(self.names[item])
+            first = stop
         return out
 
 
