@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,41 +34,73 @@ TARGETS = {
 }
 #: A review that is no longer pending keeps its status.
 STICKY = {"review_queue_items": {"status": "status <> 'pending'"}}
-#: Versions of a target that are kept.
-KEEP = 3
+#: Buckets that a target's rows are in by their keys; versions of a bucket that are kept.
+BUCKETS, KEEP = 64, 3
 
 
 class Store:
-    """Snapshots of the targets under one path, a new folder for each version; a target that a micro-batch has no rows for keeps its last one."""
+    """Tables under one path, in folders by version, the number of the micro-batch that wrote it.
+
+    A target's rows are in buckets by their keys. A version holds only the buckets that its
+    micro-batch touched, whole; a bucket's rows are those of the last version that has it.
+    A log's versions hold what was added, its rows are those of all. A report is its last
+    version. Writing a version again replaces it, so a micro-batch may be run again.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path, buckets
 
     def _fs(self, path: str):
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _versions(self, name: str) -> list[int]:
-        where, fs = self._fs(f"{self.path}/{name}")
-        if not fs.exists(where):
-            return []
-        found = [s.getPath() for s in fs.listStatus(where)]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    def _names(self, path: str) -> list[str]:
+        where, fs = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+    def _versions(self, name: str, before: int | None = None) -> list[int]:
+        found = [int(n[1:]) for n in self._names(f"{self.path}/{name}") if n[0] == "v" and "_SUCCESS" in self._names(f"{self.path}/{name}/{n}")]
+        return sorted(v for v in found if before is None or v < before)
+
+    def _parts(self, name: str, before: int | None = None) -> dict[int, list[int]]:
+        """Bucket -> versions that have it."""
+        out: dict[int, list[int]] = {}
+        for v in self._versions(name, before):
+            for n in self._names(f"{self.path}/{name}/v{v}"):
+                if n.startswith("__bucket="):
+                    out.setdefault(int(n.split("=")[1]), []).append(v)
+        return out
+
+    def _load(self, paths: list[str]) -> DataFrame | None:
+        return self.spark.read.parquet(*paths) if paths else None
 
     def read(self, name: str) -> DataFrame | None:
-        versions = self._versions(name)
-        return self.spark.read.parquet(f"{self.path}/{name}/v{versions[-1]}") if versions else None
+        """A target's rows, or a report's last version."""
+        parts = self._parts(name)
+        if parts:
+            return self._load([f"{self.path}/{name}/v{v[-1]}/__bucket={b}" for b, v in parts.items()])
+        return self._load([f"{self.path}/{name}/v{v}" for v in self._versions(name)[-1:]])
 
     def write(self, name: str, df: DataFrame, version: int) -> None:
-        """Idempotent: a version that is there is written again whole. Versions before the last KEEP are removed."""
+        """A report's version, or what is added to a log."""
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}")
-        for old in [v for v in self._versions(name) if v < version][: -KEEP or None]:
-            where, fs = self._fs(f"{self.path}/{name}/v{old}")
-            fs.delete(where, True)
 
-    def before(self, name: str, version: int) -> DataFrame | None:
-        versions = [v for v in self._versions(name) if v < version]
-        return self.spark.read.parquet(f"{self.path}/{name}/v{versions[-1]}") if versions else None
+    def log(self, name: str, before: int | None = None) -> DataFrame | None:
+        return self._load([f"{self.path}/{name}/v{v}" for v in self._versions(name, before)])
+
+    def merge(self, name: str, rows: DataFrame, keys: list[str], columns: list[str], combine: Callable[[DataFrame, DataFrame], DataFrame], version: int) -> None:
+        """combine(old, rows), of the buckets that rows are in."""
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # buckets at most
+        parts = self._parts(name, version)
+        old = self._load([f"{self.path}/{name}/v{parts[b][-1]}/__bucket={b}" for b in touched if b in parts])
+        if old is None:
+            old = rows.select(*columns).limit(0)
+        combine(old.select(*columns), rows).select(*columns, bucket.alias("__bucket")).write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/{name}/v{version}")
+        for b in touched:
+            for v in parts.get(b, [])[: -KEEP or None]:
+                where, fs = self._fs(f"{self.path}/{name}/v{v}/__bucket={b}")
+                fs.delete(where, True)
 
 
 def apply_batch(store: Store, requests: DataFrame, version: int, secret: bytes | None = None) -> None:
@@ -83,7 +117,7 @@ def apply_batch(store: Store, requests: DataFrame, version: int, secret: bytes |
         requests = _admitted(store, requests, secret, version)
     accepted, rejected = B.validated(requests)
     order = [c for c in ("arrived", "file", "body_sha256") if c in accepted.columns]
-    seen = store.before("keys", version)
+    seen = store.log("keys", version)
     if seen is None:
         seen = accepted.select("idempotency_key", "body_sha256").limit(0)
     judged = classify_ingest(seen, accepted, "idempotency_key", "body_sha256", order).persist()
@@ -92,35 +126,31 @@ def apply_batch(store: Store, requests: DataFrame, version: int, secret: bytes |
     store.write("rejects", rejected.select("body", "errors"), version)
     sizes = fresh.agg(*[F.coalesce(F.sum(F.size(name)), F.lit(0)).alias(name) for name in TARGETS]).first()
     for name, (keys, policy) in TARGETS.items():
-        columns = B.ARRAYS[name]
-        old = store.before(name, version)
-        if not sizes[name]:
-            continue  # the last version stands
-        rows = B.fan_out(fresh, name).withColumn("__at", F.struct("__number", "__place", "__run"))
-        if old is None:
-            old = rows.select(*columns).limit(0)
-        if policy == ONCE:
-            new = insert_only(old, rows.select(*columns, "__at"), keys, [F.asc("__at")], columns)
-        else:
-            sticky = {c: F.expr(cond) for c, cond in STICKY.get(name, {}).items()}
-            new = upsert(old, rows.select(*columns, "__at"), keys, policy, order="__at", sticky=sticky).select(*columns)
-        store.write(name, new, version)
-    store.write("keys", seen.select("idempotency_key", "body_sha256").unionByName(fresh.select("idempotency_key", "body_sha256")), version)
+        if sizes[name]:
+            rows = B.fan_out(fresh, name).withColumn("__at", F.struct("__number", "__place", "__run")).select(*B.ARRAYS[name], "__at")
+            store.merge(name, rows, keys, B.ARRAYS[name], _combine(keys, policy, B.ARRAYS[name], STICKY.get(name, {})), version)
+    store.write("keys", fresh.select("idempotency_key", "body_sha256"), version)
     judged.unpersist()
     requests.unpersist()
 
 
+def _combine(keys: list[str], policy, columns: list[str], sticky: dict[str, str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    if policy == ONCE:
+        return lambda old, new: insert_only(old, new, keys, [F.asc("__at")], columns)
+    return lambda old, new: upsert(old, new, keys, policy, order="__at", sticky={c: F.expr(cond) for c, cond in sticky.items()})
+
+
 def _admitted(store: Store, requests: DataFrame, secret: bytes, version: int) -> DataFrame:
     """The signed requests that may be looked at; the others and the nonces go into the store."""
     judged = B.authenticated(requests, secret)
-    used = store.before("nonces", version)
+    used = store.log("nonces", version)
     if used is None:
         used = requests.select("nonce").limit(0)
     sound = judged.filter("refused IS NULL")
     marked = replayed(sound, used)
     store.write("refused", judged.filter("refused IS NOT NULL").select("nonce", "refused").unionByName(marked.filter("replay").select("nonce", F.lit("replayed_nonce").alias("refused"))), version)
     admitted = marked.filter("not replay")
-    store.write("nonces", used.select("nonce").unionByName(admitted.select("nonce")), version)
+    store.write("nonces", admitted.select("nonce"), version)
     return admitted.drop("replay", "refused")
 
 

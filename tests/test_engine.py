@@ -209,6 +209,22 @@ def test_targets_and_their_policies(spark, tmp_path):
     assert [(r.id, r.diff_count_30d) for r in row("recent_diff_metadata")] == [(uid(7), 4)]
 
 
+def test_a_micro_batch_rewrites_only_its_buckets(spark, tmp_path):
+    store = ingest.Store(spark, str(tmp_path / "store"), buckets=8)
+    many = [batch(n, sellers=[seller(100 + 15 * n + i, f"s{n}") for i in range(15)]) for n in range(4)]
+    ingest.apply_batch(store, requests(spark, *many), 0)
+    assert store.read("sellers").count() == 60
+    for version in range(1, 7):
+        ingest.apply_batch(store, requests(spark, batch(10 + version, sellers=[seller(100, f"new {version}")])), version)
+    folder = tmp_path / "store" / "sellers"
+    assert len(list((folder / "v0").glob("__bucket=*"))) == 7 and all(len(list((folder / f"v{v}").glob("__bucket=*"))) <= 1 for v in range(1, 7))
+    got = {r.id: r.canonical_name for r in store.read("sellers").collect()}
+    assert len(got) == 60 and got[uid(100)] == "new 6" and got[uid(159)] == "s3"
+    assert store.log("keys").count() == 10
+    ingest.apply_batch(store, requests(spark, batch(16, sellers=[seller(100, "new 6")])), 6)  # again
+    assert store.read("sellers").count() == 60 and store.log("keys").count() == 10
+
+
 def test_signed_requests(spark, tmp_path):
     import hashlib
     import hmac
@@ -222,7 +238,7 @@ def test_signed_requests(spark, tmp_path):
     store = ingest.Store(spark, str(tmp_path / "store"))
     ingest.apply_batch(store, df, 0, secret)
     assert sorted(r.refused for r in store.read("refused").collect()) == ["expired_timestamp", "invalid_signature", "missing_ingestion_header", "replayed_nonce"]
-    assert [r.receipt for r in store.read("receipts").collect()] == ["new"] and [r.nonce for r in store.read("nonces").collect()] == ["a"]
+    assert [r.receipt for r in store.read("receipts").collect()] == ["new"] and [r.nonce for r in store.log("nonces").collect()] == ["a"]
     ingest.apply_batch(store, df.limit(1), 1, secret)
     assert [r.refused for r in store.read("refused").collect()] == ["replayed_nonce"] and store.read("receipts").count() == 0
 
