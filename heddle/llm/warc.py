@@ -46,12 +46,14 @@ def with_types(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFram
     Of equal payloads of at least revisit_bytes, the row with the least page_id is the
     response (all its repeated rows are), the others refer to it. Where all ids of equal
     payloads are null, there is nothing to refer to and all are responses. Only digests
-    meet in the aggregation, whose result has a row for each digest; AQE splits the hot
-    digests of the join.
+    and ids are shuffled, to find the digests that several rows have; these are stored, so
+    their size is known when they are joined back: small, they are broadcast and payloads
+    stay where they are; else AQE splits the hot digests of the join.
     """
     p = pages.select("page_id", "url", F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("digest", digest(F.col("payload")))
-    first = p.groupBy(F.col("digest").alias("__d")).agg(F.min("page_id").alias("__first"))
+    first = p.groupBy(F.col("digest").alias("__d")).agg(F.min("page_id").alias("__first"), F.count("*").alias("__n"))
+    first = stored(first.filter("__n > 1").select("__d", "__first"), "warc-digests")
     p = p.join(first, F.col("digest") == F.col("__d"), "left")
     again = (F.length("payload") >= revisit_bytes) & F.col("__first").isNotNull() & ~F.col("__first").eqNullSafe(F.col("page_id"))
     p = p.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("__first")))
