@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns all that it keeps; run() writes each
 result to the shared folder and reads it again as the next stage's docs. All but the last
-return the columns of documents. Null or empty texts fail the quality rules, so later stages
+return the columns of documents, other ones that docs has among them. Null or empty texts fail the quality rules, so later stages
 see them only when they are run alone, and each operator's docstring says what it does then.
 """
 
@@ -12,13 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import decontaminate, mixing, quality, simhash, suffixes
-from heddle.llm.shared import stored, table
+from heddle.llm.shared import drop, stored, table
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs with all columns but the text in one, so that none can clash with an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("__doc"), "doc_id", "lang", "text")
+
+
+def _unpacked(out: DataFrame, columns: list[str]) -> DataFrame:
+    return out.select(*[F.col("text") if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the certified cutoffs keep."""
-    found = stored(quality.features(docs), "quality")
-    return quality.quality_rules(found, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    found = stored(quality.features(_packed(docs)), "quality")
+    return _unpacked(quality.quality_rules(found, table(spark, sf_dir, "labels")).filter("kept"), docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +42,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings that occurred before; n_chars is counted anew."""
-    out = suffixes.suffix_dedup(docs, replace=True)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = _unpacked(suffixes.suffix_dedup(_packed(docs), keep=["__doc", "text"], replace=True), docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
+    out = decontaminate.decontaminate(_packed(docs), table(spark, sf_dir, "benchmark"), keep=["__doc", "text"])
+    return _unpacked(out.filter("not contaminated"), docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        if before is not None:
+            drop(before)  # what the stage read
+        before = docs
     return docs
