@@ -59,3 +59,11 @@ def field_changes(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -
     rows = j.select(F.coalesce("__old", "__new").alias(key), F.explode(pairs).alias("p")).select(key, F.col("p.a.field").alias("field"), F.col("p.a.value").alias("old_value"), F.col("p.b.value").alias("new_value"))
     change = F.when(F.col("old_value").eqNullSafe(F.col("new_value")), "reverified").when(F.col("old_value").isNull(), "added").when(F.col("new_value").isNull(), "removed").otherwise("changed")
     return rows.withColumn("change", change)
+
+
+def rates(events: DataFrame, key: str, good: list[str], found: list[str], bad: list[str]) -> DataFrame:
+    """key, n, and the shares of its events that are in good, in found and in bad; and what was found for each good one, null without any."""
+    n = F.count("*")
+    share = lambda states: F.count_if(F.col("state").isin(states)) / n
+    per = F.try_divide(F.count_if(F.col("state").isin(found)), F.count_if(F.col("state").isin(good)))
+    return events.groupBy(key).agg(n.alias("n"), share(good).alias("success_rate"), share(found).alias("find_rate"), share(bad).alias("error_rate"), per.alias("yield"))

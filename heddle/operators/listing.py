@@ -37,6 +37,8 @@ class Facets:
     seller: int | str | None = None
     confidence: int | None = None
     verified: bool | None = None
+    new_since: str | None = None
+    official_contact: bool | None = None
     sort: str | None = None
     limit: int | None = None
     offset: int | None = None
@@ -68,6 +70,7 @@ def seller_facets(rel: dict[str, DataFrame], f: Facets) -> DataFrame:
                 on(f.manufacturer, lambda: F.col("manufacturer_score") >= f.manufacturer),
                 on(f.trader, lambda: F.col("trader_score") >= f.trader),
                 on(f.updated_since, lambda: F.col("updated_at") >= F.lit(f.updated_since).cast("date")),
+                on(f.new_since, lambda: F.col("first_seen_at") >= F.lit(f.new_since).cast("date")),
             ]
         )
     )
@@ -84,6 +87,9 @@ def seller_facets(rel: dict[str, DataFrame], f: Facets) -> DataFrame:
         s = R.semi_any(s, rel["decisions"].filter(F.col("status") == f.duplicate_status), "id", ["candidate_id", "matched_id"])
     if f.contact_type is not None:
         s = _has(s, rel["contacts"].filter((F.col("contact_type") == f.contact_type) & (F.col("status") == "active")))
+    if f.official_contact:
+        sure = rel["contacts"].filter((F.col("status") == "active") & F.col("verified_at").isNotNull())
+        s = _has(s.filter("domain IS NOT NULL"), sure)
     if f.source_type is not None:
         s = _has(s, rel["sources"].filter(F.col("source_type") == f.source_type))
     if f.run is not None:

@@ -279,3 +279,13 @@ def stable_json(spark, d):
 @query("folded_texts", "SELECT p_partkey AS id, lower(p_name) || ' ss fi' AS folded FROM part")
 def folded_texts(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.search_text(F.concat("p_name", F.lit(" ẞ ﬁ"))).alias("folded"))
+
+
+@query(
+    "run_rates",
+    oracle("""SELECT run_id, count(*) AS n, round(count(*) FILTER (WHERE state IN ('view', 'click')) / count(*), 9) AS success_rate, round(count(*) FILTER (WHERE state = 'purchase') / count(*), 9) AS find_rate,
+    round(count(*) FILTER (WHERE state = 'error') / count(*), 9) AS error_rate, round(count(*) FILTER (WHERE state = 'purchase') / nullif(count(*) FILTER (WHERE state IN ('view', 'click')), 0), 9) AS yield FROM log GROUP BY run_id"""),
+)
+def run_rates(spark, d):
+    r = H.rates(relation(spark, d, "log"), "run_id", ["view", "click"], ["purchase"], ["error"])
+    return r.withColumns({c: F.round(c, 9) for c in ("success_rate", "find_rate", "error_rate", "yield")})

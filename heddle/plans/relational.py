@@ -401,3 +401,13 @@ def runs_page(spark, d):
 )
 def metrics_all(spark, d):
     return L.metrics(Relations(spark, d), as_of())
+
+
+@query(
+    "sellers_listing_new",
+    oracle(f"""WITH s AS (SELECT * FROM sellers s WHERE status <> 'merged' AND domain IS NOT NULL AND first_seen_at >= DATE '2023-02-01' AND id IN (SELECT seller_id FROM contacts WHERE status = 'active' AND verified_at IS NOT NULL)),
+    p AS (SELECT *, count(*) OVER () AS total FROM s ORDER BY first_seen_at DESC, id LIMIT 15)
+    SELECT {_SHOWN} FROM p {_LOOKUPS}"""),
+)
+def sellers_listing_new(spark, d):
+    return L.list_sellers(Relations(spark, d), L.Facets(new_since="2023-02-01", official_contact=True, sort="newest", limit=15)).select(*_SHOWN_COLUMNS)
