@@ -28,7 +28,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    scored = lm.score(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})  # sums of logarithms, in whatever order
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +130,47 @@ SELECT doc_id, source, n_tokens, epoch, round((epoch * tokens + before + inside)
 FROM v WHERE epoch * tokens + before + inside < want
 """
 
+_RULES = ", ".join(f"('{rule}', {i}, CAST({cut} AS DOUBLE))" for rule, cuts in quality.RULES.items() for i, cut in enumerate(cuts))
+_VALUE = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {rule}" for rule in quality.RULES) + " END"
+
+OP10_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT rid, i, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS g FROM w, unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) >= 5),
+rep AS (SELECT rid, g FROM win GROUP BY rid, g HAVING count(*) > 1),
+ins AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM win JOIN rep USING (rid, g)) GROUP BY rid),
+f AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper FROM w LEFT JOIN ins USING (rid)),
+r AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END AS symbol_ratio, CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0.0 END AS upper_ratio,
+  CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_ratio, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS repeat_ratio FROM f),
+c AS (SELECT * FROM (VALUES {_RULES}) AS v(rule, i, cut)),
+lab AS (SELECT * FROM r WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+k AS (SELECT lang, rule, i, cut, count(*) AS n, count(*) FILTER (WHERE {_VALUE} > cut) AS k FROM lab, c GROUP BY lang, rule, i, cut),
+t AS (SELECT *, CASE WHEN k >= n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99)))) END
+  <= 0.05 / ({len(quality.RULES)} * (SELECT count(*) FROM (SELECT DISTINCT lang FROM lab))) AS ok FROM k),
+first AS (SELECT lang, rule, min(i) FILTER (WHERE NOT ok) AS bad, max(i) AS last FROM t GROUP BY lang, rule),
+cuts AS (SELECT t.lang, t.rule, t.cut FROM t JOIN first ON t.lang IS NOT DISTINCT FROM first.lang AND t.rule = first.rule AND t.i = coalesce(bad - 1, last))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM cuts WHERE cuts.lang IS NOT DISTINCT FROM r.lang AND {_VALUE} > cut) AS kept FROM r
+"""
+
+OP8_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id, list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [chr(10)]) AS w FROM documents),
+h AS (SELECT *, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(id, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda crc, x: list_reduce(list_concat([xor(crc, x)], list_transform(range(0, 8), lambda i: CAST(0 AS BIGINT))), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))) % 7 = 2 AS held_out FROM d),
+t AS (SELECT rid, held_out, i, w[i] AS w, CASE WHEN i = 1 THEN chr(9) ELSE w[i - 1] END AS v, CASE WHEN i = 2 THEN chr(9) WHEN i > 2 THEN w[i - 2] END AS u FROM h, unnest(range(1, len(w) + 1)) AS x(i)),
+c1 AS (SELECT w, count(*) AS n FROM t WHERE NOT held_out GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS n FROM t WHERE NOT held_out GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS n FROM t WHERE NOT held_out AND u IS NOT NULL GROUP BY u, v, w),
+h1 AS (SELECT w AS v, n FROM c1 WHERE w <> chr(10) UNION ALL SELECT chr(9), count(*) FROM h WHERE NOT held_out),
+tot AS (SELECT coalesce(sum(n), 0) AS n, count(*) AS v FROM c1),
+p AS (SELECT rid, t.i, t.u, coalesce(c1.n, 0) AS n1, (coalesce(c1.n, 0) + 1) / (tot.n + tot.v + 1) AS p1, coalesce(c2.n, 0) AS n2, coalesce(h1.n, 0) AS d2, coalesce(c3.n, 0) AS n3, coalesce(b.n, 0) AS d3
+  FROM t CROSS JOIN tot LEFT JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w LEFT JOIN h1 ON h1.v = t.v LEFT JOIN c3 ON c3.u = t.u AND c3.v = t.v AND c3.w = t.w LEFT JOIN c2 b ON b.v = t.u AND b.w = t.v),
+q AS (SELECT *, (n2 + {lm.KAPPA[0]} * p1) / (d2 + {lm.KAPPA[0]}) AS p2 FROM p),
+s AS (SELECT rid, count(*) AS n_tokens, count(*) FILTER (WHERE n1 > 0) AS n_known, fsum(log10(p1)) AS base, fsum(log10(CASE WHEN u IS NULL THEN p2 ELSE (n3 + {lm.KAPPA[1]} * p2) / (d3 + {lm.KAPPA[1]}) END)) AS score FROM q GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, CAST((SELECT n FROM tot) AS BIGINT) AS train_tokens, round(base, 6) AS base_score, round(score, 6) AS score FROM h JOIN s USING (rid)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -148,7 +190,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "pipeline": pipeline,
 }
-_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_chat_format": OP7_SQL}
+_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_lm_score": OP8_SQL, "op10_quality_rules": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
