@@ -89,7 +89,7 @@ def score(pairs: DataFrame, new: DataFrame, known: DataFrame, scorer: str = "dic
 
 def best(scored: DataFrame) -> DataFrame:
     """Each candidate's best match: highest score, then smallest id."""
-    top = scored.groupBy("candidate_id").agg(F.max_by(F.struct("existing_id", "score"), F.struct(F.col("score"), -F.col("existing_id"))).alias("b"))
+    top = scored.groupBy("candidate_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "existing_id", "score")).alias("b"))
     return top.select("candidate_id", "b.existing_id", "b.score")
 
 
@@ -125,6 +125,24 @@ def rollback(rows: DataFrame, links: DataFrame, table_name: str) -> DataFrame:
     return j.withColumn("seller_id", F.coalesce("__source", "seller_id")).drop("__row", "__source", "__target")
 
 
+def undone(links: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """links with undone: whether a rollback moves the row back, since it still points at the target."""
+    out = None
+    for name, rows in tables.items():
+        own = rows.select(F.col("id").alias("__row"), F.col("seller_id").alias("__target"))
+        l = links.filter(F.col("table_name") == name)
+        j = l.join(own, (F.col("row_id") == F.col("__row")) & (F.col("target_id") == F.col("__target")), "left")
+        j = j.withColumn("undone", F.col("__row").isNotNull()).drop("__row", "__target")
+        out = j if out is None else out.unionByName(j)
+    return out
+
+
+def redirects(decisions: DataFrame) -> DataFrame:
+    """source_id, target_id, status of merges (source_id, target_id, status): active, or rolled_back."""
+    status = F.when(F.col("status") == "merged", "active").when(F.col("status") == "rolled_back", "rolled_back")
+    return decisions.select("source_id", "target_id", status.alias("status")).filter("status IS NOT NULL")
+
+
 def auto_merge(sellers: DataFrame, children: dict[str, DataFrame], best_matches: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
     """(sellers, children, decisions): new sellers whose best match is certain become merged and point at it, and what points at them moves along.
 

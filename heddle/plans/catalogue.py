@@ -452,6 +452,22 @@ def er_rollback(spark, d):
     return X.rollback(X.repoint(relation(spark, d, "accounts"), merges), links, "accounts").select("id", "seller_id")
 
 
+@query("er_rollback_marks", oracle(f"WITH {_MERGES} SELECT 'accounts' AS table_name, a.id AS row_id, target_id % 2 = 0 AS undone FROM accounts a JOIN mg ON a.seller_id = source_id"))
+def er_rollback_marks(spark, d):
+    """After the merges, rows of odd targets moved on, so a rollback leaves them."""
+    merges = _merges(spark, d)
+    accounts = relation(spark, d, "accounts").select("id", "seller_id")
+    links = X.merge_links({"accounts": accounts}, merges)
+    moved = links.select(F.col("row_id").alias("id"), F.when(F.col("target_id") % 2 == 0, F.col("target_id")).otherwise(-1).alias("seller_id"))
+    return X.undone(links, {"accounts": moved}).select("table_name", "row_id", "undone")
+
+
+@query("er_redirects", oracle("SELECT candidate_id AS source_id, matched_id AS target_id, CASE status WHEN 'merged' THEN 'active' ELSE 'rolled_back' END AS status FROM decisions WHERE status IN ('merged', 'separate')"))
+def er_redirects(spark, d):
+    x = relation(spark, d, "decisions").select(F.col("candidate_id").alias("source_id"), F.col("matched_id").alias("target_id"), F.when(F.col("status") == "separate", "rolled_back").otherwise(F.col("status")).alias("status"))
+    return X.redirects(x)
+
+
 # writes
 
 

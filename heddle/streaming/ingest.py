@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from heddle.operators import resolution as X
 from heddle.operators.upsert import classify_ingest, insert_only, upsert
 from heddle.sources import batches as B
 
@@ -81,6 +82,11 @@ class Store:
             return self._load([f"{self.path}/{name}/v{v[-1]}/__bucket={b}" for b, v in parts.items()])
         return self._load([f"{self.path}/{name}/v{v}" for v in self._versions(name)[-1:]])
 
+    def before(self, name: str, version: int) -> DataFrame | None:
+        """A target's rows before a version."""
+        parts = self._parts(name, version)
+        return self._load([f"{self.path}/{name}/v{v[-1]}/__bucket={b}" for b, v in parts.items()])
+
     def write(self, name: str, df: DataFrame, version: int) -> None:
         """A report's version, or what is added to a log."""
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}")
@@ -103,11 +109,13 @@ class Store:
                 fs.delete(where, True)
 
 
-def apply_batch(store: Store, requests: DataFrame, version: int, secret: bytes | None = None) -> None:
+def apply_batch(store: Store, requests: DataFrame, version: int, secret: bytes | None = None, resolve: bool = False) -> None:
     """One micro-batch into the store: receipts first known from the log of keys, then the targets in order, the key log last.
 
     Requests of one key are ranked by arrival: the first that is accepted is applied and its
     digest logged, others of the micro-batch are duplicates of it or in conflict with it.
+    With resolve, a new seller that certainly is one that is known becomes merged, and what
+    comes with it points at the known one; all matches go into the log of decisions.
     With a secret, requests must be signed, in time, and bring a nonce that wasn't used. A
     micro-batch that is run again after a failure starts from the versions before it and
     writes the same ones, so nothing is applied twice.
@@ -125,15 +133,35 @@ def apply_batch(store: Store, requests: DataFrame, version: int, secret: bytes |
     store.write("receipts", judged.select("idempotency_key", "body_sha256", "writes", "receipt"), version)
     store.write("rejects", rejected.select("body", "errors"), version)
     sizes = fresh.agg(*[F.coalesce(F.sum(F.size(name)), F.lit(0)).alias(name) for name in TARGETS]).first()
+    moved = _resolved(store, fresh, version) if resolve and sizes["sellers"] else None
     for name, (keys, policy) in TARGETS.items():
         if sizes[name]:
             rows = B.fan_out(fresh, name).withColumn("__at", F.struct("__number", "__place", "__run")).select(*B.ARRAYS[name], "__at")
+            if moved is not None and name == "sellers":
+                gone = moved.select(F.col("source_id").alias("__from"))
+                rows = rows.join(gone, F.col("id") == F.col("__from"), "left").withColumn("status", F.when(F.col("__from").isNotNull(), "merged").otherwise(F.col("status"))).drop("__from")
+            elif moved is not None and "seller_id" in B.ARRAYS[name]:
+                rows = X.repoint(rows, moved).select(*B.ARRAYS[name], "__at")
             store.merge(name, rows, keys, B.ARRAYS[name], _combine(keys, policy, B.ARRAYS[name], STICKY.get(name, {})), version)
     store.write("keys", fresh.select("idempotency_key", "body_sha256"), version)
     judged.unpersist()
     requests.unpersist()
 
 
+def _resolved(store: Store, fresh: DataFrame, version: int) -> DataFrame | None:
+    """Merges (source_id, target_id) of new sellers into known ones, stored with all decisions."""
+    known = store.before("sellers", version)
+    if known is None:
+        return None
+    who = lambda df: df.select("id", F.col("normalized_name").alias("name"), F.col("official_domain").alias("domain"), F.col("country_code").alias("country"), "city", F.coalesce("status", F.lit("active")).alias("status"))
+    new = who(B.fan_out(fresh, "sellers")).dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti")
+    old = who(known)
+    best = X.best(X.score(X.candidates(new, old), new.drop("status"), old.drop("status")))
+    made = best.select(F.col("candidate_id").alias("source_id"), F.col("existing_id").alias("target_id"), "score", X.action(F.col("score")).alias("action"))
+    store.write("decisions", made, version)
+    return store.spark.read.schema(made.schema).parquet(f"{store.path}/decisions/v{version}").filter("action = 'auto_merge'")
+
+
 def _combine(keys: list[str], policy, columns: list[str], sticky: dict[str, str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
     if policy == ONCE:
         return lambda old, new: insert_only(old, new, keys, [F.asc("__at")], columns)

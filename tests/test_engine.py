@@ -225,6 +225,17 @@ def test_a_micro_batch_rewrites_only_its_buckets(spark, tmp_path):
     assert store.read("sellers").count() == 60 and store.log("keys").count() == 10
 
 
+def test_new_sellers_are_resolved(spark, tmp_path):
+    store = ingest.Store(spark, str(tmp_path / "store"), buckets=4)
+    known = seller(1, "acme tools", official_domain="acme.com", country_code="CN", city="sz")
+    ingest.apply_batch(store, requests(spark, batch(1, sellers=[known])), 0, resolve=True)
+    same, other = seller(2, "acme tools", official_domain="acme.com", country_code="CN", city="sz"), seller(3, "acme tools", country_code="US")
+    ingest.apply_batch(store, requests(spark, batch(2, sellers=[same, other], contacts=[contact(8, seller_id=uid(2)), contact(9, seller_id=uid(3))])), 1, resolve=True)
+    assert {(r.id, r.status) for r in store.read("sellers").collect()} == {(uid(1), None), (uid(2), "merged"), (uid(3), None)}
+    assert {(r.id, r.seller_id) for r in store.read("contacts").collect()} == {(uid(8), uid(1)), (uid(9), uid(3))}
+    assert {(r.source_id, r.target_id, r.action) for r in store.log("decisions").collect()} == {(uid(2), uid(1), "auto_merge"), (uid(3), uid(1), "no_merge")}
+
+
 def test_signed_requests(spark, tmp_path):
     import hashlib
     import hmac
