@@ -130,6 +130,22 @@ SELECT doc_id, source, n_tokens, epoch, round((epoch * tokens + before + inside)
 FROM v WHERE epoch * tokens + before + inside < want
 """
 
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+x AS (SELECT rid, doc_id, octet_length(b) AS n, hex(b) AS h FROM d),
+w AS (SELECT rid, doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS g FROM x, unnest(range(0, n - 99)) AS u(s) WHERE n >= 100),
+first AS (SELECT g, min((coalesce(doc_id, -9223372036854775808), s)) AS f FROM w GROUP BY g HAVING count(*) > 1),
+dup AS (SELECT rid, s FROM w JOIN first USING (g) WHERE (coalesce(doc_id, -9223372036854775808), s) <> f),
+mark AS (SELECT rid, s, CASE WHEN s - 100 <= lag(s) OVER (PARTITION BY rid ORDER BY s) THEN 0 ELSE 1 END AS new FROM dup),
+run AS (SELECT rid, s, sum(new) OVER (PARTITION BY rid ORDER BY s) AS k FROM mark),
+gone AS (SELECT rid, k, min(s) AS a, max(s) + 100 AS z FROM run GROUP BY rid, k),
+cut AS (SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY k), 0) AS lo, a AS hi FROM gone UNION ALL SELECT rid, max(z), NULL FROM gone GROUP BY rid),
+kept AS (SELECT rid, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, n) - lo)), '' ORDER BY lo) AS k FROM cut JOIN x USING (rid) GROUP BY rid),
+tot AS (SELECT rid, count(*) AS spans, sum(z - a) AS removed FROM gone GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(from_hex(coalesce(k, h))) AS kept_sha256
+FROM x LEFT JOIN tot USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 _RULES = ", ".join(f"('{rule}', {i}, CAST({cut} AS DOUBLE))" for rule, cuts in quality.RULES.items() for i, cut in enumerate(cuts))
 _VALUE = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {rule}" for rule in quality.RULES) + " END"
 
@@ -190,7 +206,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "pipeline": pipeline,
 }
-_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_lm_score": OP8_SQL, "op10_quality_rules": OP10_SQL}
+_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_lm_score": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

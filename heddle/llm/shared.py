@@ -7,13 +7,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Characters that separate words: space and the controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 #: One word, for Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,8 +70,3 @@ def drop(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def lowered(c):
-    """A-Z in lower case, all else unchanged."""
-    return F.translate(c, UPPER, LOWER)
