@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from heddle.functions import ids, text as T
 from heddle.operators import extraction as E
-from heddle.operators import relational as R
 from heddle.operators import resolution as X
 from heddle.operators import search as S
 from heddle.operators import upsert as U
@@ -540,6 +539,13 @@ def late_events(spark, d):
     return log.select("id", I.timely("happened", "arrived").alias("accepted"))
 
 
+@query("events_in_time", oracle("SELECT id FROM log WHERE abs((id * 37) % 900 - 450) <= 120"))
+def events_in_time(spark, d):
+    log = relation(spark, d, "log").withColumn("happened", F.col("happened").cast("timestamp"))
+    log = log.withColumn("arrived", F.expr("timestampadd(SECOND, CAST((id * 37) % 900 - 450 AS INT), happened)"))
+    return I.in_time(log, "happened", "arrived", 120).select("id")
+
+
 _BODY = """concat('{"schema_version":1,"parser_version":"p","crawl_run_id":"01890000-0000-7000-8000-', lpad(CAST(c_custkey AS STRING), 12, '0'), '","batch_number":', CASE WHEN c_custkey % 7 = 3 THEN '-1' ELSE '5' END,
     ',"generated_at":"2024","feature_flags":[{"flag_name":"', CASE WHEN c_custkey % 7 = 6 THEN '' ELSE 'f' END, '","updated_at":"u"', CASE c_custkey % 7 WHEN 1 THEN ',"x":1' WHEN 2 THEN ',"enabled":"yes"' ELSE ',"enabled":true' END, '}]}')"""
 

@@ -8,7 +8,7 @@ from heddle.operators import listing as L
 from heddle.operators import relational as R
 from heddle.plans.registry import query
 from heddle.sources.domain import oracle, relation
-from heddle.streaming.ingest import by_day
+from heddle.streaming.ingest import by_day, latest_states
 
 AS_OF = "2024-01-15 00:00:00"
 
@@ -220,9 +220,9 @@ def run_stage_counts(spark, d):
     return relation(spark, d, "log").groupBy("run_id").agg(F.countDistinct(F.when(F.col("state") == "view", part)).alias("discovered"), F.countDistinct(F.when(F.col("state") == "purchase", part)).alias("enriched"))
 
 
-@query("run_latest_state", oracle("SELECT run_id, arg_max(state, (happened, id)) AS state, count(*) AS n_events FROM log GROUP BY run_id"))
+@query("run_latest_state", oracle("SELECT run_id, arg_max(state, (happened, id)) AS state FROM log GROUP BY run_id"))
 def run_latest_state(spark, d):
-    return relation(spark, d, "log").groupBy("run_id").agg(F.max_by("state", F.struct("happened", "id")).alias("state"), F.count("*").alias("n_events"))
+    return latest_states(relation(spark, d, "log"), "run_id", "state", ["happened", "id"])
 
 
 @query(
