@@ -142,19 +142,16 @@ def thresholds(labelled: DataFrame, stratum: str, alpha: float = 0.01, delta: fl
     """
     counts = [F.count_if(F.col(rule) > cut).alias(f"{rule}_{i}") for rule, cuts in RULES.items() for i, cut in enumerate(cuts)]
     by = labelled.groupBy(F.col(stratum).alias("__stratum")).agg(F.count("*").alias("n"), *counts)
-    tests = F.lit(float(len(RULES))) * F.col("n_strata")
-    n_strata = by.agg(F.count("*").alias("n_strata"))
-    by = by.join(F.broadcast(n_strata))  # one row
-    chosen = []
-    for rule, cuts in RULES.items():
-        # from the mean on the probability is about a half or more and certifies nothing
-        ok = [binomial_cdf(F.least(F.col(f"{rule}_{i}"), F.ceil(F.col("n") * alpha)), F.col("n"), alpha) <= F.lit(delta) / tests for i in range(len(cuts))]
-        # fixed sequence: the cutoff before the first failure
-        best = F.lit(cuts[-1])
-        for i in reversed(range(len(cuts))):
-            best = F.when(~ok[i], F.lit(cuts[i - 1]) if i else F.lit(None).cast("double")).otherwise(best)
-        chosen += [F.lit(rule), best]
-    return by.select("__stratum", "n", F.create_map(*chosen).alias("cuts"))
+    by = by.join(F.broadcast(by.agg(F.count("*").alias("n_strata"))))  # one row
+    tries = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(cut).alias("cut"), F.col(f"{rule}_{i}").alias("k")) for rule, cuts in RULES.items() for i, cut in enumerate(cuts)])
+    rows = by.select("__stratum", "n", "n_strata", F.explode(tries).alias("t")).select("__stratum", "n", "n_strata", "t.*")
+    # from the mean on the probability is about a half or more and certifies nothing
+    p = binomial_cdf(F.least("k", F.ceil(F.col("n") * alpha)), F.col("n"), alpha)
+    rows = rows.withColumn("ok", p <= F.lit(delta) / (F.lit(float(len(RULES))) * F.col("n_strata")))
+    # fixed sequence: the last cutoff before the first failure
+    per = rows.groupBy("__stratum", "n", "rule").agg(F.min(F.when(~F.col("ok"), F.col("i"))).alias("bad"), F.collect_list(F.struct("i", "cut")).alias("cuts"))
+    best = F.array_max(F.filter("cuts", lambda x: F.col("bad").isNull() | (x["i"] < F.col("bad"))))["cut"]
+    return per.groupBy("__stratum", "n").agg(F.map_from_entries(F.collect_list(F.struct("rule", best.alias("cut")))).alias("cuts"))
 
 
 def judge(features_df: DataFrame, cuts: DataFrame, stratum: str, n_strata: int) -> DataFrame:
