@@ -160,7 +160,7 @@ shop AS (SELECT page_id, r.t AS contact_type, r.v AS value, CAST(r.p[c + 1] AS I
 
 
 def _shops(spark, d):
-    c = table(spark, d, "customer")
+    c = table(spark, d, "customer").select("c_custkey").repartition(2 * spark.sparkContext.defaultParallelism, "c_custkey")  # the pages are a thousand times the ids they are made of
     return c.select(F.col("c_custkey").alias("page_id"), F.expr(_SHOP_URL).alias("url"), F.expr(_SHOP_HTML).alias("html"))
 
 
