@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, decontaminate, html_text, lm, mixing, quality, simhash, substrings, suffixes, warc
+from heddle.llm import bpe, chat, clusters, decontaminate, divergence, html_text, lm, mixing, quality, simhash, substrings, suffixes, warc
 from heddle.llm.shared import stored, table
 
 
@@ -55,6 +55,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = bpe.bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+    return out.select("doc_id", "n_tokens", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH norm AS (SELECT doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 dw AS (SELECT id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM norm),
@@ -187,6 +202,45 @@ SELECT doc_id, held_out, n_tokens, n_known, CAST((SELECT n FROM tot) AS BIGINT)
 """
 
 
+OP11_SQL = rf"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({clusters.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {clusters.DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {clusters.DIMS}),
+seed AS (SELECT list(x ORDER BY h) AS c FROM (SELECT x, sha256('{clusters.SEED}:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h LIMIT {clusters.K})),
+r(k, c) AS (
+  SELECT 0, c FROM seed
+  UNION ALL
+  SELECT k + 1, list(coalesce(fresh, c[j]) ORDER BY j) FROM (SELECT k, c, unnest(range(1, len(c) + 1)) AS j FROM r WHERE k < {clusters.ROUNDS}) old LEFT JOIN (
+    SELECT own, list(m ORDER BY dim) AS fresh FROM (SELECT own, dim, CAST(sum(x[dim]) // count(*) - CASE WHEN sum(x[dim]) < 0 AND sum(x[dim]) % count(*) <> 0 THEN 1 ELSE 0 END AS BIGINT) AS m FROM (
+      SELECT x, arg_min(j, (d, j)) AS own FROM (SELECT v.rid, v.x, j, list_sum(list_transform(list_zip(v.x, r.c[j]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, r, unnest(range(1, {clusters.K} + 1)) AS u(j) WHERE j <= len(r.c)) GROUP BY rid, x), unnest(range(1, {clusters.DIMS} + 1)) AS u(dim) GROUP BY own, dim) GROUP BY own) AS new ON new.own = old.j
+  GROUP BY k),
+f AS (SELECT c FROM r WHERE k = {clusters.ROUNDS}),
+d AS (SELECT rid, vec_id, j, CAST(list_sum(list_transform(list_zip(x, c[j]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, f, unnest(range(1, {clusters.K} + 1)) AS u(j) WHERE j <= len(c)),
+a AS (SELECT vec_id, rid, arg_min(j, (d, j)) AS j, min(d) AS distance FROM d GROUP BY vec_id, rid)
+SELECT vec_id, CAST(j - 1 AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c[j], ',')) AS centroid_sha256 FROM a, f
+"""
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+own AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, CAST(1 + (CAST({divergence.UNIT} AS HUGEINT) * (coalesce(n, 0) + {divergence.SMOOTH})) // (total + {divergence.SMOOTH} * v) AS BIGINT) AS p
+  FROM own JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, CAST(1 + (CAST({divergence.UNIT} AS HUGEINT) * (n + {divergence.SMOOTH})) // (sum(n) OVER (PARTITION BY lang) + {divergence.SMOOTH} * v) AS BIGINT) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.RANKS}
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -204,9 +258,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_bpe": op12_bpe,
+    "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
-_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_lm_score": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
+_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_lm_score": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_ball_kmeans": OP11_SQL, "op13_divergence": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
