@@ -20,7 +20,8 @@ In the worst case, a long run without a rhythm of its own, a window grows to bot
 which is the plain encoding.
 
 Pieces are encoded through a memo of their parts between white space, since no token spans
-any; the tokenizer sees each distinct part once. Texts over LONG bytes are dealt out as
+any; the tokenizer sees each distinct part once (of plain words, its model alone, where the
+pre-tokenizer is found to leave them whole). Texts over LONG bytes are dealt out as
 pieces to all tasks, and only their joins are made where the row is put together.
 """
 
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +42,14 @@ from heddle.llm.blocks import _SPACE, tidy
 from heddle.llm.shared import drop, stored
 
 #: Bytes of a piece, of a text that is dealt out in pieces, of a window's half to begin with.
-PIECE, LONG, WINDOW = 2048, 1 << 16, 64
+PIECE, LONG, WINDOW = 4096, 1 << 16, 64
 #: Bytes around a place that decide what the pre-tokenizer does there; no added token is longer.
 MARGIN = 16
-#: Bytes of text encoded at a time, and of parts remembered.
-BATCH, MEMO = 1 << 20, 16 << 20
+#: Bytes of text encoded at a time, of parts remembered, of parts given to the tokenizer in one call.
+BATCH, MEMO, CALL = 1 << 20, 160 << 20, 8 << 10
+#: Letters that have no other form when normalised than a small one, and parts that are a run of them with up to three signs after it.
+_LETTERS = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]]
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]{0,3})")
 #: Characters that are never composed with what stands before them.
 _STARTS = re.compile("[\x00-\x7fÀ-˿Ͱ-҂Ҋ-ԯぁ-ゖァ-ヺ㐀-鿿가-힣]")
 RESULT = [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
@@ -75,6 +80,9 @@ def together(parts: list[Tokens]) -> Tokens:
     return Tokens(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "begin", "end")))
 
 
+_NONE = Tokens(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 class _Memo(dict):
     """Numbers of parts; new ones are noted."""
 
@@ -89,7 +97,7 @@ class _Memo(dict):
 
 
 class Encoder:
-    """A tokenizer file with the memo of a task."""
+    """A tokenizer file with a memo of at most about MEMO bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,33 +109,89 @@ class Encoder:
         for t in self.tokenizer.get_added_tokens_decoder().values():
             if t.lstrip or t.rstrip or t.single_word or t.normalized or len(t.content.encode()) > MARGIN or _SPACE[list(t.content.encode())].any():
                 raise ValueError(f"added token {t.content!r}: only short ones that are matched as they stand")
+        self.model = self.tokenizer.model
+        strings = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.strings = pa.array(strings)
+        self.bytes = np.array([len(x.removesuffix("</w>")) for x in strings])  # a character for each byte
         self._forget()
+        self.letters = {ord(c): self._mapped(c) for c in _LETTERS}
+        self.signs: dict[str, list[int]] = {"": []}
+        self.words = all(self._word(_WORD.fullmatch(p)) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in ("Zq", "the,", "QUÀßéX***", "a."))
+
+    def _mapped(self, text: str) -> str:
+        """What the model is given for it."""
+        if self.tokenizer.normalizer:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
 
     def _forget(self):
         self.memo = _Memo()
-        self.count = np.zeros(0, np.int64)
-        self.flat = Tokens(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        self.first = self.count = np.zeros(0, np.int64)
+        self.flat = _NONE
+
+    def _word(self, found: re.Match) -> list[int]:
+        """Ids of a run of letters with few signs after it: two words for the model, which is asked alone."""
+        letters, signs = found.groups()
+        if signs not in self.signs:
+            self.signs[signs] = [t.id for t in self.model.tokenize(self._mapped(signs))]
+        return [t.id for t in self.model.tokenize(letters.translate(self.letters))] + self.signs[signs]
+
+    def plain(self, parts: list[bytes]) -> tuple[Tokens, np.ndarray]:
+        """The tokens of all parts, one part after the other, placed in their own part, and how many each has.
+
+        The tokenizer gets many parts at once, with a space between them, which no token spans.
+        """
+        found, counts, a = [], [], 0
+        while a < len(parts):
+            b, size = a, 0
+            while b < len(parts) and (b == a or size < CALL):
+                size += len(parts[b]) + 1
+                b += 1
+            text = b" ".join(parts[a:b])
+            e = self.tokenizer.encode(text.decode(), add_special_tokens=False)
+            at = np.array(e.offsets, np.int64).reshape(-1, 2)
+            if not text.isascii():  # offsets count characters
+                c = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+                at = np.append(0, np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))[at]
+            starts = np.cumsum([0, *(len(p) + 1 for p in parts[a:b])])
+            of = np.searchsorted(starts, at[:, 0], "right") - 1
+            found.append(Tokens(np.array(e.ids, np.int32), at[:, 0] - starts[of], at[:, 1] - starts[of]))
+            counts.append(np.bincount(of, minlength=b - a)[: b - a])
+            a = b
+        return together([_NONE, *found]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def apart(self, parts: list[bytes]) -> list[Tokens]:
+        """The tokens of each part, without the memo."""
+        flat, count = self.plain(parts)
+        upto = np.append(0, np.cumsum(count))
+        return [flat.part(upto[i], upto[i + 1]) for i in range(len(parts))]
 
     def _learn(self):
         new, self.memo.new = self.memo.new, []
-        found = self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)
-        ids, begin, end, count = [], [], [], np.empty(len(new), np.int64)
-        for i, (part, e) in enumerate(zip(new, found, strict=True)):
-            own = e.ids
-            count[i] = len(own)
-            ids += own
-            if len(own) == 1:
-                begin.append(0)
-                end.append(len(part))
-                continue
-            a, b = zip(*e.offsets, strict=True) if own else ((), ())
-            if not part.isascii():  # offsets count characters
-                at = np.cumsum([0, *(len(c.encode()) for c in part.decode())])
-                a, b = at[list(a)].tolist(), at[list(b)].tolist()
-            begin += a
-            end += b
-        more = Tokens(np.array(ids, np.int32), np.array(begin, np.int32), np.array(end, np.int32))
-        self.count, self.flat = np.concatenate([self.count, count]), together([self.flat, more])
+        count, first = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        ids, others, match, word = [], [], _WORD.fullmatch, self._word
+        for i, part in enumerate(new):
+            found = match(part.decode()) if self.words else None
+            if found:
+                own = word(found)
+                first[i], count[i] = len(ids), len(own)
+                ids += own
+            else:
+                others.append(i)
+        end = np.cumsum(self.bytes[ids]) if ids else np.zeros(0, np.int64)
+        begin = np.append(0, end)[:-1] if ids else end
+        start = np.repeat(begin[np.delete(first, others)], np.delete(count, others)) if ids else end
+        own = Tokens(np.array(ids, np.int32), begin - start, end - start)
+        more, n = self.plain([new[i] for i in others])
+        count[others], first[others] = n, len(ids) + np.cumsum(n) - n
+        self.first = np.concatenate([self.first, first + len(self.flat.ids)])
+        self.count, self.flat = np.concatenate([self.count, count]), together([self.flat, own, more])
+
+    def decode(self, off: np.ndarray, flat: np.ndarray) -> pa.Array:
+        """The texts of token sequences, special tokens included."""
+        if self.tokenizer.decoder is None:  # then it joins the tokens' strings by spaces
+            return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), self.strings.take(pa.array(flat))), " ").cast(pa.string())
+        return pa.array(self.tokenizer.decode_batch([flat[a:b].tolist() for a, b in zip(off, off[1:], strict=False)], skip_special_tokens=False), pa.string())
 
     def encode(self, texts: list[bytes]) -> list[Tokens]:
         """The plain encoding of each text."""
@@ -141,16 +205,25 @@ class Encoder:
         word[:-1] = ~_SPACE[np.frombuffer(joined, np.uint8)]
         starts = np.flatnonzero(np.diff(word, prepend=np.int8(0)) == 1)
         edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
-        first = np.append(0, np.cumsum(self.count))
         n = self.count[numbers]
         upto = np.append(0, np.cumsum(n))
-        at = np.repeat(first[numbers] - upto[:-1], n) + np.arange(upto[-1])
+        at = np.repeat(self.first[numbers] - upto[:-1], n) + np.arange(upto[-1])
         place = np.repeat(starts, n)
         whole = Tokens(self.flat.ids[at], self.flat.begin[at] + place, self.flat.end[at] + place)
         cut = upto[np.searchsorted(starts, edges)]
         return [whole.part(cut[i], cut[i + 1], -edges[i]) for i in range(len(texts))]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder: what it remembers serves its later tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def cuts(text: bytes, size: int) -> list[int]:
     """0, places between characters that halve the text until no piece has more than size bytes, and its length."""
     n = 1
@@ -174,6 +247,7 @@ def _common(text: bytes, one: Tokens, two: Tokens, low: int, high: int, left: bo
     """Places in one and two of a token that they share between low and high: the last one for the left side, else the first."""
     a, b = (int(np.searchsorted(t.begin, low)) for t in (one, two))
     c, d = (int(np.searchsorted(t.begin, high)) for t in (one, two))
+    # bytes within a character are no boundary: there a window's tokens overlap, so a clean one begins and ends with characters
     near_one, near_two = one.part(max(0, a - 1), c + 1), two.part(max(0, b - 1), d + 1)
     a0, b0 = max(0, a - 1), max(0, b - 1)
     clean_one, clean_two = near_one.clean(), near_two.clean()
@@ -200,7 +274,7 @@ def joined(encoder: Encoder, joins: list[tuple[bytes, int, int, int, Tokens, Tok
             while b < high and text[b] & 0xC0 == 0x80:
                 b += 1
             spans.append((a, b))
-        found = encoder.encode([joins[k][0][a:b] for k, (a, b) in zip(todo, spans, strict=True)])
+        found = encoder.apart([joins[k][0][a:b] for k, (a, b) in zip(todo, spans, strict=True)])
         again = []
         for k, (a, b), mid in zip(todo, spans, found, strict=True):
             text, low, cut, high, left, right = joins[k]
@@ -250,10 +324,9 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _results(encoder: Encoder, rest: list[pa.Array], ids: list[np.ndarray]) -> pa.RecordBatch:
-    decoded = encoder.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
     off = np.cumsum([0, *map(len, ids)])
-    flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
-    return pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(off), pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat), pa.array(decoded, pa.string())], names=["__keep", *(n for n, _ in RESULT)])
+    flat = np.concatenate([np.zeros(0, np.int32), *ids])
+    return pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(off), pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)), encoder.decode(off, flat)], names=["__keep", *(n for n, _ in RESULT)])
 
 
 def bpe(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, piece: int = 0, long: int = 0) -> DataFrame:
@@ -273,7 +346,7 @@ def bpe(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None =
     schema = T.StructType([packed, *[T.StructField(n, t) for n, t in RESULT]])
 
     def whole(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for a, b in _runs(batch.column(1)):
                 found = encode_texts(encoder, _bytes(batch.column(1).slice(a, b - a)), piece)
@@ -290,7 +363,7 @@ def bpe(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None =
                 yield pa.RecordBatch.from_arrays([keeps, pa.array([row] * n), pa.array(range(n), pa.int64()), pa.array([data[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["__keep", "row", "place", "piece"])
 
     def encode_pieces(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for a, b in _runs(batch.column(3)):
                 found = encode_texts(encoder, _bytes(batch.column(3).slice(a, b - a)), piece)
@@ -301,7 +374,7 @@ def bpe(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None =
         parts = table["piece"].to_pylist()
         at = np.cumsum([0, *map(len, parts)]).tolist()
         own = [Tokens(*(np.frombuffer(table[c][i].as_py(), np.int32) for c in ("ids", "begin", "end"))).part(0, None, at[i]) for i in range(len(parts))]
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         found = tree(encoder, [b"".join(parts)], [at], [own])
         return pa.Table.from_batches([_results(encoder, [table["__keep"].combine_chunks().slice(0, 1)], [found[0].ids])])
 
