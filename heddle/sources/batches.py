@@ -77,6 +77,41 @@ def read(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return reader.text(path).select(F.col("value").alias("body"), meta["file_path"].alias("file"), meta["file_modification_time"].alias("arrived"), meta["file_size"].alias("file_bytes"))
 
 
+SIGNED = "timestamp string, nonce string, signature string, body string"
+
+
+def read_signed(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Signed requests: each line a JSON object with timestamp, nonce, signature and body (the batch's own text), beside file, arrived and file_bytes."""
+    rows = read(spark, path, stream).withColumn("__r", F.from_json("body", SIGNED))
+    return rows.select(*[F.col(f"__r.{c}").alias(c) for c in ("timestamp", "nonce", "signature", "body")], "file", "arrived", "file_bytes")
+
+
+#: Hosts that a source may not have. fixed values
+BLOCKED_HOSTS = ["localhost", "127.0.0.1", "0.0.0.0", "::1"]
+
+
+def source_errors(sources: Column, allowed: list[str] | None = None) -> Column:
+    """array<string>: what is wrong with the URLs of a batch's sources; allowed: hosts, if only some may be."""
+
+    def errors(s: Column, i: Column) -> Column:
+        at = F.concat(F.lit("$.sources["), i.cast("string"), F.lit("]"))
+        part = lambda url, what: F.try_parse_url(s[url], F.lit(what))
+        bad_url = {u: part(u, "PROTOCOL").isNull() for u in ("source_url", "canonical_url")}
+        host = F.lower(F.regexp_replace(part("source_url", "HOST"), r"^\[|\]$", ""))
+        rules = [(bad_url[u], f".{u} must be a valid URL") for u in bad_url]
+        sound = ~bad_url["source_url"] & ~bad_url["canonical_url"]
+        rules += [(sound & ~F.lower(part(u, "PROTOCOL")).isin("http", "https"), f".{u} must use http or https") for u in bad_url]
+        rules.append((sound & (part("source_url", "USERINFO").isNotNull() | part("canonical_url", "USERINFO").isNotNull()), " URLs must not include credentials"))
+        rules.append((sound & host.isin(BLOCKED_HOSTS), ".source_url must not target localhost or private test hosts"))
+        rules.append((sound & ~host.eqNullSafe(F.lower(s["source_domain"])), ".source_domain must match source_url hostname"))
+        if allowed:
+            rules.append((sound & ~F.coalesce(host.isin(allowed), F.lit(False)), ".source_url hostname is not in the ingestion allowlist"))
+        return F.filter(F.array(*[F.when(bad, F.concat(at, F.lit(what))) for bad, what in rules]), lambda e: e.isNotNull())
+
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.flatten(F.transform(sources, errors)), none)
+
+
 def authenticated(requests: DataFrame, secret: bytes, window: int = TIME_WINDOW) -> DataFrame:
     """requests (timestamp, nonce, signature, body, arrived) with refused: why one is not to be looked at, or null.
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from heddle.operators import resolution as X
 from heddle.operators.upsert import classify_ingest, insert_only, upsert
 from heddle.sources import batches as B
+from heddle.streaming import admission as A
 
 ONCE = "once"
 #: Target -> keys and what becomes of a row that is there: column policies, or ONCE, it stays. In the order in which they are written.
@@ -132,6 +133,14 @@ def apply_batch(store: Store, requests: DataFrame, version: int, secret: bytes |
     fresh = judged.filter("receipt = 'new'")
     store.write("receipts", judged.select("idempotency_key", "body_sha256", "writes", "receipt"), version)
     store.write("rejects", rejected.select("body", "errors"), version)
+    _write_targets(store, fresh, version, resolve)
+    store.write("keys", fresh.select("idempotency_key", "body_sha256"), version)
+    judged.unpersist()
+    requests.unpersist()
+
+
+def _write_targets(store: Store, fresh: DataFrame, version: int, resolve: bool) -> None:
+    """The rows of accepted requests into their targets, in order."""
     sizes = fresh.agg(*[F.coalesce(F.sum(F.size(name)), F.lit(0)).alias(name) for name in TARGETS]).first()
     moved = _resolved(store, fresh, version) if resolve and sizes["sellers"] else None
     for name, (keys, policy) in TARGETS.items():
@@ -143,9 +152,6 @@ def apply_batch(store: Store, requests: DataFrame, version: int, secret: bytes |
             elif moved is not None and "seller_id" in B.ARRAYS[name]:
                 rows = X.repoint(rows, moved).select(*B.ARRAYS[name], "__at")
             store.merge(name, rows, keys, B.ARRAYS[name], _combine(keys, policy, B.ARRAYS[name], STICKY.get(name, {})), version)
-    store.write("keys", fresh.select("idempotency_key", "body_sha256"), version)
-    judged.unpersist()
-    requests.unpersist()
 
 
 def _resolved(store: Store, fresh: DataFrame, version: int) -> DataFrame | None:
@@ -182,14 +188,43 @@ def _admitted(store: Store, requests: DataFrame, secret: bytes, version: int) ->
     return admitted.drop("replay", "refused")
 
 
-def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """A streaming query that takes the files of source in as they come."""
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, secret: bytes | None = None, resolve: bool = False, allowed: list[str] | None = None, nonce_ttl: int = A.NONCE_TTL, key_ttl: int = A.KEY_TTL) -> StreamingQuery:
+    """A streaming query that takes the files of source in as they come.
+
+    With a secret each line is a signed request (batches.read_signed). Which requests are
+    admitted is a matter of the stream's state (streaming.admission); apply_admitted writes
+    them. allowed: hosts that sources may have.
+    """
     store = Store(spark, target)
+    requests = (B.read if secret is None else B.read_signed)(spark, source, stream=True)
 
     def each(df: DataFrame, number: int) -> None:
-        apply_batch(store, df, number)
+        apply_admitted(store, df, number, resolve)
+
+    before = {k: spark.conf.get(k, None) for k in A.SETTINGS}
+    try:
+        for k, v in A.SETTINGS.items():
+            spark.conf.set(k, v)
+        return A.admitted(requests, secret, allowed, nonce_ttl, key_ttl).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:  # a query keeps the settings that it was started with
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
-    return B.read(spark, source, stream=True).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def apply_admitted(store: Store, requests: DataFrame, version: int, resolve: bool = False) -> None:
+    """One micro-batch of admission.admitted into the store: reports of what was refused and rejected, receipts, then the targets of new requests."""
+    requests = requests.persist()
+    receipts = requests.filter(F.col("outcome").isin("new", "duplicate", "conflict"))
+    store.write("receipts", receipts.select("idempotency_key", "body_sha256", "writes", F.col("outcome").alias("receipt")), version)
+    bad = F.col("outcome").isin("invalid_schema", "source_policy_rejected")
+    store.write("rejects", requests.filter(bad).select("body", "errors"), version)
+    if "nonce" in requests.columns:
+        store.write("refused", requests.filter(~bad & ~F.col("outcome").isin("new", "duplicate", "conflict")).select("nonce", F.col("outcome").alias("refused")), version)
+    fresh = B.validated(requests.filter("outcome = 'new'").drop("errors", "writes", "idempotency_key", "body_sha256", "outcome"))[0].persist()
+    _write_targets(store, fresh, version, resolve)
+    store.write("keys", fresh.select("idempotency_key", "body_sha256"), version)  # a record; the stream itself never reads it
+    fresh.unpersist()
+    requests.unpersist()
 
 
 def replayed(requests: DataFrame, used: DataFrame, nonce: str = "nonce", order: list[str] | None = None) -> DataFrame:

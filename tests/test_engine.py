@@ -277,6 +277,57 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     assert {r.receipt for r in spark.read.parquet(f"{dst}/receipts/v1").collect()} == {"new", "duplicate"}
 
 
+def test_signed_stream_survives_restarts(spark, tmp_path):
+    """Nonces and keys are state of the stream: three runs on one checkpoint, without any log of them."""
+    import hashlib
+    import hmac
+    import time
+
+    secret, source, target, cp = b"s", tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    source.mkdir()
+    src = {"schema_version": 1, "parser_version": "p", "source_url": "https://ok.example/a", "canonical_url": "https://ok.example/a", "source_domain": "ok.example", "source_type": "web", "first_seen_at": "2024"}
+
+    def line(nonce, doc, key=secret, at=None):
+        body = doc if isinstance(doc, str) else json.dumps(doc)
+        at = at or datetime.fromtimestamp(time.time()).astimezone().isoformat(timespec="seconds")
+        sign = hmac.new(key, f"{at}.{nonce}.{hashlib.sha256(body.encode()).hexdigest()}".encode(), "sha256").hexdigest()
+        return json.dumps({"timestamp": at, "nonce": nonce, "signature": sign, "body": body})
+
+    def send(name, *lines, **more):
+        (source / name).write_text("\n".join(lines))
+        q = ingest.ingest(spark, str(source), target, cp, secret=secret, resolve=True, allowed=["ok.example"], **more)
+        q.awaitTermination(120)
+        assert q.exception() is None
+        store = ingest.Store(spark, target)
+        return {r.nonce: r.refused for r in store.read("refused").collect()}, sorted(r.receipt for r in store.read("receipts").collect()), store
+
+    one = batch(1, sellers=[seller(1, "acme tools", official_domain="acme.com", country_code="CN", city="sz")])
+    bad_host = batch(9, sources=[src | {"id": uid(90), "source_url": "http://localhost/x", "source_domain": "other.example"}])
+    refused, receipts, store = send("1.json", line("a", one), line("a", one), line("b", one, b"forged"), line("c", "{broken"), line("d", bad_host), line("e", one, at="2001-01-01T00:00:00Z"))
+    assert refused == {"a": "replayed_nonce", "b": "invalid_signature", "e": "expired_timestamp"} and receipts == ["new"]
+    assert {len(r.errors) for r in store.read("rejects").collect()} == {1, 3}
+    # another run: the nonce of a refused body is used up, its key is not; the key of the first run is known
+    refused, receipts, store = send("2.json", line("c", batch(2, sellers=[seller(3, "other")])), line("f", one), line("g", batch(1, sellers=[seller(1, "renamed")])), line("h", batch(2, sellers=[seller(2, "acme tools", official_domain="acme.com", country_code="CN", city="sz")], contacts=[contact(8, seller_id=uid(2))])))
+    assert refused == {"c": "replayed_nonce"} and receipts == ["conflict", "duplicate", "new"]
+    assert {(r.id, r.status) for r in store.read("sellers").collect()} == {(uid(1), None), (uid(2), "merged")} and [r.seller_id for r in store.read("contacts").collect()] == [uid(1)]
+    assert store.log("nonces") is None
+    refused, receipts, _ = send("3.json", line("h", one), line("i", one))
+    assert refused == {"h": "replayed_nonce"} and receipts == ["duplicate"]
+
+
+def test_state_expires(spark, tmp_path):
+    import time
+
+    source, target, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    source.mkdir()
+    for name, wait, want in (("1.json", 0, "new"), ("2.json", 0, "duplicate"), ("3.json", 25, "new")):
+        time.sleep(wait)
+        (source / name).write_text(json.dumps(batch(1, sellers=[seller(1)])))
+        q = ingest.ingest(spark, str(source), target, cp, key_ttl=20)
+        q.awaitTermination(120)
+        assert q.exception() is None and [r.receipt for r in ingest.Store(spark, target).read("receipts").collect()] == [want]
+
+
 def test_nonces_and_days_stream(spark, tmp_path):
     at = lambda d, m: datetime(2024, 1, d, 0, m)
     rows = [("n1", at(1, 0), "view"), ("n1", at(1, 1), "view"), ("n2", at(1, 2), "error"), ("n3", at(9, 0), "view")]
