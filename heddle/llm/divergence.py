@@ -32,7 +32,7 @@ from heddle.llm.shared import drop, stored
 
 UNIT, SMOOTH, LEAST_DOCS, RANKS = 1_000_000_000, 5, 30, 50
 #: A term is heavy if at least one in LIGHT sources of its language has it. Sources of a tile, cells of a task.
-LIGHT, TILE, CELLS = 8, 256, 1 << 20
+LIGHT, TILE, CELLS = 8, 256, 1 << 15
 #: Distinct terms that a task counts before it passes its counts on, bytes of a text looked at at once.
 HELD, SLICE = 1 << 17, 1 << 20
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
