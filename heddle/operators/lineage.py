@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and read from the checkpoint folder (spark.checkpoint.dir); a local session without one gets its own."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); a local session without one gets its own."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
@@ -20,4 +20,28 @@ def cut(df: DataFrame) -> DataFrame:
         found = os.path.join(tempfile.gettempdir(), f"heddle-checkpoints-{uuid.uuid4().hex}")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and read from the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names, sizes and times of the files under paths: another one when a table was written again."""
+    seen = []
+    for path in sorted(paths):
+        where, fs = file_system(spark, path)
+        files = fs.listFiles(where, True)
+        while files.hasNext():
+            s = files.next()
+            seen.append(f"{path}|{s.getPath().getName()}|{s.getLen()}|{s.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()

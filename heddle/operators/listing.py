@@ -1,7 +1,8 @@
 """Listings: sellers by fifteen facets, contacts that nobody suppressed, duplicates and runs, each a page with its total.
 
-Facets over other tables are semi joins. A page has at most 100 rows, so it is broadcast to
-what is looked up for it, and the lookups aggregate only rows of the page's sellers.
+Facets over other tables are semi joins, one for each table. They give ids and sort keys only;
+the page, at most 100 rows, is stored and broadcast to what is looked up for it, and the
+lookups aggregate only rows of the page's sellers.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from heddle.operators import relational as R
 from heddle.operators import search as S
+from heddle.operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -58,9 +60,24 @@ def _has(rows: DataFrame, side: DataFrame, key: str = "seller_id", own: str = "i
     return rows.join(side.select(F.col(key).alias("__key")).filter("__key IS NOT NULL").distinct(), F.col(own) == F.col("__key"), "left_semi")
 
 
+def _has_each(rows: DataFrame, side: DataFrame, conditions: list[Column], key: str = "seller_id", own: str = "id") -> DataFrame:
+    """Rows that have, for each of the conditions, a row of side that meets it: one scan of side and one aggregation for all of them."""
+    if not conditions:
+        return rows
+    met = [F.coalesce(c, F.lit(False)) for c in conditions]
+    any_of = met[0]
+    for c in met[1:]:
+        any_of = any_of | c
+    if len(met) == 1:
+        return _has(rows, side.filter(any_of), key, own)
+    found = side.filter(any_of).groupBy(F.col(key).alias("__key")).agg(*[F.max(c).alias(f"m{i}") for i, c in enumerate(met)])
+    return _has(rows, found.filter(R.conjunction([F.col(f"m{i}") for i in range(len(met))])), "__key", own)
+
+
 def seller_facets(rel: dict[str, DataFrame], f: Facets) -> DataFrame:
-    """The sellers that all facets leave; merged ones never."""
+    """The sellers that all facets leave; merged ones never. Each relation is looked at once, whatever is asked of it."""
     on = lambda value, cond: None if value is None else cond()
+    asked = lambda *conditions: [c for c in conditions if c is not None]
     s = rel["sellers"].filter("status <> 'merged'").filter(
         R.conjunction(
             [
@@ -71,29 +88,26 @@ def seller_facets(rel: dict[str, DataFrame], f: Facets) -> DataFrame:
                 on(f.trader, lambda: F.col("trader_score") >= f.trader),
                 on(f.updated_since, lambda: F.col("updated_at") >= F.lit(f.updated_since).cast("date")),
                 on(f.new_since, lambda: F.col("first_seen_at") >= F.lit(f.new_since).cast("date")),
+                F.col("domain").isNotNull() if f.official_contact else None,
             ]
         )
     )
     if f.query and S.parse(f.query):
         s = _has(s, S.match(rel["index"], "seller_id", f.query))
-    if f.marketplace is not None:
-        s = _has(s, rel["accounts"].filter(F.col("marketplace") == f.marketplace))
-    if f.account is not None:
-        s = _has(s, rel["accounts"].filter(R.like_contains(F.col("display_name"), f.account) | R.like_contains(F.col("token"), f.account)))
-    for column, text in (("category", f.category), ("brand", f.brand)):
-        if text is not None:
-            s = _has(s, rel["products"].filter(R.like_contains(F.col(column), text)))
+    accounts = asked(
+        on(f.marketplace, lambda: F.col("marketplace") == f.marketplace),
+        on(f.account, lambda: R.like_contains(F.col("display_name"), f.account) | R.like_contains(F.col("token"), f.account)),
+    )
+    products = asked(*[on(text, lambda c=column, t=text: R.like_contains(F.col(c), t)) for column, text in (("category", f.category), ("brand", f.brand))])
+    active = F.col("status") == "active"
+    contacts = asked(on(f.contact_type, lambda: active & (F.col("contact_type") == f.contact_type)), active & F.col("verified_at").isNotNull() if f.official_contact else None)
+    sources = asked(on(f.source_type, lambda: F.col("source_type") == f.source_type))
+    runs = asked(on(f.run, lambda: F.col("run_id") == f.run))
+    for name, conditions in (("accounts", accounts), ("products", products), ("contacts", contacts), ("sources", sources), ("run_sellers", runs)):
+        if conditions:
+            s = _has_each(s, rel[name], conditions)
     if f.duplicate_status is not None:
         s = R.semi_any(s, rel["decisions"].filter(F.col("status") == f.duplicate_status), "id", ["candidate_id", "matched_id"])
-    if f.contact_type is not None:
-        s = _has(s, rel["contacts"].filter((F.col("contact_type") == f.contact_type) & (F.col("status") == "active")))
-    if f.official_contact:
-        sure = rel["contacts"].filter((F.col("status") == "active") & F.col("verified_at").isNotNull())
-        s = _has(s.filter("domain IS NOT NULL"), sure)
-    if f.source_type is not None:
-        s = _has(s, rel["sources"].filter(F.col("source_type") == f.source_type))
-    if f.run is not None:
-        s = _has(s, rel["run_sellers"].filter(F.col("run_id") == f.run))
     return s
 
 
@@ -103,24 +117,39 @@ def contact_counts(contacts: DataFrame) -> DataFrame:
     return active.groupBy("seller_id").agg(F.count("*").alias("contact_count"), F.array_join(F.array_sort(F.collect_set("contact_type")), ",").alias("contact_types"))
 
 
+#: What the sorts of sellers look at.
+SORT_KEYS = ["first_seen_at", "updated_at", "confidence", "name", "last_seen_at"]
+
+
+def _page_first(rows: DataFrame, order: list[Column], limit: int | None, offset: int | None) -> DataFrame:
+    """The page of rows (ids and sort keys only) with the total, stored: a page at most, 100 rows.
+
+    rows are computed once and kept while they are counted and the page is drawn from them.
+    """
+    return cut(R.page(cut(rows), order, limit, offset))
+
+
 def list_sellers(rel: dict[str, DataFrame], f: Facets) -> DataFrame:
-    """A page of sellers with their latest account, latest duplicate status, contacts, and the total."""
-    s = seller_facets(rel, f)
+    """A page of sellers with their latest account, latest duplicate status, contacts, and the total.
+
+    Facets give ids and sort keys; the page is stored, and everything else is looked up for
+    its sellers, with one scan of each relation.
+    """
+    s = seller_facets(rel, f).select("id", *[c for c in SORT_KEYS if c in rel["sellers"].columns])
     if f.sort == "most_contacts":
         n = rel["contacts"].filter("status = 'active'").groupBy(F.col("seller_id").alias("__s")).agg(F.count("*").alias("n_contacts"))
         s = s.join(n, F.col("id") == F.col("__s"), "left").drop("__s")
     order = SORTS.get(f.sort, lambda: [F.desc("last_seen_at")])()
-    rows = R.page(s, [*order, F.asc("id")], f.limit, f.offset)
-    own = F.broadcast(rows.select(F.col("id").alias("__own")))  # a page at most
-    mine = lambda df, key="seller_id": df.join(own, F.col(key) == F.col("__own")).drop("__own")
+    page = F.broadcast(_page_first(s, [*order, F.asc("id")], f.limit, f.offset).select(F.col("id").alias("__own"), "total"))  # a page at most
+    mine = lambda df, key="seller_id": df.join(page.select("__own"), F.col(key) == F.col("__own")).drop("__own")
     account = R.latest(mine(rel["accounts"]), "seller_id", ["last_seen", "id"], ["marketplace", "display_name"]).withColumnRenamed("seller_id", "__account")
     ends = rel["decisions"].select("id", "created_at", F.col("status").alias("duplicate_status"), F.explode(F.array_distinct(F.array("candidate_id", "matched_id"))).alias("seller_id"))
     duplicate = R.latest(mine(ends), "seller_id", ["created_at", "id"], ["duplicate_status"]).withColumnRenamed("seller_id", "__duplicate")
     counts = contact_counts(mine(rel["contacts"])).withColumnRenamed("seller_id", "__counts")
-    out = rows
+    out = rel["sellers"].join(page, F.col("id") == F.col("__own")).drop("__own")
     for side in (account, duplicate, counts):
         out = out.join(side, F.col("id") == F.col(side.columns[0]), "left")
-    return out.withColumn("contact_count", F.coalesce("contact_count", F.lit(0)).cast("long")).drop("__account", "__duplicate", "__counts", "n_contacts")
+    return out.withColumn("contact_count", F.coalesce("contact_count", F.lit(0)).cast("long")).drop("__account", "__duplicate", "__counts")
 
 
 def visible_contacts(contacts: DataFrame, suppressions: DataFrame, as_of: Column) -> DataFrame:
@@ -147,7 +176,8 @@ def list_contacts(rel: dict[str, DataFrame], f: Facets, as_of: Column) -> DataFr
         c = _has(c, S.match(rel["index"], "seller_id", f.query), "seller_id", "seller_id")
     if f.source_type is not None:
         c = _has(c, rel["sources"].filter(F.col("source_type") == f.source_type), "id", "source_id")
-    rows = R.page(c, [F.desc("last_seen"), F.asc("id")], f.limit, f.offset)
+    rows = _page_first(c.select("id", "last_seen"), [F.desc("last_seen"), F.asc("id")], f.limit, f.offset).select(F.col("id").alias("__own"), "total")
+    rows = cut(rel["contacts"].join(F.broadcast(rows), F.col("id") == F.col("__own")).drop("__own"))
     s = rel["sellers"].select(F.col("id").alias("__s"), F.col("name").alias("seller_name"), F.col("country").alias("seller_country"))
     t = rel["sources"].select(F.col("id").alias("__t"), "source_type")
     page = F.broadcast(rows)  # a page at most

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from heddle.functions import ids, text as T
@@ -9,6 +11,7 @@ from heddle.operators import extraction as E
 from heddle.operators import resolution as X
 from heddle.operators import search as S
 from heddle.operators import upsert as U
+from heddle.operators.lineage import file_system, fingerprint, shared
 from heddle.plans.registry import query, table
 from heddle.sources import batches as B
 from heddle.sources.domain import oracle, relation
@@ -280,9 +283,45 @@ seller_tokens AS (SELECT DISTINCT seller_id, token FROM (SELECT seller_id, unnes
 
 
 def seller_index(spark, d):
+    return S.index(seller_documents(spark, d), "seller_id", S.COLUMNS)
+
+
+def kept_index(spark, d, build_anew: bool = False):
+    """The folder of the search index of d, in the shared folder: built once, and again when a table that it is made of was written again."""
+    tables = ["customer", "nation", "region", "orders", "lineitem", "part"]
+    path = f"{shared(spark)}/heddle/search-{fingerprint(spark, [f'{d}/{t}.parquet' for t in tables])}"
+    if build_anew or not S.is_built(spark, path):
+        fresh = f"{path}-{uuid.uuid4().hex}"
+        S.build(seller_documents(spark, d), "seller_id", S.COLUMNS, fresh)
+        if build_anew:
+            return fresh
+        where, fs = file_system(spark, fresh)
+        if not fs.rename(where, file_system(spark, path)[0]):  # somebody else's is there by now
+            fs.delete(where, True)
+    return path
+
+
+def seller_documents(spark, d):
     s = relation(spark, d, "sellers").withColumnsRenamed({"name": "canonical_name", "domain": "official_domain"})
-    docs = S.seller_documents(s, relation(spark, d, "aliases"), relation(spark, d, "products"))
-    return S.index(docs, "seller_id", S.COLUMNS)
+    return S.seller_documents(s, relation(spark, d, "aliases"), relation(spark, d, "products"))
+
+
+@query("search_stored", oracle(f"WITH {_DOCS} SELECT seller_id FROM seller_tokens GROUP BY seller_id HAVING bool_or(starts_with(token, 'customer')) AND bool_or(starts_with(token, 'auto') OR starts_with(token, 'mach'))"))
+def search_stored(spark, d):
+    """Two searches in the index that is kept: postings by prefix, neither orders nor lineitem are read."""
+    idx = S.stored_index(spark, kept_index(spark, d))
+    either = S.match(idx, "seller_id", "auto mach", every=False)
+    return S.match(idx, "seller_id", "CUSTOMER").join(either, "seller_id", "left_semi")
+
+
+@query("search_stored_refreshed", oracle(f"WITH {_DOCS} SELECT seller_id, CASE WHEN seller_id IN (SELECT id FROM sellers WHERE country = 'CHINA') AND token = 'ltd' THEN 'gmbh' ELSE token END AS token FROM seller_tokens"))
+def search_stored_refreshed(spark, d):
+    """A stored index after the sellers of one country changed their legal form, by the ranges that this touches."""
+    path = kept_index(spark, d, build_anew=True)
+    moved = relation(spark, d, "sellers").filter("country = 'CHINA'").select(F.col("id").alias("seller_id"))
+    docs = seller_documents(spark, d).withColumn("legal_name", F.regexp_replace("legal_name", " LTD$", " GmbH"))
+    S.refresh_stored(spark, path, docs, moved, "seller_id", S.COLUMNS)
+    return S.stored_index(spark, path).select("seller_id", "token")
 
 
 @query("search_index", oracle(f"WITH {_DOCS} SELECT seller_id, token FROM seller_tokens"))

@@ -311,9 +311,10 @@ class Relations(dict):
         self.spark, self.d = spark, d
 
     def __missing__(self, name):
-        from heddle.plans.catalogue import seller_index
+        from heddle.operators.search import stored_index
+        from heddle.plans.catalogue import kept_index
 
-        self[name] = seller_index(self.spark, self.d) if name == "index" else relation(self.spark, self.d, name)
+        self[name] = stored_index(self.spark, kept_index(self.spark, self.d)) if name == "index" else relation(self.spark, self.d, name)
         return self[name]
 
 
