@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope():
+    """Notes what is put into the shared folder inside: a list of paths, for one who deletes what was only needed on the way."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/heddle/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/heddle/{what}-{uuid.uuid4().hex}"
+    for held in _scopes[-1:]:
+        held.append(path)
+    return path
 
 
 #: Spark's setting to remove the shuffle files of a query when it ends.

@@ -99,11 +99,11 @@ def reach(most: np.ndarray, both: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, subs: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long), and subs, size and sketch (of the set of shingles), empty unless asked for."""
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), and subs, size, sketch and node (XXH64) of the set of shingles, empty unless asked for."""
 
     def run(batches):
         for batch in batches:
-            fps, parts, sizes, bins = [], [], [], []
+            fps, parts, sizes, bins, nodes = [], [], [], [], []
             for t in batch.column(1).cast(pa.large_binary()):
                 h = shingles(t.as_py(), shingle)
                 fps.append(simhash(h))
@@ -111,11 +111,12 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
                 size, counts = sketch(h) if subs else (None, None)
                 sizes.append(size)
                 bins.append(counts)
-            own = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(parts, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *own], names=["doc_id", "fp", "subs", "size", "sketch"])
+                nodes.append(xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED) if subs else 0)
+            own = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(parts, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own], names=["doc_id", "fp", "subs", "size", "sketch", "node"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, fp long, subs array<long>, size long, sketch binary")
+    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, fp long, subs array<long>, size long, sketch binary, node long")
 
 
 @dataclass
@@ -283,31 +284,38 @@ def components(edges: DataFrame) -> DataFrame:
             return out
 
 
-def similar_links(docs: DataFrame, text: str, key: str, fps: DataFrame, points: DataFrame, shingle: int, similarity: float, temporary: list[DataFrame]) -> DataFrame:
-    """(fp, root) that connect the distinct fingerprints as the candidates of at least similarity (Jaccard, whole texts) do.
-
-    Candidates share a sub-fingerprint, and all are settled: a pair is compared, or its
-    bound by the sketches is below similarity, or other pairs have connected it. First each
-    sub-fingerprint's leader (the member that shares most of its own, as the original of
-    edited copies does; then another one) is compared with the members that aren't
-    connected to it, so that a group of copies is mostly one component after n - 1 pairs.
-    Then the members of each sub-fingerprint that still has several components meet in
-    blocks by their sketches, and what can be similar across components is compared. Only
-    texts in a pair that the bound leaves are moved. What is stored on the way is put into temporary.
+def similar_links(docs: DataFrame, text: str, key: str, fps: DataFrame, shingle: int, similarity: float, temporary: list[DataFrame]) -> DataFrame:
+    """(fp, root) that connect fingerprints as the candidates of at least similarity (Jaccard, whole texts) do.
+
+    What is compared are distinct sets of shingles (nodes, known by 64 bits of hash): one
+    text for each, the one of the least doc_id, stands for all with its set, whatever their
+    fingerprints; sets of one fingerprint are connected from the start. Candidates share a
+    sub-fingerprint, and all are settled: a pair is compared, or its bound by the sketches
+    is below similarity, or other pairs have connected it. First each sub-fingerprint's
+    leader (the member that shares most of its own, as the original of edited copies does;
+    then another one) is compared with the members that aren't connected to it, so that a
+    group of copies is mostly one component after n - 1 pairs. Then the members of each
+    sub-fingerprint that still has several components meet in blocks by their sketches, and
+    what can be similar across components is compared. Only texts in a pair that the bound
+    leaves are moved. What is stored on the way is put into temporary. Below, fp is a node.
     """
-    spark = docs.sparkSession
-    rows = fps.select("fp", F.explode("subs").alias("sub")).distinct()
-    often = rows.groupBy("sub").agg(F.count("*").alias("n")).filter("n > 1")
     def keep(df: DataFrame, what: str) -> DataFrame:
         temporary.append(stored(df, what))
         return temporary[-1]
 
+    members = fps.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), F.any_value(F.struct("size", "sketch")).alias("s"))
+    members = keep(members, "simhash-members")
+    points = members.groupBy(F.col("node").alias("fp")).agg(F.min("least").alias("least"), F.min("fp").alias("own"), F.any_value("s").alias("s"))
+    points = keep(points, "simhash-sets")
+    rows = fps.select(F.col("node").alias("fp"), F.explode("subs").alias("sub")).distinct()
+    often = rows.groupBy("sub").agg(F.count("*").alias("n")).filter("n > 1")
     shared = keep(rows.join(often, "sub"), "simhash-shared")
     degree = shared.groupBy("fp").agg(F.count("*").alias("degree"))
-    nodes = fps.groupBy("fp").agg(F.min_by(F.struct("size", "sketch"), "doc_id").alias("s"))
-    nodes = keep(nodes.join(degree, "fp").select("fp", "degree", "s.size", "s.sketch"), "simhash-nodes")
-    edges = done = None
-    left = shared.withColumn("label", F.col("fp"))
+    nodes = keep(points.join(degree, "fp").select("fp", "degree", "s.size", "s.sketch"), "simhash-nodes")
+    first = points.groupBy("own").agg(F.min("fp").alias("root"))
+    edges = keep(points.join(first, "own").filter("fp <> root").select("fp", "root"), "simhash-equal")
+    done = None
+    left = _unsettled(shared, edges, keep)
     for k in range(ROUNDS):
         order = F.struct("degree", "fp") if not k else F.struct(F.xxhash64("fp", "sub", F.lit(k)), "fp")
         lead = left.join(nodes.select("fp", "degree"), "fp").groupBy("sub").agg(F.max_by(F.struct("fp", "label"), order).alias("lead"))
@@ -317,7 +325,12 @@ def similar_links(docs: DataFrame, text: str, key: str, fps: DataFrame, points:
         left = _unsettled(shared, edges, keep)
     # a sub-fingerprint of two members has been settled by its leader
     pairs = keep(_bounded(_blocks(left.filter("n > 2"), nodes, similarity), None, done, similarity), "simhash-pairs")
-    return _add(edges, _alike(pairs, docs, text, key, points, shingle, similarity, keep))
+    edges = _add(edges, _alike(pairs, docs, text, key, points, shingle, similarity, keep))
+    # back to fingerprints: those of the two sets, and all of one set
+    own = points.select("fp", "own")
+    across = edges.join(own, "fp").join(own.select(F.col("fp").alias("root"), F.col("own").alias("other")), "root").select(F.col("own").alias("fp"), F.col("other").alias("root"))
+    same = members.join(own.select(F.col("fp").alias("node"), F.col("own").alias("root")), "node").select("fp", "root")
+    return across.union(same).filter("fp <> root").distinct()
 
 
 def _add(a: DataFrame | None, b: DataFrame) -> DataFrame:
@@ -421,14 +434,13 @@ def near_dedup(docs: DataFrame, radius: int = BITS, shingle: int = SHINGLE, text
 
     With similarity, texts whose sets of shingles have at least that Jaccard similarity are
     linked as well (similar_links): their fingerprints differ by ten bits or so, more than
-    a vantage point can tell from chance (32 by 4). Texts of one fingerprint then count as
-    one, that of the least doc_id.
+    a vantage point can tell from chance (32 by 4).
     """
     fps = stored(fingerprints(docs, text, key, shingle, similarity is not None), "fingerprints")
     points = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-points")
     edges, temporary = links(points, radius, leaf), []
     if similarity is not None:
-        edges = edges.union(similar_links(docs, text, key, fps, points, shingle, similarity, temporary))
+        edges = edges.union(similar_links(docs, text, key, fps, shingle, similarity, temporary))
     edges = stored(edges, "simhash-links")
     for df in temporary:
         drop(df)

@@ -1,5 +1,6 @@
 """The pipeline on a small corpus against brute force, stage by stage."""
 
+import os
 import random
 import re
 
@@ -96,5 +97,54 @@ def test_keeps_all_good_documents_without_labels(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
+    """run() gives the rows of its stages one after the other, and leaves one table behind."""
     path, _ = sf_dir
-    assert P.run(spark, path).columns == ["doc_id", "source", "n_tokens", "epoch", "position"]
+    folder = P.scratch_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = P.run(spark, path)
+    assert got.columns == ["doc_id", "source", "n_tokens", "epoch", "position"]
+    assert set(os.listdir(folder)) - before == {os.path.basename(got.stored_at)}
+    docs = P.table(spark, path, "documents")
+    for _, stage in P.STAGES:
+        docs = P.stored(stage(spark, docs, path), "test")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """Each decision from the whole texts in plain Python; budgets and their order by the mixing test's own rule."""
+    rng = random.Random(8)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    passage = fresh(40)
+    texts = [fresh(60) for _ in range(20)] + [fresh(30) + " " + passage + " " + fresh(9), passage + " " + fresh(90), fresh(30) + " " + BENCH, "few words", "same " * 50]
+    texts += [texts[0], texts[1] + " tail", " ".join(texts[2].split()[1:])]
+    rows = [(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, BENCH)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = {i: WORD.findall(t) for i, t in enumerate(texts)}
+    windows = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, w in words.items()}
+    docs = [i for i, w in words.items() if len(w) >= 10 and not any(windows[i].count(x) > 1 for x in windows[i])]
+    kept = []
+    for i in docs:
+        sets = set(windows[i])
+        if not any(len(sets & set(windows[j])) >= 0.8 * len(sets | set(windows[j])) for j in kept):
+            kept.append(i)
+    seen, left = set(), {}
+    for i in kept:
+        b = texts[i].encode()
+        gone = set()
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone.update(range(k, k + 100))
+            seen.add(b[k : k + 100])
+        left[i] = bytes(c for k, c in enumerate(b) if k not in gone).decode("utf-8", "ignore")
+    bench = {tuple(BENCH.split()[k : k + 13]) for k in range(18)}
+    clean = {}
+    for i, t in left.items():
+        w = re.findall(r"[a-z0-9]+", t.lower())
+        hit = {k + j for k in range(len(w) - 12) if tuple(w[k : k + 13]) in bench for j in range(13)}
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean[i] = len(WORD.findall(t))
+    got = P.run(spark, str(tmp_path)).collect()
+    assert clean.keys() < set(docs) and {r.doc_id: r.n_tokens for r in got} == clean  # two sources of like size: all is taken, of the smaller one some twice
+    assert all(r.epoch in (0, 1) and 0 <= r.position < 1 for r in got)

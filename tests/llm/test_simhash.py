@@ -180,3 +180,39 @@ def test_candidates_by_length_of_text():
                 total += 1
                 hit += bool(np.intersect1d(H.subfingerprints(a), H.subfingerprints(b)).size)
         assert hit / total > 0.99, (n, hit / total)
+
+
+def test_equal_fingerprints_are_not_one_text(spark, monkeypatch):
+    """Of texts with one fingerprint each is compared, whatever their ids: x and y have one, only y is like z."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    shing = lambda t: set(H.shingles(t.encode(), 5).tolist())
+    like = lambda a, b: len(shing(a) & shing(b)) >= 0.8 * len(shing(a) | shing(b))
+    y, z = " ".join(base), " ".join(base[:-5])
+    x = " ".join([f"x{rng.randrange(9)}" for _ in range(3)] + base[3:] + ["q", "r", "s"])
+    assert like(y, z) and not like(x, z)
+    monkeypatch.setattr(H, "simhash", lambda h: 5 if len(h) != len(base) - 9 else 1 << 63)  # x, y: one fingerprint, z: far from it
+    for order in ([x, y, z], [y, x, z], [z, y, x], [z, x, y]):
+        df = spark.createDataFrame(list(enumerate(order)), "doc_id long, text string")
+        fps = spark.createDataFrame(H_rows(order), "doc_id long, fp long, subs array<long>, size long, sketch binary, node long")
+        monkeypatch.setattr(H, "fingerprints", lambda *a, f=fps, **k: f)
+        assert {r.component_id for r in H.near_dedup(df, radius=0, shingle=5, similarity=0.8).collect()} == {0}
+
+
+def H_rows(texts):
+    out = []
+    for i, t in enumerate(texts):
+        h = H.shingles(t.encode(), 5)
+        size, counts = H.sketch(h)
+        out.append((i, int(np.uint64(H.simhash(h)).view(np.int64)), H.subfingerprints(h).view(np.int64).tolist(), size, bytearray(counts), int(np.array([H.xxhash.xxh64_intdigest(np.unique(h).tobytes())], np.uint64).view(np.int64)[0])))
+    return out
+
+
+def test_one_set_with_several_fingerprints(spark):
+    """Repeats change a fingerprint, not the set: such texts are one component."""
+    a = " ".join(f"w{i}" for i in range(12))
+    texts = [a, a + " " + a + " " + a, " ".join([a] * 9), "other words " * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in H.near_dedup(df, radius=0, shingle=5, similarity=0.8).collect()}
+    sets = [set(H.shingles(t.encode(), 5).tolist()) for t in texts]
+    assert sets[1] == sets[2] and got[1] == got[2] and got[3] == 3
