@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import decontaminate, mixing, quality, simhash, suffixes
-from heddle.llm.shared import drop, stored, table
+from heddle.llm.shared import discard, drop, scope, shared_dir, stored, table
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -69,10 +69,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where the stages store what they need on the way."""
+    return f"{shared_dir(spark)}/heddle".removeprefix("file:")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; of all that they store only the last result stays."""
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        with scope() as held:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        for path in held:
+            if path != docs.stored_at:
+                discard(spark, path)
         if before is not None:
             drop(before)  # what the stage read
         before = docs
