@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import bigram_dice, sequence_ratio
+from heddle.operators.linking import last_targets, latest_of_each
 
 AUTO_MERGE, REVIEW, URGENT = 92, 70, 85
 PER_CANDIDATE = 25
@@ -112,15 +113,22 @@ def merge_links(tables: dict[str, DataFrame], decisions: DataFrame) -> DataFrame
     return out
 
 
-def repoint(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """rows with seller_id moved to the merge target; chains are not followed."""
-    d = decisions.select(F.col("source_id").alias("__from"), F.col("target_id").alias("__to"))
+def repoint(rows: DataFrame, decisions: DataFrame, follow: bool = False) -> DataFrame:
+    """rows with seller_id moved to the merge target, with follow to the last one of a chain.
+
+    Of several merges of one source the last holds (by created_at where they have it, then
+    id), so no row is doubled. Sources in a cycle go to its least id.
+    """
+    order = [c for c in ("created_at", "id", "target_id") if c in decisions.columns]
+    one = latest_of_each(decisions.select("source_id", "target_id", *[c for c in order if c != "target_id"]), order)
+    d = last_targets(one).select(F.col("source_id").alias("__from"), F.col("last_id").alias("__to")) if follow else one.select(F.col("source_id").alias("__from"), F.col("target_id").alias("__to"))
     return rows.join(d, F.col("seller_id") == F.col("__from"), "left").withColumn("seller_id", F.coalesce("__to", "seller_id")).drop("__from", "__to")
 
 
 def rollback(rows: DataFrame, links: DataFrame, table_name: str) -> DataFrame:
-    """rows that the links moved and that still point at the target go back to their source; all others stay."""
-    back = links.filter(F.col("table_name") == table_name).select(F.col("row_id").alias("__row"), F.col("source_id").alias("__source"), F.col("target_id").alias("__target"))
+    """rows that the links moved and that still point at the target go back to their source; all others stay. Of several links of a row to one target the last decision's holds."""
+    own = links.filter(F.col("table_name") == table_name)
+    back = own.groupBy(F.col("row_id").alias("__row"), F.col("target_id").alias("__target")).agg(F.max_by("source_id", F.struct("decision_id", "source_id")).alias("__source"))
     j = rows.join(back, (F.col("id") == F.col("__row")) & (F.col("seller_id") == F.col("__target")), "left")
     return j.withColumn("seller_id", F.coalesce("__source", "seller_id")).drop("__row", "__source", "__target")
 
