@@ -87,3 +87,19 @@ def test_similar_sets(spark, block):
     want = {(i, j, len(a), len(b), len(a & b)) for i, a in names for j, b in names if i < j and 5 * len(a & b) >= 3 * len(a | b)}
     got = [tuple(r) for r in pairs.collect()]
     assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_numbering_plans(spark):
+    from pyspark.sql import functions as F
+
+    from heddle.operators import extraction as E
+
+    cases = [
+        ("+1 (415) 555-2671", None, "+14155552671"), ("1-415-555-2671", "US", "+14155552671"), ("(415) 555-2671", "US", "+14155552671"), ("011 44 20 7946 0958", "US", "+442079460958"), ("555-2671", "US", None),
+        ("+44 (0)20 7946 0958", None, "+442079460958"), ("020 7946 0958", "GB", "+442079460958"), ("0044 20 7946 0958", "DE", "+442079460958"), ("06 698 81", "IT", "+390669881"), ("8 (495) 123-45-67", "RU", "+74951234567"),
+        ("+852 2123 4567", None, "+85221234567"), ("+85 221", None, None), ("+999 1234567", None, None), ("030 12345", "DE", "+493012345"), ("12345", "XX", None), (None, "US", None), ("", "US", None), ("12+34", "US", None), ("+8613800138000", "CN", "+8613800138000"),
+    ]
+    df = spark.createDataFrame([c[:2] for c in cases], "raw string, region string")
+    got = [r.x for r in df.select(E.planned_phone(F.col("raw"), F.col("region")).alias("x")).collect()]
+    assert got == [c[2] for c in cases]
+    assert set(E.REGIONS.values()) <= set(E.NUMBERING)
