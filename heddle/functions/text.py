@@ -162,13 +162,20 @@ def bigram_dice(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Best Ratcliff-Obershelp similarity of a name of a and one of b (arrays); after blocking only."""
+    """Ratcliff-Obershelp similarity of two texts; for what similarity_bound leaves."""
     from difflib import SequenceMatcher
 
-    def best(xs, ys):
-        return max((SequenceMatcher(None, x, y).ratio() for x in xs if x for y in ys if y), default=0.0)
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
-    return pd.Series([best(x, y) for x, y in zip(a, b, strict=True)])
+
+def similarity_bound(a: Column, b: Column) -> Column:
+    """What sequence_ratio is at most: matching blocks have no more of a letter than either text has."""
+    times = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    letters = F.filter(F.array_distinct(F.split(a, "")), lambda c: c != "")
+    common = F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+    both = F.length(a) + F.length(b)
+    short = 2.0 * F.least(F.length(a), F.length(b)) / both  # the lengths alone, before letters are counted
+    return F.when(both == 0, 0.0).when(short < 0.5, short).otherwise(2.0 * common / both)
 
 
 def context_window(text: Column, needle: Column, radius: int = 90) -> Column:

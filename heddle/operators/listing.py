@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.operators import relational as R
 from heddle.operators import search as S
 from heddle.operators.lineage import cut
+from heddle.sources.export import EXPORT_ROWS, csv_cell
 
 
 @dataclass(frozen=True)
@@ -223,13 +224,61 @@ def api_shape(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c).alias(camel(c)) for c in rows.columns])
 
 
-def reveal(contacts: DataFrame, key: Column, aad: Column, actor: str, at: Column) -> tuple[DataFrame, DataFrame]:
-    """(id, value) of sealed contacts (id, ciphertext), and an audit event for each that could be opened."""
+def reveal(contacts: DataFrame, suppressions: DataFrame, key: Column, actor: str, reason: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(opened, audit): id, contact_type and value of the contacts that may be opened, and an audit event for each that could be.
+
+    contacts: what was asked for, with ciphertext. Only active contacts that nobody
+    suppresses at that time are opened, so a suppressed one is as if it weren't there. A
+    value opens only under its own contact's id, seller and type.
+    """
     from heddle.functions.ids import open_sealed, uuid7
 
-    opened = contacts.select("id", open_sealed(F.col("ciphertext"), key, aad).alias("value"))
+    may = visible_contacts(contacts, suppressions, at)
+    opened = may.withColumn("value", open_sealed(F.col("ciphertext"), key, contact_aad()))
     event = F.concat_ws(":", F.lit("reveal"), F.lit(actor), F.col("id"), at.cast("string"))
     audit = opened.filter("value IS NOT NULL").select(
-        uuid7("audit", event).alias("id"), F.lit("contact_revealed").alias("event_type"), F.lit("contact").alias("entity_type"), F.col("id").cast("string").alias("entity_id"), F.lit(actor).alias("actor_id"), at.alias("created_at")
-    )
-    return opened, audit
+        uuid7("audit", event).alias("id"), F.lit("contact_revealed").alias("event_type"), F.lit("contact").alias("entity_type"), F.col("id").cast("string").alias("entity_id"),
+        F.lit(actor).alias("actor_id"), F.col("hash").alias("old_value_hash"), F.lit(reason).alias("reason"), at.alias("created_at"),
+    )
+    return opened.select("id", "contact_type", "value"), audit
+
+
+def contact_aad() -> Column:
+    """What a contact's sealed value is bound to."""
+    return F.concat_ws(":", F.lit("contact"), F.col("id"), F.col("seller_id"), F.col("contact_type"))
+
+
+def seller_detail(rel: dict[str, DataFrame], seller, as_of: Column, most: int = R.LIMIT_MAX) -> DataFrame:
+    """Everything about one seller: part (seller, alias, contact, evidence, duplicate), rank, id, label.
+
+    Each part has its own order and at most most rows. Contacts are those that nobody suppresses.
+    """
+    mine = lambda name: rel[name].filter(F.col("seller_id") == seller)
+    text = lambda c: F.col(c).cast("string")
+    ends = rel["decisions"].filter((F.col("candidate_id") == seller) | (F.col("matched_id") == seller))
+    parts = [
+        ("seller", rel["sellers"].filter(F.col("id") == seller).select("id", text("name").alias("label"), F.lit(0).alias("o")), [F.asc("o")]),
+        ("alias", mine("aliases").select("id", text("alias").alias("label"), F.col("alias").alias("o")), [F.asc("o")]),
+        ("contact", visible_contacts(mine("contacts"), rel["suppressions"], as_of).select("id", text("contact_type").alias("label"), F.col("last_seen").alias("o")), [F.desc("o")]),
+        ("evidence", mine("sources").select("id", text("source_type").alias("label"), F.col("first_seen_at").alias("o")), [F.desc("o")]),
+        ("duplicate", ends.select("id", text("status").alias("label"), F.col("score").alias("o")), [F.desc("o")]),
+    ]
+    out = None
+    for name, rows, order in parts:
+        top = rows.orderBy(*order, F.asc("id")).limit(most)
+        ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order, F.asc("id"))))  # at most most rows
+        ranked = ranked.select(F.lit(name).alias("part"), "rank", "id", "label")
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
+def export_sellers(rel: dict[str, DataFrame], f: Facets, columns: list[str], rows: int = EXPORT_ROWS) -> DataFrame:
+    """(place, line) of the CSV rows of the sellers that the facets leave, in the listing's order, at most rows; formula-safe."""
+    order = SORTS.get(f.sort, lambda: [F.desc("last_seen_at")])()
+    s = seller_facets(rel, f)
+    if f.sort == "most_contacts":
+        n = rel["contacts"].filter("status = 'active'").groupBy(F.col("seller_id").alias("__s")).agg(F.count("*").alias("n_contacts"))
+        s = s.join(n, F.col("id") == F.col("__s"), "left")
+    top = s.orderBy(*order, F.asc("id")).limit(rows)
+    place = F.row_number().over(Window.orderBy(*order, F.asc("id")))  # at most rows
+    return top.select(place.alias("place"), F.concat_ws(",", *[csv_cell(F.col(c)) for c in columns]).alias("line"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.functions.text import bigram_dice, sequence_ratio
+from heddle.functions.text import bigram_dice, sequence_ratio, similarity_bound
 from heddle.operators.linking import last_targets, latest_of_each
 
 AUTO_MERGE, REVIEW, URGENT = 92, 70, 85
@@ -63,7 +63,10 @@ def score(pairs: DataFrame, new: DataFrame, known: DataFrame, scorer: str = "dic
     part = lambda cond, code, points: F.when(cond, F.struct(F.lit(code).alias("code"), (points if isinstance(points, Column) else F.lit(points)).cast("int").alias("points")))
     none = F.array().cast("array<string>")
     names = lambda x: F.array_union(F.array(F.col(f"{x}_name")), F.transform(F.coalesce(F.col(f"{x}_aliases"), none), _norm) if "aliases" in columns else none)
-    j = j.withColumn("__sim", sequence_ratio(names("a"), names("b")) if scorer == "sequence" else bigram_dice(A("name"), B("name")))
+    if scorer == "sequence":
+        j = _best_ratio(j.withColumns({"__x": names("a"), "__y": names("b")}), FUZZY[-1][0]).drop("__x", "__y")
+    else:
+        j = j.withColumn("__sim", bigram_dice(A("name"), B("name")))
     exact = both("name") & (A("name") == B("name"))
     parts = [part(both("domain") & (A("domain") == B("domain")), "official_domain_match", 52), part(both("domain") & (A("domain") != B("domain")), "official_domain_conflict", -30), part(exact, "normalized_name_exact", 40)]
     taken = exact
@@ -88,6 +91,20 @@ def score(pairs: DataFrame, new: DataFrame, known: DataFrame, scorer: str = "dic
     return j.select("candidate_id", "existing_id", F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int").alias("score"), "components")
 
 
+def _best_ratio(pairs: DataFrame, least: float) -> DataFrame:
+    """pairs with __sim, the best sequence_ratio of a name of __x and one of __y where it reaches least, else 0.
+
+    Bounds by length and letters, in the JVM, leave few pairs of names; each distinct one is
+    compared once.
+    """
+    names = pairs.select("candidate_id", "existing_id", F.explode(F.array_distinct("__x")).alias("x"), F.col("__y"))
+    names = names.select("candidate_id", "existing_id", "x", F.explode(F.array_distinct("__y")).alias("y")).filter("x <> '' AND y <> ''")
+    close = names.filter(similarity_bound(F.col("x"), F.col("y")) >= least - 1e-9)
+    ratio = close.select("x", "y").distinct().withColumn("r", F.when(F.col("x") == F.col("y"), 1.0).otherwise(sequence_ratio("x", "y")))
+    best_ = close.join(ratio, ["x", "y"]).groupBy("candidate_id", "existing_id").agg(F.max("r").alias("__sim"))
+    return pairs.join(best_, ["candidate_id", "existing_id"], "left").withColumn("__sim", F.coalesce("__sim", F.lit(0.0)))
+
+
 def best(scored: DataFrame) -> DataFrame:
     """Each candidate's best match: highest score, then smallest id."""
     top = scored.groupBy("candidate_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "existing_id", "score")).alias("b"))

@@ -110,3 +110,4 @@ def phones_planned(spark, d):
     """Customers' numbers by the numbering plans of their countries."""
     rows = spark.sql(_NUMBERS, customer=table(spark, d, "customer"))
     return rows.select("id", E.planned_phone(F.col("raw"), F.col("region")).alias("phone"))
+

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from heddle.plans import catalogue, linking, marketplace, records, relational  # noqa: F401
+    from heddle.plans import catalogue, linking, marketplace, operations, records, relational  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from heddle.functions.ids import uuid7
 from heddle.operators import resolution as X
 from heddle.operators.upsert import classify_ingest, insert_only, upsert
 from heddle.sources import batches as B
@@ -155,17 +156,35 @@ def _write_targets(store: Store, fresh: DataFrame, version: int, resolve: bool)
 
 
 def _resolved(store: Store, fresh: DataFrame, version: int) -> DataFrame | None:
-    """Merges (source_id, target_id) of new sellers into known ones, stored with all decisions."""
+    """Merges (source_id, target_id) of new sellers into known ones; all decisions, redirects and the links that are moved are stored.
+
+    Names, domains, places and contact hashes count. What a decision needs to be taken back
+    is written before anything moves: merge_links has each row that came with a merged
+    seller, by table and id (operators.resolution.rollback), redirects the pair itself.
+    """
     known = store.before("sellers", version)
     if known is None:
         return None
     who = lambda df: df.select("id", F.col("normalized_name").alias("name"), F.col("official_domain").alias("domain"), F.col("country_code").alias("country"), "city", F.coalesce("status", F.lit("active")).alias("status"))
+    of = lambda rows: rows.groupBy(F.col("seller_id").alias("__s")).agg(F.collect_set("normalized_hash").alias("hashes"))
+    hashed = lambda df, rows: df.join(of(rows), F.col("id") == F.col("__s"), "left").drop("__s")
     new = who(B.fan_out(fresh, "sellers")).dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti")
     old = who(known)
-    best = X.best(X.score(X.candidates(new, old), new.drop("status"), old.drop("status")))
+    pairs = X.candidates(new, old)
+    contacts = store.before("contacts", version)
+    if contacts is not None:
+        met = pairs.select(F.col("existing_id").alias("__e")).distinct()
+        contacts = contacts.join(met, F.col("seller_id") == F.col("__e"), "left_semi")
+        new, old = hashed(new, B.fan_out(fresh, "contacts")), hashed(old, contacts)
+    best = X.best(X.score(pairs, new.drop("status"), old.drop("status")))
     made = best.select(F.col("candidate_id").alias("source_id"), F.col("existing_id").alias("target_id"), "score", X.action(F.col("score")).alias("action"))
+    made = made.withColumn("id", uuid7("entity-resolution-decision", F.concat_ws(":", "source_id", "target_id")))
     store.write("decisions", made, version)
-    return store.spark.read.schema(made.schema).parquet(f"{store.path}/decisions/v{version}").filter("action = 'auto_merge'")
+    sure = store.spark.read.schema(made.schema).parquet(f"{store.path}/decisions/v{version}").filter("action = 'auto_merge'")
+    moved = {name: B.fan_out(fresh, name).select("id", "seller_id") for name in TARGETS if "seller_id" in B.ARRAYS[name]}
+    store.write("merge_links", X.merge_links(moved, sure), version)
+    store.write("redirects", sure.select("source_id", "target_id", F.col("id").alias("decision_id"), F.lit("active").alias("status")), version)
+    return sure
 
 
 def _combine(keys: list[str], policy, columns: list[str], sticky: dict[str, str]) -> Callable[[DataFrame, DataFrame], DataFrame]:

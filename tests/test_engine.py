@@ -236,6 +236,27 @@ def test_new_sellers_are_resolved(spark, tmp_path):
     assert {(r.source_id, r.target_id, r.action) for r in store.log("decisions").collect()} == {(uid(2), uid(1), "auto_merge"), (uid(3), uid(1), "no_merge")}
 
 
+def test_merges_at_ingest_by_contacts_can_be_rolled_back(spark, tmp_path):
+    store = ingest.Store(spark, str(tmp_path / "store"), buckets=4)
+    shared_ = [contact(20 + i, seller_id=uid(1), normalized_hash=f"h{i}") for i in range(3)]
+    ingest.apply_batch(store, requests(spark, batch(1, sellers=[seller(1, "acme tools", country_code="CN")], contacts=shared_)), 0, resolve=True)
+    again = [contact(30 + i, seller_id=uid(2), normalized_hash=f"h{i}") for i in range(3)]
+    ingest.apply_batch(store, requests(spark, batch(2, sellers=[seller(2, "acme tools", country_code="CN"), seller(3, "acme tools", country_code="CN")], contacts=[*again, contact(40, seller_id=uid(3), normalized_hash="other")])), 1, resolve=True)
+    made = {r.source_id: (r.target_id, r.score, r.action) for r in store.log("decisions").collect()}
+    assert made == {uid(2): (uid(1), 91, "review_queue"), uid(3): (uid(1), 46, "no_merge")}  # 40 + 45 + 6, without a domain no more
+    same = seller(4, "acme tools", country_code="CN", city="sz")
+    ingest.apply_batch(store, requests(spark, batch(3, sellers=[seller(1, "acme tools", country_code="CN", city="sz")])), 2, resolve=True)
+    ingest.apply_batch(store, requests(spark, batch(4, sellers=[same], contacts=[contact(50 + i, seller_id=uid(4), normalized_hash=f"h{i}") for i in range(3)])), 3, resolve=True)
+    merged = {r.source_id: r.target_id for r in store.log("redirects").collect()}
+    assert merged == {uid(4): uid(1)}
+    links = store.log("merge_links")
+    assert sorted(r.row_id for r in links.collect()) == [uid(50), uid(51), uid(52)]
+    contacts = store.read("contacts")
+    assert {r.seller_id for r in contacts.filter(F.col("id").isin(uid(50), uid(51))).collect()} == {uid(1)}
+    back = X.rollback(contacts, links, "contacts")
+    assert {r.id: r.seller_id for r in back.collect()}[uid(50)] == uid(4) and back.count() == contacts.count()
+
+
 def test_signed_requests(spark, tmp_path):
     import hashlib
     import hmac

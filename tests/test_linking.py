@@ -103,3 +103,25 @@ def test_numbering_plans(spark):
     got = [r.x for r in df.select(E.planned_phone(F.col("raw"), F.col("region")).alias("x")).collect()]
     assert got == [c[2] for c in cases]
     assert set(E.REGIONS.values()) <= set(E.NUMBERING)
+
+
+def test_best_ratio_filters_and_verifies(spark):
+    """Bounds leave few pairs of names, and none that matters is lost."""
+    from difflib import SequenceMatcher
+
+    from pyspark.sql import functions as F
+
+    from heddle.functions import text as T
+
+    rng = random.Random(2)
+    make = lambda: "".join(rng.choice("abcdef ") for _ in range(rng.randrange(0, 14)))
+    base = [make() for _ in range(30)]
+    near = lambda s: s[: rng.randrange(len(s) + 1)] + rng.choice("abz") + s[rng.randrange(len(s) + 1) :]
+    rows = [(i, 1000 + i, [rng.choice(base), ""], [near(rng.choice(base)), rng.choice(base)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "candidate_id long, existing_id long, __x array<string>, __y array<string>")
+    got = {r.candidate_id: r["__sim"] for r in X._best_ratio(df, 0.78).collect()}
+    want = {i: max((SequenceMatcher(None, a, b).ratio() for a in x if a for b in y if b), default=0.0) for i, _, x, y in rows}
+    assert len(got) == 600 and all(abs(got[i] - w) < 1e-12 if w >= 0.78 else got[i] <= w + 1e-12 for i, w in want.items()) and sum(w >= 0.78 for w in want.values()) > 20
+    pairs = spark.createDataFrame([(a, b) for _, _, x, y in rows for a in x for b in y], "a string, b string").select("a", "b", T.similarity_bound(F.col("a"), F.col("b")).alias("m")).collect()
+    assert all(p.m >= SequenceMatcher(None, p.a, p.b).ratio() - 1e-12 for p in pairs if p.a or p.b)
+    assert sum(p.m >= 0.78 for p in pairs) < 0.5 * len(pairs)
