@@ -66,7 +66,7 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
 def seal(value: Column, key: Column, nonce: Column, aad: Column, version: str = "1") -> Column:
     """AES-256-GCM envelope prefix:version:nonce:ciphertext, both in URL-safe base64 without padding. nonce: 12 bytes, new for each value."""
     raw = F.aes_encrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), nonce, aad)
-    b64 = lambda b: F.translate(F.rtrim(F.base64(b), F.lit("=")), "+/", "-_")
+    b64 = lambda b: F.translate(F.rtrim(F.base64(b), F.lit("=")), "+/\r\n", "-_")  # base64 breaks long lines
     return F.concat_ws(":", F.lit("si-aesgcm"), F.lit("v1"), F.lit(version), b64(F.substring(raw, 1, 12)), b64(F.substring(raw, 13, 1 << 30)))
 
 

@@ -67,3 +67,13 @@ def rates(events: DataFrame, key: str, good: list[str], found: list[str], bad: l
     share = lambda states: F.count_if(F.col("state").isin(states)) / n
     per = F.try_divide(F.count_if(F.col("state").isin(found)), F.count_if(F.col("state").isin(good)))
     return events.groupBy(key).agg(n.alias("n"), share(good).alias("success_rate"), share(found).alias("find_rate"), share(bad).alias("error_rate"), per.alias("yield"))
+
+
+def silences(events: DataFrame, seconds: int, done: list[str]) -> DataFrame:
+    """run_id, state, since, failed_at of runs that said nothing for so many seconds after an event that didn't end them, as far as the log reaches."""
+    w = Window.partitionBy("run_id").orderBy("happened", "id")
+    until = F.broadcast(events.agg(F.max("happened").alias("__until")))  # one row
+    e = events.withColumn("next", F.lead("happened").over(w)).join(until)
+    failed = F.col("happened") + F.expr(f"INTERVAL {int(seconds)} SECONDS")
+    quiet = F.coalesce("next", "__until") > failed
+    return e.filter(~F.col("state").isin(done) & quiet).select("run_id", "state", F.col("happened").alias("since"), failed.alias("failed_at"))

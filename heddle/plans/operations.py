@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heddle.functions import ids
+from heddle.operators import health as H
 from heddle.operators import listing as L
 from heddle.plans.registry import query
 from heddle.plans.relational import VISIBLE, Relations, as_of
@@ -72,3 +73,12 @@ _LINE = " || ',' || ".join(_cell(c) for c in _EXPORTED)
 def sellers_exported(spark, d):
     """The listing's facets and order as rows of a CSV file, with the export's limit."""
     return L.export_sellers(Relations(spark, d), L.Facets(manufacturer=15), _EXPORTED)
+
+
+@query(
+    "runs_silent",
+    oracle("""WITH e AS (SELECT *, lead(happened) OVER (PARTITION BY run_id ORDER BY happened, id) AS next, max(happened) OVER () AS until FROM log)
+    SELECT run_id, state, happened AS since, happened + INTERVAL 2 DAY AS failed_at FROM e WHERE state <> 'purchase' AND coalesce(next, until) > happened + INTERVAL 2 DAY"""),
+)
+def runs_silent(spark, d):
+    return H.silences(relation(spark, d, "log"), 2 * 86400, ["purchase"])

@@ -247,7 +247,7 @@ def sound(rows: DataFrame) -> DataFrame:
 
 
 def write_spool(batches: DataFrame, path: str) -> None:
-    out = to_json_line(batches).select(F.sha2("body", 256).alias("body_sha256"), F.base64(F.encode("body", "UTF-8")).alias("body_base64"), F.lit(0).alias("attempts"))
+    out = to_json_line(batches).select(F.sha2("body", 256).alias("body_sha256"), F.translate(F.base64(F.encode("body", "UTF-8")), "\r\n", "").alias("body_base64"), F.lit(0).alias("attempts"))
     out.select(F.concat(F.substring("body_sha256", 1, 16), F.lit(".json")).alias("file_name"), "body_base64", "body_sha256", "attempts").write.mode("append").json(path)
 
 

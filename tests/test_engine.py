@@ -52,6 +52,18 @@ def test_ids(spark):
     assert one(spark, ids.open_sealed(sealed, key, F.lit("b")), "secret") is None
 
 
+def test_sealed_values_are_aes_256_gcm(spark):
+    """The published test vector of AES-256-GCM with 96 bits of nonce and additional data."""
+    import base64
+
+    raw = lambda b: base64.urlsafe_b64encode(bytes.fromhex(b)).rstrip(b"=").decode()
+    key, nonce, aad = "feffe9928665731c6d6a8f9467308308" * 2, "cafebabefacedbaddecaf888", "feedfacedeadbeeffeedfacedeadbeefabaddad2"
+    plain = "d9313225f88406e5a55909c5aff5269a86a7a9531534f7da2e4c303d8a318a721c3c0c95956809532fcf0e2449a6b525b16aedf5aa0de657ba637b39"
+    sealed = "522dc1f099567d07f47f37a32a84427d643a8cdcbfe5c0c97598a2bd2555d1aa8cb08e48590dbb3da7b08b1056828838c5f61e6393ba7a0abcc9f662" + "76fc6ece0f4e1768cddf8853bb2d551b"
+    hexed = lambda x: F.unhex(F.lit(x))
+    assert one(spark, ids.seal(F.unhex("c0"), hexed(key), hexed(nonce), hexed(aad)), plain) == f"si-aesgcm:v1:1:{raw(nonce)}:{raw(sealed)}"
+
+
 PAGE = """<html><head><title>Acme <b>Export</b></title><style>x</style><script>hidden@evil.com</script></head><body>
 <a href="mailto:sales@acme-export.com">Email our sales team</a> support [at] acme-export [dot] com
 <a href="tel:+14155552671">Call phone</a> <a href="https://wa.me/14155552672">WhatsApp</a> WhatsApp +1 415 555 2672
