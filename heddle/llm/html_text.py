@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 #: Elements that don't end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no markup and never text of the page.
-RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements whose content is never text of the page: no markup, or not shown.
+RAW = frozenset("script style textarea title iframe noembed noframes noscript template svg xmp".split())
 #: Tags that end an open element of the same set.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -99,6 +99,8 @@ def parse(page: str, known: frozenset | None = None) -> list[Block]:
                 in_link = False
             continue
         if tag in RAW:
+            if tag == "svg" and (m[3] or m[6] or "").endswith("/"):
+                continue
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue

@@ -100,3 +100,8 @@ def test_deep_and_long_pages():
     (block,) = X.parse(long_)
     assert len(block.text) == 2_000_007 and "notice:0" in X.text_feats(block, 0, 1)
     assert time.time() - began < 20
+
+
+def test_what_is_not_shown_is_no_text():
+    page = "<body><noscript><p>Turn scripts on.</p></noscript><p>One.</p><svg viewBox='0 0 1 1'><text>drawn</text></svg><svg/><template><p>later</p></template><p>Two.</p><noscript>open"
+    assert [b.text for b in X.parse(page)] == ["One.", "Two."]
