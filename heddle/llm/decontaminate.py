@@ -65,7 +65,11 @@ class Words:
 
 @dataclass
 class Patterns:
-    """Windows of one length: shift table (ascending keys and their shifts) and buckets (key, first and last window), windows ascending by bucket and hash."""
+    """Windows of one length: shift table (ascending keys and their shifts) and buckets (key, first and last window).
+
+    Windows (whole, at) are distinct and ascend by bucket and hash. The items that have
+    window j are item[owner[j] : owner[j + 1]], so a window that all items share is compared once.
+    """
 
     length: int
     block: int
@@ -75,6 +79,7 @@ class Patterns:
     first: np.ndarray
     whole: np.ndarray
     at: np.ndarray
+    owner: np.ndarray
     item: np.ndarray
 
     @staticmethod
@@ -88,11 +93,19 @@ class Patterns:
         suffix, whole = words.grams(starts + length - block, block), words.grams(starts, length)
         order = np.lexsort((item, whole, suffix))
         suffix, whole, starts, item = suffix[order], whole[order], starts[order], item[order]
-        bucket, first = np.unique(suffix, return_index=True)
-        return Patterns(length, block, key, shift, bucket, np.append(first, len(suffix)), whole, starts.astype(np.int32), item.astype(np.int32))
+        new = np.ones(len(suffix), bool)
+        new[1:] = (suffix[1:] != suffix[:-1]) | (whole[1:] != whole[:-1])
+        for i in np.flatnonzero(~new).tolist():
+            new[i] = words.content(int(starts[i]), length) != words.content(int(starts[i - 1]), length)
+        group = np.cumsum(new) - 1
+        other = new.copy()
+        other[1:] |= item[1:] != item[:-1]  # an item once for each window
+        owner = np.append(np.flatnonzero(new[other]), other.sum())
+        bucket, first = np.unique(suffix[new], return_index=True)
+        return Patterns(length, block, key, shift, bucket, np.append(first, group[-1] + 1 if len(group) else 0), whole[new], starts[new].astype(np.int32), owner, item[other].astype(np.int32))
 
     def nbytes(self) -> int:
-        return sum(getattr(self, c).nbytes for c in ("key", "shift", "bucket", "first", "whole", "at", "item"))
+        return sum(getattr(self, c).nbytes for c in ("key", "shift", "bucket", "first", "whole", "at", "owner", "item"))
 
     def candidates(self, text: Words, lane: int = LANE) -> np.ndarray:
         """Ends (last words) of windows whose last block ends a pattern; others are skipped by the shift table."""
@@ -116,7 +129,7 @@ class Patterns:
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def search(self, own: Words, text: Words) -> Iterator[tuple[int, int]]:
-        """(first word, item) of each occurrence. own: the words of the items."""
+        """(first word, window) of each occurrence. own: the words of the items."""
         m, b = self.length, self.block
         end = self.candidates(text)
         if not len(end):
@@ -134,7 +147,7 @@ class Patterns:
             while j < last[i] and self.whole[j] == wanted[i]:
                 there = there or text.content(at, m)
                 if own.content(int(self.at[j]), m) == there:
-                    yield at, int(self.item[j])
+                    yield at, j
                 j += 1
 
 
@@ -166,12 +179,16 @@ class Pass:
         while first < len(texts):
             stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TOGETHER, "right")))
             text = Words(texts[first:stop])
-            for g in self.groups:
-                for at, item in g.search(self.words, text):
+            windows: dict[int, set[tuple[int, int]]] = {}
+            for k, g in enumerate(self.groups):
+                for at, j in g.search(self.words, text):
                     i = int(np.searchsorted(text.off, at, "right")) - 1
                     a = at - int(text.off[i])
                     out[first + i][0].append((a, a + g.length))
-                    out[first + i][1].add(self.names[item])
+                    windows.setdefault(i, set()).add((k, j))
+            for i, found in windows.items():
+                items = np.unique(np.concatenate([self.groups[k].item[self.groups[k].owner[j] : self.groups[k].owner[j + 1]] for k, j in found]))
+                out[first + i][1].update(self.names[x] for x in items.tolist())
             first = stop
         return out
 

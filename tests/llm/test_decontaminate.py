@@ -115,3 +115,27 @@ def test_empty_tables(spark):
     assert D.decontaminate(d.limit(0), b).count() == 0
     row = D.decontaminate(d, b.limit(0)).first()
     assert (row.n_words, row.n_hit, row.contaminated, row.text) == (2, 0, False, "a b")
+
+
+def test_windows_that_all_items_share_are_compared_once():
+    """One instruction before every item: a text that has it meets one window, and gets all items."""
+    words = lambda t: t.split()
+    template = [f"t{i}".encode() for i in range(15)]
+    items = [(str(k), [*template, *[f"i{k}w{j}".encode() for j in range(4)]]) for k in range(3000)]
+    found = D.Pass(items)
+    count = 0
+    plain = D.Words.content
+
+    def counted(self, at, n):
+        nonlocal count
+        count += 1
+        return plain(self, at, n)
+
+    D.Words.content = counted
+    try:
+        texts = [[b"before", *template, b"after"], [*template[:13]], [*template[:12]], [*template, *[f"i7w{j}".encode() for j in range(4)]]]
+        got = found.search(texts)
+    finally:
+        D.Words.content = plain
+    assert count < 100
+    assert [len(names) for _, names in got] == [3000, 3000, 0, 3000] and sorted(D.merged(got[0][0])) == [(1, 16)] and D.merged(got[3][0]) == [(0, 19)]
