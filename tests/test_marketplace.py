@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from heddle.operators import marketplace as M
 
 SEARCH = "<div data-asin='B012345678'><h2><a href='/x/dp/B012345678/ref=1'><span>First</span></a></h2></div><div data-asin='B012345678'></div><div data-asin='bad'></div><div data-asin='B000000002'><a href='/gp/product/B000000002?x'>y</a><h2>Second</h2></div>"
-PRODUCT = "<input id=ASIN value=B012345678><span id=productTitle> A  title </span><a id=bylineInfo>Visit the FixtureBrand Store</a><a id=sellerProfileTriggerId href='/sp?seller=a1fixture123'>Fixture Seller</a><div id=nav-subnav><a>Tools</a></div>"
-SELLER = "<h1 id=sellerName>Shop</h1><div id=page-section-detail-seller-info>Business Name: Fixture Ltd Business Address: 1 Road, Dhaka, Bangladesh Company capability: OEM factory</div><a href='https://facebook.com/x'>Website</a><a href='https://www.fixture.com.bd/home'>Official website</a><a href='/stores/page/1'>Store</a>"
+PRODUCT = "<input id=ASIN value=B012345678><span id=productTitle> A  title </span><a id=bylineInfo>Visit the Maplewood Store</a><a id=sellerProfileTriggerId href='/sp?seller=a2maple77z9'>Fixture Seller</a><div id=nav-subnav><a>Tools</a></div>"
+SELLER = "<h1 id=sellerName>Shop</h1><div id=page-section-detail-seller-info>Business Name: Maplewood Goods Ltd Business Address: 1 Road, Dhaka, Bangladesh Company capability: OEM factory</div><a href='https://facebook.com/x'>Website</a><a href='https://www.maplewood-goods.example/home'>Official website</a><a href='/stores/page/1'>Store</a>"
 
 
 def pages(spark, html, url):
@@ -17,13 +17,13 @@ def test_pages(spark):
     got = M.search_results(pages(spark, SEARCH, "https://www.amazon.com/s?k=x")).orderBy("position").collect()
     assert [(r.asin, r.product_url, r.title) for r in got] == [("B012345678", "https://www.amazon.com/dp/B012345678", "First"), ("B000000002", "https://www.amazon.com/dp/B000000002", "Second")]
     p = M.products(pages(spark, PRODUCT, "https://www.amazon.com/dp/B012345678")).filter("page_id = 1").first()
-    assert (p.asin, p.title, p.brand, p.seller, p.merchant_token, p.seller_profile_url, p.category) == ("B012345678", "A title", "FixtureBrand", "Fixture Seller", "A1FIXTURE123", "https://www.amazon.com/sp?seller=A1FIXTURE123", "Tools")
-    found = M.sellers(pages(spark, SELLER, "https://www.amazon.com/sp?seller=A1FIXTURE123"))
+    assert (p.asin, p.title, p.brand, p.seller, p.merchant_token, p.seller_profile_url, p.category) == ("B012345678", "A title", "Maplewood", "Fixture Seller", "A2MAPLE77Z9", "https://www.amazon.com/sp?seller=A2MAPLE77Z9", "Tools")
+    found = M.sellers(pages(spark, SELLER, "https://www.amazon.com/sp?seller=A2MAPLE77Z9"))
     s = found.filter("page_id = 1").first()
-    assert (s.display_name, s.business_name, s.country_code, s.official_website_url, s.manufacturer_score, s.trader_score) == ("Shop", "Fixture Ltd", "BD", "https://fixture.com.bd/", 30, 0)
-    assert found.filter(M.seller_filter(["BD"], location=True, website=True, name="fixture", business="manufacturer")).count() == 1
+    assert (s.display_name, s.business_name, s.country_code, s.official_website_url, s.manufacturer_score, s.trader_score) == ("Shop", "Maplewood Goods Ltd", "BD", "https://maplewood-goods.example/", 30, 0)
+    assert found.filter(M.seller_filter(["BD"], location=True, website=True, name="maplewood", business="manufacturer")).count() == 1
     r = M.seller_records(found.filter("page_id = 1"), F.lit("2024")).first()
-    assert (r.normalized_name, r.official_domain, r.quality_score) == ("fixture", "fixture.com.bd", 100)
+    assert (r.normalized_name, r.official_domain, r.quality_score) == ("maplewood goods", "maplewood-goods.example", 100)
 
 
 def test_urls_and_cooldowns(spark):
