@@ -205,13 +205,17 @@ def checked(requests: DataFrame) -> DataFrame:
     return r.withColumn("errors", errors).withColumn("writes", writes).drop("__v", "__top", *[f"__{a}" for a in FIELDS])
 
 
+def parsed(sound: DataFrame) -> DataFrame:
+    """Requests whose bodies keep the contract, with their batch's fields, idempotency_key run:number and body_sha256, the digest of the whole body."""
+    rows = sound.withColumn("__b", F.from_json("body", BATCH))
+    rows = rows.select(*[x for x in rows.columns if x != "__b"], "__b.*")
+    return rows.withColumn("idempotency_key", F.concat_ws(":", "crawl_run_id", "batch_number")).withColumn("body_sha256", F.sha2("body", 256))
+
+
 def validated(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): the accepted with their batch's fields, idempotency_key run:number and body_sha256, the digest of the whole body; the rejected with their errors."""
+    """(accepted, rejected): the accepted as parsed, the rejected with their errors."""
     c = checked(requests)
-    good = c.filter(F.size("errors") == 0).drop("errors").withColumn("__b", F.from_json("body", BATCH))
-    good = good.select(*[x for x in good.columns if x != "__b"], "__b.*")
-    good = good.withColumn("idempotency_key", F.concat_ws(":", "crawl_run_id", "batch_number")).withColumn("body_sha256", F.sha2("body", 256))
-    return good, c.filter(F.size("errors") > 0)
+    return parsed(c.filter(F.size("errors") == 0).drop("errors")), c.filter(F.size("errors") > 0)
 
 
 def fan_out(accepted: DataFrame, array: str) -> DataFrame:

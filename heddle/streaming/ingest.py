@@ -239,7 +239,7 @@ def apply_admitted(store: Store, requests: DataFrame, version: int, resolve: boo
     store.write("rejects", requests.filter(bad).select("body", "errors"), version)
     if "nonce" in requests.columns:
         store.write("refused", requests.filter(~bad & ~F.col("outcome").isin("new", "duplicate", "conflict")).select("nonce", F.col("outcome").alias("refused")), version)
-    fresh = B.validated(requests.filter("outcome = 'new'").drop("errors", "writes", "idempotency_key", "body_sha256", "outcome"))[0].persist()
+    fresh = B.parsed(requests.filter("outcome = 'new'").drop("errors", "idempotency_key", "body_sha256", "outcome")).persist()
     _write_targets(store, fresh, version, resolve)
     store.write("keys", fresh.select("idempotency_key", "body_sha256"), version)  # a record; the stream itself never reads it
     fresh.unpersist()

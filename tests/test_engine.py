@@ -287,7 +287,7 @@ def test_signed_requests(spark, tmp_path):
     assert [r.refused for r in store.read("refused").collect()] == ["replayed_nonce"] and store.read("receipts").count() == 0
 
 
-def test_streaming_ingest_is_idempotent(spark, tmp_path):
+def test_streaming_ingest_is_idempotent(spark, one_task, tmp_path):
     src, dst, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
     (tmp_path / "in").mkdir()
 
@@ -310,7 +310,7 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     assert {r.receipt for r in spark.read.parquet(f"{dst}/receipts/v1").collect()} == {"new", "duplicate"}
 
 
-def test_signed_stream_survives_restarts(spark, tmp_path):
+def test_signed_stream_survives_restarts(spark, one_task, tmp_path):
     """Nonces and keys are state of the stream: three runs on one checkpoint, without any log of them."""
     import hashlib
     import hmac
@@ -348,7 +348,7 @@ def test_signed_stream_survives_restarts(spark, tmp_path):
     assert refused == {"h": "replayed_nonce"} and receipts == ["duplicate"]
 
 
-def test_state_expires(spark, tmp_path):
+def test_state_expires(spark, one_task, tmp_path):
     """A key is known as long as its time to live, and no longer."""
     import time
 

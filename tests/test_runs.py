@@ -5,7 +5,7 @@ import json
 from heddle.streaming import runs
 
 
-def test_states_silence_and_restart(spark, tmp_path):
+def test_states_silence_and_restart(spark, one_task, tmp_path):
     source, cp = tmp_path / "in", str(tmp_path / "cp")
     source.mkdir()
     before = {k: spark.conf.get(k, None) for k in runs.PROVIDER}
