@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.operators.lineage import cut
 
 #: Members of a block of sets that are compared in one task.
-BLOCK = 2048
+BLOCK = 16_384
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -109,9 +112,12 @@ def similar_sets(rows: DataFrame, num: int = 3, den: int = 5, block: int = BLOCK
     pairs: (one, two, size_one, size_two, common), set ids, one < two. Tokens are put in
     order of how many sets have them, rare ones first. Two similar sets have a token in
     common among the first |s| - ceil(t |s|) + 1 of each, so only those prefixes meet, with
-    bounds on their sizes and on what can still follow. A prefix token of n sets is dealt
-    into ceil(n / block) blocks, each two of which meet in a task of their own: no task
-    grows with a hot token, and nothing is left out. Empty and null sets are similar to none.
+    bounds on their sizes, on what can still follow and on the bits in which two sets of 64
+    bits differ. Sets travel with their prefixes, so that a pair is settled where it meets,
+    by its first common token alone: candidates are neither stored nor shuffled. A prefix
+    token of n sets is dealt into ceil(n / block) blocks, each two of which meet in a task
+    of their own: no task grows with a hot token, and nothing is left out. Empty and null
+    sets are similar to none.
     """
     own = rows.select("id", F.array_sort(F.array_distinct(F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t.isNotNull()))).alias("set")).filter(F.size("set") > 0)
     sets = cut(own.groupBy("set").agg(F.min("id").alias("set_id")))
@@ -119,20 +125,36 @@ def similar_sets(rows: DataFrame, num: int = 3, den: int = 5, block: int = BLOCK
     each = sets.select("set_id", F.size("set").alias("size"), F.explode("set").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("n"))
     ranked = each.join(often, "token").groupBy("set_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))  # a set's own tokens
+    ranked = ranked.select("set_id", "size", F.transform("t", lambda x: x["token"]).alias("set"))
+    bit = lambda token: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(token), F.lit(64)).cast("int"))
+    ranked = ranked.withColumn("bits", F.aggregate("set", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(bit(x))))
     need = F.ceil(F.col("size") * num / den).cast("int")
-    prefix = ranked.select("set_id", "size", F.posexplode(F.slice("t", F.lit(1), F.col("size") - need + 1)).alias("at", "x")).select("set_id", "size", "at", "x.token")
-    count = prefix.groupBy(F.col("token").alias("__t")).agg(F.ceil(F.count("*") / block).cast("int").alias("k")).filter("k >= 1")
+    prefix = ranked.select("set_id", "size", "set", "bits", F.posexplode(F.slice("set", F.lit(1), F.col("size") - need + 1)).alias("at", "token"))
+    prefix = cut(prefix)
+    count = prefix.groupBy(F.col("token").alias("__t")).agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     dealt = prefix.join(count, F.col("token") == F.col("__t")).withColumn("b", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
-    dealt = cut(dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))))
-    side = lambda name, i, j: dealt.filter(F.col("b") <= F.col("o") if name == "one" else F.col("b") >= F.col("o")).select("token", F.col(i).alias("i"), F.col(j).alias("j"), F.col("set_id").alias(name), F.col("size").alias(f"size_{name}"), F.col("at").alias(f"at_{name}"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)  # not merged by their bytes: the work is in the pairs
+
+    def side(name: str, i: str, j: str) -> DataFrame:
+        own = dealt.filter(F.col("b") <= F.col("o") if name == "one" else F.col("b") >= F.col("o"))
+        own = own.select("token", F.col(i).alias("i"), F.col(j).alias("j"), F.col("set_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("size", "at", "set", "bits")])
+        return own.repartition(tasks, "token", "i", "j")
+
+    n, m = F.col("size_one"), F.col("size_two")
+    common = F.size(F.array_intersect("set_one", "set_two"))
+    similar = [
+        (F.col("i") < F.col("j")) | (F.col("one") < F.col("two")),
+        F.least(n, m) * den >= F.greatest(n, m) * num,
+        F.least(n - F.col("at_one"), m - F.col("at_two")) * (num + den) >= (n + m) * num,
+        F.bit_count(F.col("bits_one").bitwiseXOR(F.col("bits_two"))) * (num + den) <= (n + m) * (den - num),
+        common * (num + den) >= (n + m) * num,
+        ~F.arrays_overlap(F.slice("set_one", F.lit(1), F.col("at_one")), F.slice("set_two", F.lit(1), F.col("at_two"))),  # no common token before this one
+    ]
     a, b = side("one", "b", "o"), side("two", "o", "b")
-    met = a.join(b, ["token", "i", "j"]).filter(((F.col("i") < F.col("j")) & (F.col("one") != F.col("two"))) | (F.col("one") < F.col("two")))
-    small, large = F.least("size_one", "size_two"), F.greatest("size_one", "size_two")
-    overlap = F.ceil((F.col("size_one") + F.col("size_two")) * num / (num + den))
-    rest = 1 + F.least(F.col("size_one") - F.col("at_one"), F.col("size_two") - F.col("at_two")) - 1
-    met = met.filter((small * den >= large * num) & (rest >= overlap)).select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct()
-    x = sets.select(F.col("set_id").alias("one"), F.col("set").alias("x"))
-    y = sets.select(F.col("set_id").alias("two"), F.col("set").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    pairs = met.join(x, "one").join(y, "two").select("one", "two", F.size("x").alias("size_one"), F.size("y").alias("size_two"), common.alias("common"))
-    return pairs.filter(F.col("common") * den >= (F.col("size_one") + F.col("size_two") - F.col("common")) * num), members
+    met = a.join(b, ["token", "i", "j"]).filter(reduce(and_, similar))
+    swap = F.col("one") > F.col("two")
+    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    pairs = met.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"), either("size_one", "size_two").alias("size_one"), either("size_two", "size_one").alias("size_two"), common.alias("common"))
+    return pairs, members

@@ -89,6 +89,13 @@ def test_similar_sets(spark, block):
     assert set(got) == want and len(got) == len(want) > 50
 
 
+def test_similar_sets_settle_pairs_where_they_meet(spark):
+    """Candidates, quadratic in a hot token's sets, are neither stored nor shuffled: nothing but a projection stands above the join of the blocks."""
+    df = spark.createDataFrame([(i, [f"t{i % 5}", f"t{i % 7}", f"u{i % 3}"]) for i in range(60)], "id long, tokens array<string>")
+    plan = L.similar_sets(df)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("RepartitionByExpression")[0]
+
+
 def test_numbering_plans(spark):
     from pyspark.sql import functions as F
 
