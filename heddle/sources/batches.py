@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.ids import hmac_sha256, is_uuid7
+from heddle.operators.lineage import once
 
 RAW_BYTES, GZIP_BYTES = 1 << 20, 256 << 10
 MOST = {"sellers": 25, "contacts": 100}
@@ -202,7 +203,7 @@ def checked(requests: DataFrame) -> DataFrame:
     if "file_bytes" in requests.columns:
         packed = F.endswith(F.col("file"), F.lit(".gz")) & (F.col("file_bytes") > GZIP_BYTES)
         errors = F.when(packed, one("body is too large")).otherwise(errors)
-    return r.withColumn("errors", errors).withColumn("writes", writes).drop("__v", "__top", *[f"__{a}" for a in FIELDS])
+    return once(r, errors=errors, writes=writes).drop("__v", "__top", *[f"__{a}" for a in FIELDS])
 
 
 def parsed(sound: DataFrame) -> DataFrame:

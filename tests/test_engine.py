@@ -393,3 +393,13 @@ def test_spool_and_snapshots(spark, tmp_path):
         export.restore(spark, str(tmp_path / "snap"), kept, ["t"])
     doc = export.csv_document(spark.createDataFrame([('=HYPERLINK("bad")', None)], "a string, b string"), ["a", "b"])
     assert doc == '﻿"a","b"\r\n"\'=HYPERLINK(""bad"")",""\r\n'
+
+
+def test_a_filter_does_not_compute_columns_anew(spark):
+    """Each body is read as JSON once, also where only accepted bodies are asked for."""
+    requests = spark.createDataFrame([("{}",)], "body string")
+    accepted, rejected = batches.validated(requests)
+    for rows in (accepted, rejected):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("parse_json") == 1 or plan.count("parseJson") == 1
+    assert rejected.count() == 1 and accepted.count() == 0
