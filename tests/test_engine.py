@@ -403,3 +403,14 @@ def test_a_filter_does_not_compute_columns_anew(spark):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert plan.lower().count("parse_json") == 1 or plan.count("parseJson") == 1
     assert rejected.count() == 1 and accepted.count() == 0
+
+
+def test_scores_are_computed_once(spark):
+    """A filter on the score doesn't compare names again for each threshold, and name_dice is bigram_dice."""
+    rows = [(i, f"blue bolt {i % 5}", "d", "US", "x") for i in range(20)]
+    known = spark.createDataFrame(rows, "id long, name string, domain string, country string, city string")
+    scored = X.score(X.candidates(known, known), known, known).filter(X.action(F.col("score")) == "review_queue")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bigram") + plan.count("name_dice") + plan.count("array_intersect") <= 2
+    pairs = spark.createDataFrame([("night", "nacht"), ("a", "b"), ("", "ab"), ("aaaa", "aab"), ("a  b", "a b"), ("é\u00a0x", "éx"), ("", "")], "a string, b string")
+    assert all(r.x == r.y for r in pairs.select(T.bigram_dice(F.col("a"), F.col("b")).alias("x"), T.name_dice("a", "b").alias("y")).collect())
