@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from heddle.functions import ids, text as T
 from heddle.operators.extraction import MANUFACTURER, TRADER, blocked, retry_after
-from heddle.operators.lineage import cut
+from heddle.operators.lineage import cut, once
 
 # fixed values: marketplaces by code, each at www.<code>; domains that are no company's own site; patterns of tokens
 MARKETPLACES = ["amazon.com", "amazon.co.uk", "amazon.ca", "amazon.com.au", "amazon.de", "amazon.fr", "amazon.it", "amazon.es"]
@@ -196,7 +196,7 @@ def search_results(pages: DataFrame, per_page: int | None = None) -> DataFrame:
 
 def products(pages: DataFrame) -> DataFrame:
     """page_id, asin, product_url, title, brand, seller, merchant_token, seller_profile_url, category; pages without an ASIN have none."""
-    p = pages.select("page_id", "url", _product_udf("html", "url").alias("r")).filter("r.asin IS NOT NULL")
+    p = once(pages.select("page_id", "url", _product_udf("html", "url").alias("r")), r=F.col("r")).filter("r.asin IS NOT NULL")
     link = F.col("r.seller_link")
     return p.select("page_id", "r.asin", F.coalesce(product_url(F.col("url")), F.col("url")).alias("product_url"), "r.title", "r.brand", "r.seller", token(link).alias("merchant_token"), seller_url(link).alias("seller_profile_url"), "r.category")
 
@@ -237,7 +237,7 @@ def quality_score() -> Column:
 
 def product_filter(category: str | None = None, brand: str | None = None, seller: str | None = None) -> Column:
     """Products whose normalized category (or title), brand and seller name contain what is asked for."""
-    inside = lambda c, what: F.lit(True) if what is None else F.contains(T.search_text(c), T.search_text(F.lit(what)))
+    inside = lambda c, what: F.lit(True) if what is None else F.contains(T.search_text(c), T.sought_text(what))
     none = lambda c: F.coalesce(F.col(c), F.lit(""))
     return inside(F.coalesce(F.col("category"), F.col("title"), F.lit("")), category) & inside(none("brand"), brand) & inside(none("seller"), seller)
 

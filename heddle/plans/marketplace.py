@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heddle.operators import marketplace as M
-from heddle.plans.registry import query, table
+from heddle.plans.registry import query, spread, table
 from heddle.sources.domain import oracle, relation
 
 
 def _parts(spark, d):
-    return table(spark, d, "part").withColumn("asin", F.format_string("B%09d", "p_partkey"))
+    return spread(spark, d, "part", "p_partkey").withColumn("asin", F.format_string("B%09d", "p_partkey"))
 
 
 @query("marketplace_search", "SELECT p_partkey AS page_id, CAST(0 AS BIGINT) AS position, printf('B%09d', p_partkey) AS asin, 'https://www.amazon.de/dp/' || printf('B%09d', p_partkey) AS product_url, p_name AS title FROM part")

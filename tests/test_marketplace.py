@@ -58,3 +58,18 @@ def test_frontier_of_all_parts(spark, tmp_path):
     got = [tuple(r) for r in queries()["crawl_frontier"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
     assert max(sum(s == seed for s, _, _ in want) for seed in range(1, n + 1)) == 25
+
+
+def test_what_is_sought_is_normalized_once(spark):
+    """No worker is asked to normalize the filter's own words for each row."""
+    from pyspark.sql import functions as F
+
+    from heddle.functions import text as T
+    from heddle.operators import marketplace as M
+
+    df = spark.createDataFrame([("Ｆｕｌｌ—Width STRASSE ß", "Brand#2", "s")], "category string, brand string, title string")
+    found = df.filter(M.product_filter(category="full width strasse SS", brand="brand#2"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("nfkc(") == 2 and found.count() == 1
+    for x in ("Ｆｕｌｌ—Width  STRASSE ß", "  a#B ", "Ⓐ-x", ""):
+        assert df.select((T.search_text(F.lit(x)) == T.sought_text(x)).alias("x")).first().x
