@@ -6,6 +6,7 @@ import pytest
 
 from heddle.operators import linking as L
 from heddle.operators import resolution as X
+from heddle.plans import catalogue
 
 
 def classes(n, edges):
@@ -69,6 +70,21 @@ def test_chains_move_rows_and_roll_back(spark):
     assert seen(X.rollback(back, links, "rows")) == {1: 10, 2: 20, 3: 30, 4: 99, 5: None}
 
 
+def test_merge_links_sort_no_rows(spark):
+    decisions = spark.createDataFrame([(1, 10, 20), (2, 20, 30), (3, 10, 25)], "id long, source_id long, target_id long")
+    tables = {"a": [(1, 10), (2, 30), (3, None)], "b": [(1, 20), (4, 10)], "none": []}
+    links = X.merge_links({name: spark.createDataFrame(rows, "id long, seller_id long") for name, rows in tables.items()}, decisions)
+    assert links.columns == ["decision_id", "table_name", "row_id", "source_id", "target_id"]
+    assert sorted(map(tuple, links.collect())) == [(1, "a", 1, 10, 20), (1, "b", 4, 10, 20), (2, "b", 1, 20, 30), (3, "a", 1, 10, 25), (3, "b", 4, 10, 25)]
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on large tables
+    try:
+        plan = catalogue.er_merge_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert "Sort" not in plan and plan.count("ShuffledHashJoin") == 2  # lines with their orders, all rows with the merges
+
+
 @pytest.mark.parametrize("block", [3, 2048])
 def test_similar_sets(spark, block):
     rng = random.Random(block)
