@@ -113,6 +113,18 @@ def test_blocks_stay_bounded(spark):
     assert got.count() == 300 * 25 and {r.existing_id for r in got.filter("candidate_id = 3").collect()} == set(range(26)) - {3}
 
 
+@pytest.mark.parametrize("scorer", ["dice", "sequence"])
+def test_pairs_are_not_broadcast(spark, tmp_path, scorer):
+    """A small file of identities makes many times as many pairs, which Spark can't foresee: none of them, nor the identities, go to the driver."""
+    rows = [(i, f"blue bolt {i % 5}", f"d{i % 3}", "US", "x", [f"h{i % 3}"]) for i in range(60)]
+    spark.createDataFrame(rows, "id long, name string, domain string, country string, city string, hashes array<string>").write.parquet(str(tmp_path / "i"))
+    i = spark.read.parquet(str(tmp_path / "i"))
+    scored = X.score(X.candidates(i, i), i, i, scorer)
+    assert "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.count() == 60 * 25
+    assert "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "Acme Precision Tools", None), (2, "Acme", "Fixtures")], "id long, name string, brand string")
     idx = S.index(df, "id", ["name", "brand"])
