@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.operators.lineage import cut
 
 #: Members of a block of sets that are compared in one task.
 BLOCK = 16_384
+#: Sets of up to so many tokens meet on several tokens at once, which a set shows to those of one size in so many choices at most.
+SMALL, MOST = 16, 128
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -105,46 +109,105 @@ def latest_of_each(decisions: DataFrame, order: list[str]) -> DataFrame:
     return best.select("source_id", "__b.*").select(*decisions.columns)
 
 
+def _places(num: int, den: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, partner, ell, places): the places, in a set of size tokens, whose tokens it shows to sets of partner tokens, ell at a time.
+
+    Sets with o tokens in common have the first ell of them among their first size - o + ell
+    tokens each. ell is o, where every pair that meets is similar, or as large as MOST allows.
+    """
+    out = []
+    for n in range(1, SMALL + 1):
+        for m in range(1, SMALL + 1):
+            if min(n, m) * den >= max(n, m) * num:
+                o = -(-(n + m) * num // (num + den))
+                ell = max([1, *(x for x in range(1, o + 1) if comb(max(n, m) - o + x, x) <= MOST)])
+                out += [(n, m, ell, list(p)) for p in combinations(range(n - o + ell), ell)]
+    return out
+
+
 def similar_sets(rows: DataFrame, num: int = 3, den: int = 5, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of rows (id, tokens): all pairs of different sets with a Jaccard similarity of num / den or more.
 
     members: (id, set_id), the least id with the same set of tokens; copies are one set.
     pairs: (one, two, size_one, size_two, common), set ids, one < two. Tokens are put in
-    order of how many sets have them, rare ones first. Two similar sets have a token in
-    common among the first |s| - ceil(t |s|) + 1 of each, so only those prefixes meet, with
-    bounds on their sizes, on what can still follow and on the bits in which two sets of 64
-    bits differ. Sets travel with their prefixes, so that a pair is settled where it meets,
-    by its first common token alone: candidates are neither stored nor shuffled. A prefix
-    token of n sets is dealt into ceil(n / block) blocks, each two of which meet in a task
-    of their own: no task grows with a hot token, and nothing is left out. Empty and null
-    sets are similar to none.
+    order of how many sets have them, rare ones first. Two sets of up to SMALL tokens meet
+    on several tokens at once, as many as their sizes ask for (_places), so that what meets
+    is mostly similar, however few tokens there are. If one is larger, they meet on one token: two similar sets
+    have one in common among the first |s| - ceil(t |s|) + 1 of each, so only those prefixes
+    meet, with bounds on their sizes, on what can still follow and on the bits in which two
+    sets of 64 bits differ. Sets travel with what they meet on, so that a pair is settled
+    where it meets, by its first common tokens alone: candidates are neither stored nor
+    shuffled. What n sets meet on is dealt into ceil(n / block) blocks, each two of which
+    meet in a task of their own: no task grows with a hot token, and nothing is left out.
+    Empty and null sets are similar to none.
     """
     own = rows.select("id", F.array_sort(F.array_distinct(F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t.isNotNull()))).alias("set")).filter(F.size("set") > 0)
     sets = cut(own.groupBy("set").agg(F.min("id").alias("set_id")))
     members = own.join(sets, "set").select("id", "set_id").distinct()
     each = sets.select("set_id", F.size("set").alias("size"), F.explode("set").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = each.join(often, "token").groupBy("set_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))  # a set's own tokens
-    ranked = ranked.select("set_id", "size", F.transform("t", lambda x: x["token"]).alias("set"))
-    bit = lambda token: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(token), F.lit(64)).cast("int"))
+    ranks = cut(often.orderBy("n", "token").select("token", F.monotonically_increasing_id().alias("rank")))
+    ranked = each.join(ranks, "token").groupBy("set_id", "size").agg(F.array_sort(F.collect_list("rank")).alias("set"))  # a set's own tokens
+    bit = lambda rank: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(rank, F.lit(64)).cast("int"))
     ranked = ranked.withColumn("bits", F.aggregate("set", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(bit(x))))
+    ranked = cut(ranked.repartition(_tasks(rows), "set_id"))
+    pairs = _small_pairs(ranked.filter(F.col("size") <= SMALL), num, den, block)
+    return pairs.unionByName(_large_pairs(ranked.filter(F.col("size") * den >= num * (SMALL + 1)), num, den, block)), members
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Partitions for pairs, not merged by their bytes: the work is in the pairs."""
+    spark = rows.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+
+
+def _in_order(met: DataFrame, common: Column) -> DataFrame:
+    swap = F.col("one") > F.col("two")
+    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return met.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"), either("size_one", "size_two").alias("size_one"), either("size_two", "size_one").alias("size_two"), common.alias("common"))
+
+
+def _small_pairs(ranked: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Pairs of sets of up to SMALL tokens."""
+    places = ranked.sparkSession.createDataFrame(_places(num, den), "size int, partner int, ell int, places array<int>")
+    shown = ranked.join(F.broadcast(places), "size").withColumn("key", F.transform("places", lambda i: F.get(F.col("set"), i))).drop("places")
+    shown = shown.withColumns({"low": F.least("size", "partner"), "high": F.greatest("size", "partner")})
+    keys = ["low", "high", "key"]
+    hot = shown.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > block).select(*keys, F.ceil(F.col("n") / block).cast("int").alias("k"))  # at most one of block rows
+
+    def side(name: str, b: str, o: str) -> DataFrame:
+        own = shown.filter(F.col("size") == F.col("low" if name == "one" else "high")).join(F.broadcast(hot), keys, "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        own = own.withColumn(b, F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int")).withColumn(o, F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        own = own.select(*keys, "i", "j", F.col("set_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("size", "set", "bits")], *(["ell"] if name == "one" else []))
+        return own.repartition(_tasks(ranked), *keys, "i", "j")
+
+    n, m = F.col("size_one"), F.col("size_two")
+    differ = F.bit_count(F.col("bits_one").bitwiseXOR(F.col("bits_two")))
+    met = side("one", "i", "j").join(side("two", "j", "i").hint("shuffle_hash"), [*keys, "i", "j"])
+    met = met.filter(((n < m) | (F.col("one") < F.col("two"))) & (differ * (num + den) <= (n + m) * (den - num)))
+    first = lambda c: (F.size(c) * (num + den) >= (n + m) * num) & (F.get(c, F.col("ell") - 1) == F.get(F.col("key"), F.col("ell") - 1))  # noqa: E731  (no common token before these that isn't one of them)
+    met = met.select("one", "two", "size_one", "size_two", F.explode(F.filter(F.array(F.array_intersect("set_one", "set_two")), first)).alias("both"))
+    return _in_order(met, F.size("both"))
+
+
+def _large_pairs(ranked: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Pairs of sets of which one has more than SMALL tokens."""
     need = F.ceil(F.col("size") * num / den).cast("int")
     prefix = ranked.select("set_id", "size", "set", "bits", F.posexplode(F.slice("set", F.lit(1), F.col("size") - need + 1)).alias("at", "token"))
     prefix = cut(prefix)
     count = prefix.groupBy(F.col("token").alias("__t")).agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     dealt = prefix.join(count, F.col("token") == F.col("__t")).withColumn("b", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)  # not merged by their bytes: the work is in the pairs
 
     def side(name: str, i: str, j: str) -> DataFrame:
         own = dealt.filter(F.col("b") <= F.col("o") if name == "one" else F.col("b") >= F.col("o"))
         own = own.select("token", F.col(i).alias("i"), F.col(j).alias("j"), F.col("set_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("size", "at", "set", "bits")])
-        return own.repartition(tasks, "token", "i", "j")
+        return own.repartition(_tasks(ranked), "token", "i", "j")
 
     n, m = F.col("size_one"), F.col("size_two")
     common = F.size(F.array_intersect("set_one", "set_two"))
     similar = [
+        F.greatest(n, m) > SMALL,
         (F.col("i") < F.col("j")) | (F.col("one") < F.col("two")),
         F.least(n, m) * den >= F.greatest(n, m) * num,
         F.least(n - F.col("at_one"), m - F.col("at_two")) * (num + den) >= (n + m) * num,
@@ -154,7 +217,4 @@ def similar_sets(rows: DataFrame, num: int = 3, den: int = 5, block: int = BLOCK
     ]
     a, b = side("one", "b", "o"), side("two", "o", "b")
     met = a.join(b, ["token", "i", "j"]).filter(reduce(and_, similar))
-    swap = F.col("one") > F.col("two")
-    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    pairs = met.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"), either("size_one", "size_two").alias("size_one"), either("size_two", "size_one").alias("size_two"), common.alias("common"))
-    return pairs, members
+    return _in_order(met, common)

@@ -105,6 +105,38 @@ def test_similar_sets(spark, block):
     assert set(got) == want and len(got) == len(want) > 50
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+def test_similar_sets_below_and_above_small(spark, block):
+    """Sets of up to SMALL tokens and larger ones, with each other too."""
+    rng = random.Random(block)
+    words = [f"t{i}" for i in range(34)]
+    base = [rng.sample(words, rng.randrange(9, 30)) for _ in range(12)]
+    rows = [(i, [t for t in rng.choice(base) if rng.random() < 0.85]) for i in range(220)]
+    names = {}
+    for i, t in rows:
+        names.setdefault(frozenset(t), i)
+    known = sorted((i, s) for s, i in names.items())
+    want = {(i, j, len(a), len(b), len(a & b)) for i, a in known for j, b in known if i < j and 5 * len(a & b) >= 3 * len(a | b)}
+    got = [tuple(r) for r in L.similar_sets(spark.createDataFrame(rows, "id long, tokens array<string>"), block=block)[0].collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert len({(n > L.SMALL, m > L.SMALL) for _, _, n, m, _ in want}) == 4
+
+
+def test_what_meets_is_mostly_similar():
+    """All sets of five of 14 tokens: few pairs meet that aren't similar. On one token of a prefix, 31 times as many as are similar meet."""
+    from itertools import combinations
+
+    met, similar = {}, set()
+    places = [p for n, m, _, p in L._places(3, 5) if n == m == 5]
+    for s in combinations(range(14), 5):
+        for p in places:
+            met.setdefault(tuple(s[i] for i in p), []).append(s)
+    for own in met.values():
+        similar |= set(combinations(own, 2))
+    assert all(5 * len({*a} & {*b}) >= 3 * len({*a} | {*b}) for a, b in similar)
+    assert len(similar) == 2002 * 5 * 9 // 2 == sum(len(own) * (len(own) - 1) // 2 for own in met.values())
+
+
 def test_similar_sets_settle_pairs_where_they_meet(spark):
     """Candidates, quadratic in a hot token's sets, are neither stored nor shuffled: nothing but a projection stands above the join of the blocks."""
     df = spark.createDataFrame([(i, [f"t{i % 5}", f"t{i % 7}", f"u{i % 3}"]) for i in range(60)], "id long, tokens array<string>")
