@@ -125,6 +125,29 @@ def test_pairs_are_not_broadcast(spark, tmp_path, scorer):
     assert "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize(("together", "meeting"), [(64, 2048), (2, 5)])
+def test_all_pairs_are_scored(spark, monkeypatch, together, meeting):
+    """score_all gives what score gives without a limit, each pair once, also where groups and blocks are dealt out."""
+    monkeypatch.setattr(X, "TOGETHER", together)
+    monkeypatch.setattr(X, "MEETING", meeting)
+    names, domains = ["blue bolt", "blue bolts", "Blue bolt ", "nut", "nut", "blue boxes", "", None], ["a.com", "b.com", "A.com", "", None]
+    rows = [(i, names[i % 8], domains[i % 5], [None, "US", "us", "CN"][i % 4], ["x", "y", None][i % 3], [f"h{i % 6}"] if i % 7 else None, "active" if i % 9 else "merged") for i in range(130)]
+    known = spark.createDataFrame(rows, "id long, name string, domain string, country string, city string, hashes array<string>, status string")
+    for new in (known, known.withColumn("id", F.col("id") + 1000).filter("id % 3 = 0")):
+        got = [str(r) for r in X.score_all(new, known).collect()]
+        want = {str(r) for r in X.score(X.candidates(new, known, 10**6), new, known).collect()}
+        assert set(got) == want and len(got) == len(want) > 500
+
+
+def test_er_scored_is_whole(spark, tmp_path):
+    from heddle.plans import registry
+
+    spark.range(60).selectExpr("id AS p_partkey", "concat('part number ', id % 4) AS p_name", "'B' AS p_brand", "'T' AS p_type", "CAST(id % 5 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.queries()["er_scored"](spark, str(tmp_path))
+    assert got.count() == got.select("candidate_id", "existing_id").distinct().count() == 60 * 59
+    assert registry.queries()["er_decisions"](spark, str(tmp_path)).count() == 60 * 25  # its SQL has the limit
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "Acme Precision Tools", None), (2, "Acme", "Fixtures")], "id long, name string, brand string")
     idx = S.index(df, "id", ["name", "brand"])
